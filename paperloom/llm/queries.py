@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import shards
+from paperloom.llm import decontaminate, shards
 from paperloom.llm.tables import read
 
 QUERIES: dict = {}
@@ -18,3 +18,13 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_interleaved_shards"] = op7_interleaved_shards
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES["op10_winnowing"] = op10_winnowing
+ORACLES["op10_winnowing"] = decontaminate.ORACLE
