@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, shards
+from paperloom.llm import decontaminate, shards, simhash
 from paperloom.llm.tables import read
 
 QUERIES: dict = {}
@@ -28,3 +28,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_winnowing"] = op10_winnowing
 ORACLES["op10_winnowing"] = decontaminate.ORACLE
+
+
+def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES["op4_pivot_simhash"] = op4_pivot_simhash
