@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, shards, simhash
+from paperloom.llm import decontaminate, shards, simhash, warc
 from paperloom.llm.tables import read
 
 QUERIES: dict = {}
@@ -36,3 +36,12 @@ def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_pivot_simhash"] = op4_pivot_simhash
+
+
+def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op3_zip_warc"] = op3_zip_warc
+ORACLES["op3_zip_warc"] = warc.ORACLE
