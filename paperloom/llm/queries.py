@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, shards, simhash, warc
+from paperloom.llm import decontaminate, hostrules, shards, simhash, warc
 from paperloom.llm.tables import read
 
 QUERIES: dict = {}
@@ -45,3 +45,12 @@ def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_zip_warc"] = op3_zip_warc
 ORACLES["op3_zip_warc"] = warc.ORACLE
+
+
+def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hostrules.judged(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op1_host_rules"] = op1_host_rules
+ORACLES["op1_host_rules"] = hostrules.ORACLE
