@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, hostrules, shards, simhash, warc
+from paperloom.llm import bpe, decontaminate, hostrules, shards, simhash, warc
 from paperloom.llm.tables import read
 
+#: The vocabulary file of the token operators.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -54,3 +58,12 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_host_rules"] = op1_host_rules
 ORACLES["op1_host_rules"] = hostrules.ORACLE
+
+
+def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES["op8_chunked_bpe"] = op8_chunked_bpe
