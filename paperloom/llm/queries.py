@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, hostrules, shards, simhash, warc
+from paperloom.llm import bpe, decontaminate, hostrules, quality, shards, simhash, warc
 from paperloom.llm.tables import read
 
 #: The vocabulary file of the token operators.
@@ -67,3 +67,10 @@ def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_chunked_bpe"] = op8_chunked_bpe
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).scores()
+
+
+QUERIES["op2_importance_resampling"] = op2_importance_resampling

@@ -66,13 +66,14 @@ class Words:
 
 
 def find(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> Words:
-    """Maximal runs of bytes of a kind, none across two texts."""
+    """Maximal runs of bytes of one kind, none across two texts. kind: a table of booleans, or of numbers where 0 is no kind."""
     inside = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
-    start, end = inside.copy(), inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:-1]
-    end[:-1] &= ~inside[1:] | edge[1:-1]
+    change = (inside[1:] != inside[:-1]) | edge[1:-1]
+    start, end = inside != 0, inside != 0
+    start[1:] &= change
+    end[:-1] &= change
     start = np.flatnonzero(start)
     return Words(start, np.flatnonzero(end) + 1, np.searchsorted(start, at))
 
