@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, hostrules, quality, shards, simhash, warc
-from paperloom.llm.tables import read
+from paperloom.llm import bpe, decontaminate, hostrules, language, quality, shards, simhash, token_counts, warc
+from paperloom.llm.tables import read, stored
 
 #: The vocabulary file of the token operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,3 +74,23 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_importance_resampling"] = op2_importance_resampling
+
+
+def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = stored(token_counts.build(read(spark, sf_dir, "documents"), TOKENIZER), "trees")
+    out = token_counts.apply_edits(state, TOKENIZER, token_counts.sample_edits())
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "reencoded_bytes", F.sha2(F.encode("text", "UTF-8"), 256).alias("edited_sha256"))
+
+
+QUERIES["op9_edit_aware_counts"] = op9_edit_aware_counts
+
+
+def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.Model(docs.filter(~held_out))
+    out = language.identify(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op6_language_mixtures"] = op6_language_mixtures
