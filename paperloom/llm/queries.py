@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, hostrules, language, quality, shards, simhash, token_counts, warc
+from paperloom.llm import bpe, decontaminate, hostrules, language, pii, quality, shards, simhash, token_counts, warc
 from paperloom.llm.tables import read, stored
 
 #: The vocabulary file of the token operators.
@@ -94,3 +94,12 @@ def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_language_mixtures"] = op6_language_mixtures
+
+
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(read(spark, sf_dir, "documents"))
+    counts = [pii.counted("base", rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+QUERIES["op5_bootstrapped_pii"] = op5_bootstrapped_pii
