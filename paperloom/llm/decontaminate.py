@@ -22,6 +22,8 @@ from paperloom.llm.tables import stored
 WINDOW, GRAM = 10, 5
 #: log2 of the bits of the bitmap: 2 MB, however large the benchmark is.
 BITMAP_BITS = 24
+#: The most contaminated documents whose keys are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 _PRINT = "array<struct<m: int, hash: bigint, pos: int, before: array<string>, core: array<string>, after: array<string>>>"
 
 
@@ -96,13 +98,8 @@ def _common(a: str, b: str) -> Column:
     return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, item_ids (sorted strings), and spans of words that a benchmark window covers.
-
-    Null and wordless texts have no words; items without an id or words have no windows; rows with equal ids stay rows of
-    their own; repeated items count once. Empty tables give no rows, or rows without hits. Other columns are ignored.
-    """
+def _printed_and_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored rows (row, doc, text_key, n_words), their hits (row, context, start, end), and the items of each context."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")).filter(F.col("item").isNotNull())
     all_lengths = list(range(1, WINDOW + 1))
@@ -112,8 +109,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     bitmaps = spark.sparkContext.broadcast({m: _bitmap(of_items.filter(F.col("m") == m)) for m in lengths})
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), F.col(text).alias("t"))
-    printed = _printed(base.select(F.struct("row", "doc").alias("id"), "t"), lengths, bitmaps)
-    rows = stored(printed.select("id.row", "id.doc", "n_words", "prints"), "prints")
+    printed = _printed(base.select(F.struct("row", "doc", F.xxhash64("t").alias("text_key")).alias("id"), "t"), lengths, bitmaps)
+    rows = stored(printed.select("id.row", "id.doc", "id.text_key", "n_words", "prints"), "prints")
 
     contexts = of_items.drop("item", "pos").dropDuplicates(["context"]).select("m", "hash", "context", F.col("before").alias("b2"), F.col("core").alias("c2"), F.col("after").alias("a2"))
     members = of_items.select("context", "item").distinct()
@@ -122,7 +119,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             .withColumn("left", _common("before", "b2")).withColumn("right", _common("after", "a2"))
             .filter(F.size("core") + F.col("left") + F.col("right") >= F.col("m"))
             .select("row", "context", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.size("core") + F.col("right")).alias("end")))
-    hits = stored(hits, "hits")
+    return rows.drop("prints"), stored(hits, "hits"), members
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, item_ids (sorted strings), and spans of words that a benchmark window covers.
+
+    Null and wordless texts have no words; items without an id or words have no windows; rows with equal ids stay rows of
+    their own; repeated items count once. Empty tables give no rows, or rows without hits. Other columns are ignored.
+    """
+    rows, hits, members = _printed_and_hits(docs, benchmark, doc_id, text, item_id, item_text)
     spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     found = (hits.select("row", "context").distinct().join(members, "context").select("row", "item").distinct()
              .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("item_ids")))
@@ -134,6 +141,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, all columns kept."""
+    rows, hits, _ = _printed_and_hits(docs, benchmark, doc_id, text, item_id, item_text)
+    hit = stored(rows.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("doc").alias("hit_doc"), F.col("text_key").alias("hit_text")).distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= MAX_BROADCAST else hit
+    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("hit_doc")) & (F.xxhash64(F.col(text)) == F.col("hit_text")), "left_anti")
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),

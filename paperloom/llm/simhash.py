@@ -190,6 +190,13 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_links, "u bigint, v bigint")
 
 
+def _groups_of(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of stored rows (id, fp)."""
+    roots = components(links(rows.select("fp")))
+    by_fp = rows.groupBy("fp").agg(F.min("id").alias("id")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    return by_fp.join(by_fp.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id of the row's near-duplicate group.
 
@@ -197,7 +204,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component_id unless a group has no other. Repeated rows stay rows. Other columns are ignored; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    roots = components(links(rows.select("fp")))
-    by_fp = rows.groupBy("fp").agg(F.min("id").alias("id")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    by_fp = by_fp.join(by_fp.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
+    return rows.join(_groups_of(rows), "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that represent their near-duplicate group, all columns kept: those with the group's smallest id.
+
+    A row without an id represents only a group that has no id at all; where several rows could (they repeat the id, or have
+    none) one of them does.
+    """
+    rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
+    groups = stored(_groups_of(rows), "groups")
+    matched = rows.join(groups, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    ids = stored(matched.groupBy("id").agg(F.count("*").alias("n")), "representatives")
+    out = docs.join(ids.filter("n = 1 AND id IS NOT NULL").select(F.col("id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    several = ids.filter("n > 1 OR id IS NULL")
+    if several.isEmpty():
+        return out
+    some = docs.join(several.select(F.col("id").alias("several_id")), F.col(doc_id).eqNullSafe(F.col("several_id")), "left_semi")
+    some = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id"), F.col(text).alias("t"))
+    found = some.mapInArrow(_fingerprinted, f"id {some.schema[0].dataType.simpleString()}, fp bigint").join(groups, "fp")
+    return out.unionByName(found.filter(F.col(f"id.{doc_id}").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("id.*"))
