@@ -1,10 +1,8 @@
-"""The registered queries of the library side, with the SQL that checks them."""
+"""All registered queries of the library side, with the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from paperloom.plans import documents, records, store, timeline  # noqa: F401  they register their queries
+from paperloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
