@@ -28,6 +28,8 @@ from paperloom.llm.tables import stored
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Fingerprints of a bucket that one slice holds, and the most hot buckets whose counts are broadcast.
 SLICE, MAX_BROADCAST = 4096, 100_000
+#: The most ids of documents to drop that are broadcast (16 MB); more are joined by a shuffle.
+MAX_GONE = 1_000_000
 #: Reference fingerprints: fixed and spread out, from a multiplicative rule.
 PIVOTS = W.mixed(np.arange(1, 25, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEGMENT = 60_000  # shingles that a 16-bit counter can take
@@ -194,7 +196,10 @@ def _groups_of(rows: DataFrame) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of stored rows (id, fp)."""
     roots = components(links(rows.select("fp")))
     by_fp = rows.groupBy("fp").agg(F.min("id").alias("id")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    return by_fp.join(by_fp.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "root", "component_id")
+    by_fp = stored(by_fp, "roots")
+    # Stored, so that the join has a plain exchange on either side and a root with very many fingerprints can be split.
+    smallest = stored(by_fp.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
+    return by_fp.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,13 +220,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
     groups = stored(_groups_of(rows), "groups")
-    matched = rows.join(groups, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    ids = stored(matched.groupBy("id").agg(F.count("*").alias("n")), "representatives")
-    out = docs.join(ids.filter("n = 1 AND id IS NOT NULL").select(F.col("id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
-    several = ids.filter("n > 1 OR id IS NULL")
+    matches = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = rows.join(groups, "fp").groupBy("id").agg(F.count("*").alias("n"), F.count_if(matches).alias("kept"))
+    gone = stored(ids.filter("n > 1 OR id IS NULL OR kept = 0").select(F.col("id").alias("gone_id"), (F.col("id").isNull() | (F.col("n") > 1)).alias("several")), "gone")
+    side = F.broadcast(gone) if gone.count() <= MAX_GONE else gone
+    out = docs.join(side, F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
+    several = gone.filter("several").select(F.col("gone_id").alias("several_id"))
     if several.isEmpty():
         return out
-    some = docs.join(several.select(F.col("id").alias("several_id")), F.col(doc_id).eqNullSafe(F.col("several_id")), "left_semi")
+    some = docs.join(several, F.col(doc_id).eqNullSafe(F.col("several_id")), "left_semi")
     some = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id"), F.col(text).alias("t"))
     found = some.mapInArrow(_fingerprinted, f"id {some.schema[0].dataType.simpleString()}, fp bigint").join(groups, "fp")
     return out.unionByName(found.filter(F.col(f"id.{doc_id}").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("id.*"))
