@@ -114,13 +114,13 @@ class _Package:
         return self.path, len(self.lines), self.at
 
 
-def _written(batches, folder: str):
+def _written(batches, folder: str, package_bytes: int):
     package, done = None, []
     for batch in batches:
         for page, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             package = package or _Package(folder)
             package.add(url, _record(page, url, payload, digest, refers_to))
-            if package.at >= PACKAGE_BYTES:
+            if package.at >= package_bytes:
                 done.append(package.close())
                 package = None
     if package:
@@ -129,7 +129,7 @@ def _written(batches, folder: str):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "records", "bytes"])
 
 
-def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write a record per row under folder; return the packages (path, records, bytes).
 
     Payload: the html in UTF-8, empty if null. Of equal payloads of MIN_REVISIT bytes or more the row with the largest id is
@@ -143,7 +143,7 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     joined = rows.join(F.broadcast(groups) if groups.count() <= MAX_BROADCAST else groups, "digest", "left")
     refers_to = F.when(F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
     return stored(joined.select("page", "url", "payload", "digest", refers_to.alias("refers_to"))
-                  .mapInArrow(lambda it: _written(it, folder), "path string, records bigint, bytes bigint"), "packages")
+                  .mapInArrow(lambda it: _written(it, folder, package_bytes), "path string, records bigint, bytes bigint"), "packages")
 
 
 # Reading ------------------------------------------------------------------------------------------------------------
