@@ -65,7 +65,9 @@ def settings(rows: DataFrame, key: str = "settingKey", value: str = "value") ->
 
 def ocr_pages(rows: DataFrame, key: str, body: str) -> DataFrame:
     """(key, page, markdown, images, blocks) from a list of pages, `layoutParsingResults`, or `pdf_info`; bad input: no rows."""
-    listed = F.coalesce(F.from_json(body, f"array<{PAGE}>"), F.from_json(body, f"struct<layoutParsingResults:array<{PAGE}>>")["layoutParsingResults"])
+    # An object read as an array would be one empty page, so the root decides.
+    is_list = F.startswith(T.strip(F.col(body)), F.lit("["))
+    listed = F.when(is_list, F.from_json(body, f"array<{PAGE}>")).otherwise(F.from_json(body, f"struct<layoutParsingResults:array<{PAGE}>>")["layoutParsingResults"])
     layout = F.from_json(body, LAYOUT)["pdf_info"]
     labels = F.create_map(*(F.lit(x) for pair in LABELS for x in pair))
 
