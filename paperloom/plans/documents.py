@@ -97,7 +97,7 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN false ELSE true END AS usable FROM customer")
 def usable_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE c_custkey % 4 WHEN 0 THEN ' (a), b ' WHEN 1 THEN c_name WHEN 2 THEN 'Figure 1' ELSE 'ab' END")
+    text = F.expr("CASE c_custkey % 4 WHEN 0 THEN ' (A and b) ' WHEN 1 THEN c_name WHEN 2 THEN 'Figure 1' ELSE 'ab' END")
     return table(spark, sf_dir, "customer").select("c_custkey", T.is_usable_caption(text).alias("usable"))
 
 

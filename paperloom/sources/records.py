@@ -17,6 +17,11 @@ CROSSREF = ("struct<title:array<string>,`container-title`:array<string>,author:a
 BLOCK = ("struct<block_id:string,block_label:string,block_content:string,block_bbox:array<double>,group_id:int,global_group_id:int,block_order:int,parent_id:string>")
 PAGE = f"struct<page_index:int,markdown:struct<text:string,images:map<string,string>>,prunedResult:struct<parsing_res_list:array<{BLOCK}>>>"
 LAYOUT = "struct<pdf_info:array<struct<page_idx:int,page_size:array<double>,para_blocks:array<struct<type:string,bbox:array<double>,lines:array<struct<bbox:array<double>,spans:array<struct<type:string,content:string>>>>>>>>>"
+ITEM = ("struct<key:string,version:bigint,data:struct<itemType:string,deleted:string,title:string,creators:array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,publicationTitle:string,"
+        "proceedingsTitle:string,bookTitle:string,publisher:string,repository:string,date:string,DOI:string,ISBN:string,tags:array<struct<tag:string>>,contentType:string,linkMode:string,parentItem:string,filename:string>>")
+# Item types that are documents, and the link modes of attachments that are files.
+DOCUMENT_TYPES = ("journalArticle", "conferencePaper", "preprint", "book", "bookSection", "thesis", "report", "manuscript", "encyclopediaArticle", "dictionaryEntry", "magazineArticle", "newspaperArticle")
+FILE_MODES = ("imported_file", "imported_url", "linked_file")
 #: Block types of the layout shape and the labels they get.
 LABELS = (("image_body", "image"), ("table_body", "table"), ("image_caption", "figure_title"), ("table_caption", "figure_title"), ("title", "paragraph_title"))
 SESSION = ("id string, title string, createdAt timestamp, updatedAt timestamp, messages array<struct<role:string,content:string,quotedText:string>>")
@@ -52,6 +57,30 @@ def atom(body: Column) -> Column:
                     T.normalize_doi(F.xpath_string(body, F.lit("//*[local-name()='entry'][1]/*[local-name()='doi']"))).alias("doi"))
 
 
+def library_items(rows: DataFrame, body: str) -> DataFrame:
+    """Documents of a reference manager's items (JSON): key, version, title, authors, journal, year, doi, keywords, and the keys
+    of their PDF attachments in order. Deleted items, other types, items without a title, and those with a title alone are
+    left out."""
+    m = rows.select(F.from_json(body, ITEM).alias("i")).select("i.key", "i.version", "i.data.*").filter("key IS NOT NULL AND coalesce(deleted, 'false') NOT IN ('true', '1')")
+    pick = lambda c: T.trim_to_null(F.col(c))
+    name = lambda c: F.coalesce(T.trim_to_null(c["name"]), F.nullif(T.person_name(c["firstName"], c["lastName"]), F.lit("")))
+    named = F.filter(F.transform("creators", lambda c: F.struct(c["creatorType"].alias("kind"), name(c).alias("name"))), lambda c: c["name"].isNotNull())
+    first = F.transform(F.filter(named, lambda c: c["kind"] == "author"), lambda c: c["name"])
+    authors = F.coalesce(F.when(F.size(first) > 0, first).otherwise(F.transform(named, lambda c: c["name"])), F.array().cast("array<string>"))
+    kind = F.col("itemType")
+    journal = (F.when(kind == "journalArticle", pick("publicationTitle")).when(kind == "conferencePaper", F.coalesce(pick("proceedingsTitle"), pick("publicationTitle")))
+               .when(kind == "bookSection", F.coalesce(pick("bookTitle"), pick("publisher"))).when(kind == "book", pick("publisher"))
+               .when(kind == "preprint", F.coalesce(pick("repository"), pick("publicationTitle"))).otherwise(F.coalesce(pick("publicationTitle"), pick("publisher"))))
+    tags = distinct_folded(F.filter(F.transform("tags", lambda t: T.trim_to_null(t["tag"])), lambda t: t.isNotNull()))
+    docs = m.filter(kind.isin(*DOCUMENT_TYPES) & pick("title").isNotNull()).select(
+        "key", "version", pick("title").alias("title"), authors.alias("authors"), journal.alias("journal"), F.nullif(F.regexp_extract("date", r"\d{4}", 0), F.lit("")).alias("year"),
+        F.lower(T.normalize_doi(F.col("DOI"))).alias("doi"), F.coalesce(tags, F.array().cast("array<string>")).alias("keywords"), pick("ISBN").alias("isbn"))
+    docs = docs.filter((F.size("authors") > 0) | F.coalesce("journal", "year", "doi", "isbn").isNotNull()).drop("isbn")
+    files = m.filter((kind == "attachment") & (F.col("contentType") == "application/pdf") & F.col("linkMode").isin(*FILE_MODES) & F.col("parentItem").isNotNull())
+    files = files.groupBy(F.col("parentItem").alias("key")).agg(F.array_sort(F.collect_list("key")).alias("pdfs"))
+    return docs.join(files, "key", "left").withColumn("pdfs", F.coalesce("pdfs", F.array().cast("array<string>")))
+
+
 def distinct_folded(values: Column) -> Column:
     """Values once each whatever their case, the first spelling kept."""
     lower = F.transform(values, lambda v: F.lower(v))

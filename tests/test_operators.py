@@ -238,3 +238,40 @@ def test_activity_and_events(spark):
     assert [(s.kind, s.status, s.text) for s in steps] == [("reasoning", "completed", "thinking"), ("tool", "failed", ""), ("tool", "completed", "")]
     writes = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new")], "key string, request int, text string")
     assert {r.text: r.superseded for r in views.newest_write(writes, "key", "request").collect()} == {"old": True, "new": False}
+
+
+def test_anchors(spark):
+    from paperloom.operators import reader
+
+    text = "one two three two one"
+    cases = [("r", 4, 7, "two", "", "", (4, 7)), ("old", 4, 7, "two", "one ", "", (4, 7)), ("old", 0, 3, "two", "", "", None), ("r", 0, 3, "two", "three ", " one", (14, 17)), ("r", 0, 0, "", "", "", None)]
+    rows = spark.createDataFrame([(text, c[:6]) for c in cases], "t string, a struct<revision:string,start:int,end:int,quote:string,prefix:string,suffix:string>")
+    got = rows.select(reader.resolved(F.col("t"), F.lit("r"), F.col("a")).alias("v")).collect()
+    assert [tuple(r.v) if r.v else None for r in got] == [c[6] for c in cases]
+    needle = spark.createDataFrame([("xx the quick brown fox", "quick brawn"), ("nothing alike", "zzzzzz")], "t string, n string")
+    assert [r.v for r in needle.select(reader.fuzzy_place(F.col("t"), F.col("n")).alias("v")).collect()] == [7, -1]
+
+
+def test_library_items(spark):
+    items = [
+        '{"key":"A","version":3,"data":{"itemType":"journalArticle","title":" T ","creators":[{"creatorType":"editor","name":"E"},{"creatorType":"author","firstName":"F","lastName":"L"}],"publicationTitle":"J","date":"May 2001","DOI":"10.1234/X","tags":[{"tag":"a"},{"tag":"A"},{"tag":" "}]}}',
+        '{"key":"P","version":4,"data":{"itemType":"attachment","contentType":"application/pdf","linkMode":"imported_file","parentItem":"A"}}',
+        '{"key":"B","version":5,"data":{"itemType":"book","title":"Only a title"}}', '{"key":"C","version":5,"data":{"itemType":"book","title":"Gone","deleted":1,"ISBN":"1"}}', "broken"]
+    (row,) = records.library_items(spark.createDataFrame([(i,) for i in items], "b string"), "b").collect()
+    assert (row.key, row.title, row.authors, row.journal, row.year, row.doi, row.keywords, row.pdfs) == ("A", "T", ["F L"], "J", "2001", "10.1234/x", ["a"], ["P"])
+
+
+def test_item_feed(spark, tmp_path):
+    from paperloom.sources.feed import ItemFeed
+
+    spark.dataSource.register(ItemFeed)
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"key":"x","version":1,"body":"b"}\n{"key":"y","version":5,"body":null}\n')
+    source = f"file://{folder}"
+    assert {r.key for r in spark.read.format("item_feed").option("since", 1).load(source).collect()} == {"y"}
+    for _ in range(2):
+        stream = spark.readStream.format("item_feed").load(source)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start(str(tmp_path / "o")).awaitTermination()
+        (folder / "b.jsonl").write_text('{"key":"z","version":9,"body":""}\n')
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["x", "y", "z"]
