@@ -2,8 +2,9 @@
 
 Every word is taken to be drawn from one of the languages, with the likelihood of its byte n-grams in that language.
 Expectation-maximisation estimates a document's proportions of languages from its words; the set of languages is the one of
-best penalised likelihood: starting from all, the weakest is left out as long as the likelihood lost is below PENALTY times
-the log of the number of words for each. The prediction is the largest proportion of the chosen set, the proportion its score.
+best penalised likelihood: languages expected to have drawn less than one word go first, then the weakest is left out as long
+as the likelihood lost is below PENALTY times the log of the number of words. The prediction is the largest proportion of the
+chosen set, the proportion its score. Likelihoods are computed once for each distinct word of a batch.
 """
 
 from __future__ import annotations
@@ -18,25 +19,25 @@ from paperloom.llm import words as W
 #: log2 of the buckets of n-grams for each language.
 BUCKET_BITS = 16
 SIZES = (1, 2, 3, 4)
-ROUNDS, PENALTY, SMOOTHING = 12, 2.0, 0.5
+ROUNDS, PENALTY, SMOOTHING, TINY = 12, 2.0, 0.5, np.float32(1e-30)
 UNKNOWN = "und"
 #: Letters of words: ASCII letters and all beyond ASCII.
 _LETTER = W.byte_class(lambda b: b >= 0x80 or 0x61 <= b <= 0x7A)
 
 
 def _grams(data: np.ndarray, at: np.ndarray):
-    """Buckets of the byte n-grams of all words (with the space before them), the word of each, and the words."""
+    """Of the distinct words (a blank before each): buckets of their byte n-grams, and the word of each n-gram. Then all words,
+    and which distinct one each is."""
     data = W.LOWER[data]
     found = W.find(data, at, _LETTER)
-    size = found.end - found.start
-    # Each word with one blank before it, in a buffer of its own.
+    _, kept, which = np.unique(W.span_hashes(data, found.start, found.end), return_index=True, return_inverse=True)
+    start, size = found.start[kept], (found.end - found.start)[kept]
     first = np.cumsum(size + 1) - (size + 1)
     total = int((size + 1).sum())
     buffer = np.full(total, 0x20, np.uint8)
     inside = np.ones(total, bool)
     inside[first] = False
-    letters = np.repeat(found.start - np.cumsum(size) + size, size) + np.arange(size.sum())
-    buffer[inside] = data[letters]
+    buffer[inside] = data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
     word = np.repeat(np.arange(len(size)), size + 1)
     buckets, words = [], []
     for n in SIZES:
@@ -47,7 +48,7 @@ def _grams(data: np.ndarray, at: np.ndarray):
         code = W.mixed(code[whole] + np.uint64(n << 40))
         buckets.append((code >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
         words.append(word[: len(whole)][whole])
-    return np.concatenate(buckets), np.concatenate(words), found
+    return np.concatenate(buckets), np.concatenate(words), found, which
 
 
 def _learned(batches):
@@ -55,16 +56,17 @@ def _learned(batches):
     for batch in batches:
         langs = batch.column(1).to_pylist()
         for row, end, data, at in W.pieces(batch.column(0)):
-            buckets, words, found = _grams(data, at)
+            buckets, words, found, which = _grams(data, at)
             names = sorted(set(langs[row:end]))
             of_text = np.array([names.index(x) for x in langs[row:end]])
-            of_gram = of_text[found.owner()[words]] if len(words) else words
-            both = np.bincount(of_gram * (1 << BUCKET_BITS) + buckets, minlength=len(names) << BUCKET_BITS).reshape(len(names), -1)
             for k, name in enumerate(names):
-                counts[name] = counts.get(name, 0) + both[k]
+                times = np.bincount(which[of_text[found.owner()] == k], minlength=which.max(initial=-1) + 1)
+                n = np.bincount(buckets, times[words], minlength=1 << BUCKET_BITS).astype(np.int64)
+                counts[name] = counts.get(name, 0) + n
     for name, n in counts.items():
         full = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full.astype(np.int32)), pa.array(n[full])], ["lang", "bucket", "n"])
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full.astype(np.int32)), pa.array(n[full])], ["lang", "bucket", "n"])
 
 
 class Model:
@@ -82,59 +84,67 @@ class Model:
         self.log = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32).T.copy() if self.languages else table.T
 
 
-def _mixtures(loglik: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The proportions of every text, zero outside its chosen set; loglik: words by languages."""
-    n_words = np.bincount(owner, minlength=texts)
-    top = loglik.max(axis=1, keepdims=True) if len(loglik) else loglik
-    likelihood = np.exp(loglik - top)
-    languages = loglik.shape[1]
-    starts = np.flatnonzero(np.diff(owner, prepend=-1))
-    full = np.flatnonzero(n_words)
-
-    def fitted(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(ROUNDS):
-            joint = likelihood * share[owner]
-            joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
-            new = np.zeros_like(share)
-            if len(full):
-                new[full] = np.add.reduceat(joint, starts, axis=0) / n_words[full][:, None]
-            share = new
-        fit = np.zeros(texts)
-        if len(full):
-            fit[full] = np.add.reduceat(np.log(np.maximum((likelihood * share[owner]).sum(axis=1), 1e-300)), starts)
-        return share, fit
+def _fitted(likelihood: np.ndarray, n_words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares after expectation-maximisation, and the log-likelihoods. likelihood: words by languages, those of a text together;
+    every text has a word."""
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    starts = np.cumsum(n_words) - n_words
+    for _ in range(ROUNDS):
+        joint = likelihood * share[owner]
+        joint /= joint.sum(axis=1, keepdims=True) + TINY
+        new = np.add.reduceat(joint, starts, axis=0) / n_words[:, None].astype(np.float32)
+        moved = np.abs(new - share).max(initial=0)
+        share = new
+        if moved < 1e-3:
+            break
+    return share, np.add.reduceat(np.log((likelihood * share[owner]).sum(axis=1) + TINY), starts)
 
-    share, fit = fitted(np.full((texts, languages), 1 / max(1, languages)))
-    cost = PENALTY * np.log(np.maximum(n_words, 2))
+
+def _mixtures(loglik: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """The proportions of every text, zero outside its chosen set. loglik: words by languages, those of a text together."""
+    languages = loglik.shape[1]
+    out = np.zeros((len(n_words), languages), np.float32)
+    texts = np.flatnonzero(n_words)
+    if not len(texts):
+        return out
+    likelihood = np.exp(loglik - loglik.max(axis=1, keepdims=True)).astype(np.float32)
+    n = n_words[texts]
+    share, _ = _fitted(likelihood, n, np.full((len(texts), languages), 1 / languages, np.float32))
+    share[(share * n[:, None] < 1) & (share < share.max(axis=1, keepdims=True))] = 0
+    out[texts] = share / share.sum(axis=1, keepdims=True)
     for _ in range(languages - 1):
-        weakest = np.where(share > 0, share, np.inf).argmin(axis=1)
-        several = (share > 0).sum(axis=1) > 1
+        several = (out[texts] > 0).sum(axis=1) > 1
+        if not several.any():
+            break
+        likelihood, texts, n = likelihood[np.repeat(several, n)], texts[several], n[several]
+        share, fit = _fitted(likelihood, n, out[texts])
         fewer = share.copy()
-        fewer[np.arange(texts), weakest] = 0
-        total = fewer.sum(axis=1, keepdims=True)
-        fewer = np.where(total > 0, fewer / np.maximum(total, 1e-300), 0)
-        fewer, fit_fewer = fitted(fewer)
-        drop = several & (fit - fit_fewer < cost)
-        if not drop.any():
+        in_set = np.where(out[texts] > 0, share, np.inf)
+        weakest = languages - 1 - in_set[:, ::-1].argmin(axis=1)  # of equals the last by name
+        fewer[np.arange(len(texts)), weakest] = 0
+        fewer, fit_fewer = _fitted(likelihood, n, fewer / (fewer.sum(axis=1, keepdims=True) + TINY))
+        drop = fit - fit_fewer < PENALTY * np.log(np.maximum(n, 2))
+        out[texts] = np.where(drop[:, None], fewer, share)
+        likelihood, texts, n = likelihood[np.repeat(drop, n)], texts[drop], n[drop]
+        if not len(texts):
             break
-        share, fit = np.where(drop[:, None], fewer, share), np.where(drop, fit_fewer, fit)
-    return share, n_words
+    return out
 
 
 def _predicted(batches, model):
     languages, log = model.value
     for batch in batches:
         for row, end, data, at in W.pieces(batch.column(1), 1 << 20):
-            buckets, words, found = _grams(data, at)
-            texts = end - row
-            loglik = np.stack([np.bincount(words, log[buckets, k], minlength=len(found.start)) for k in range(len(languages))], axis=1)
-            share, n_words = _mixtures(loglik, found.owner(), texts)
+            buckets, words, found, which = _grams(data, at)
+            texts, n_words = end - row, found.counts()
+            distinct = [np.bincount(words, log[buckets, k], minlength=which.max(initial=-1) + 1) for k in range(len(languages))]
+            share = _mixtures(np.stack(distinct, axis=1)[which], n_words)
             best = share.argmax(axis=1)
             known = n_words > 0
             lang = pa.array([languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)])
             score = np.where(known, share[np.arange(texts), best], 0.0)
             mixture = pa.array([[{"lang": languages[k], "share": float(s[k])} for k in np.flatnonzero(s)] for s in share], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lang, pa.array(np.clip(score, 0, 1)), mixture], ["id", "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lang, pa.array(np.clip(score, 0, 1).astype(np.float64)), mixture], ["id", "lang_pred", "score", "mixture"])
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -166,6 +166,36 @@ def before_title_dropped(md: Column, title: Column) -> Column:
     return F.when((t != "") & (at > 1), F.array_join(F.slice(parts, at.cast("int"), F.size(parts)), "\n")).otherwise(md)
 
 
+def equations_promoted(md: Column, most: int = 60) -> Column:
+    """Formulas alone on a line become display formulas if they hold an equals sign or are longer than most."""
+    lone = r"^[ \t]*\$([^$\n]+)\$[ \t]*$"
+
+    def line(s: Column) -> Column:
+        inner = T.strip(F.regexp_extract(s, lone, 1))
+        shown = s.rlike(lone) & (F.contains(inner, F.lit("=")) | (F.length(inner) > most))
+        return F.when(shown, F.concat(F.lit("\n$$\n"), inner, F.lit("\n$$\n"))).otherwise(s)
+
+    return F.array_join(F.transform(F.split(md, "\n", -1), line), "\n")
+
+
+def formulas_spaced(md: Column) -> Column:
+    """Blanks next to the dollar signs of inline formulas dropped; display formulas on lines of their own."""
+    md = F.regexp_replace(md, r"(?<!\$)\$(?!\$)[ \t]*([^$\n]*[^$\s])[ \t]*(?<!\$)\$(?!\$)", r"\$$1\$")
+    return F.regexp_replace(md, r"(?s)\s*\$\$\s*(.+?)\s*\$\$[ \t]*\n?", "\n\\$\\$\n$1\n\\$\\$\n")
+
+
+def centred_divs_unwrapped(md: Column) -> Column:
+    """Centred one-line divs: their text in italics, but images and sub-labels as they are."""
+    div = r"<div\s+style=\"text-align:\s*center;\s*\">\s*(.+?)\s*</div>"
+    found, between = F.regexp_extract_all(md, F.lit(div), F.lit(1)), F.split(md, div, -1)
+
+    def unwrapped(c: Column) -> Column:
+        bare = F.contains(c, F.lit("<img")) | T.strip(c).rlike(r"^\(?[a-zA-Z](\s*,\s*[a-zA-Z])*\)?$")
+        return F.when(bare, c).otherwise(F.concat(F.lit("*"), c, F.lit("*")))
+
+    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(unwrapped(F.get(found, i)), F.lit("")))), "")
+
+
 def html_title(html: Column) -> Column:
     return T.collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 

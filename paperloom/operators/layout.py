@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as T
+from paperloom.sources.scratch import stored
+
 TEXT_LABELS = ("text", "paragraph_title", "abstract")
 VISUAL_LABELS = ("image", "chart", "table", "figure")
 MARGIN, MIN_SIDE, CLUSTER_GAP, MATCH_RATIO, OPTIONS, CLEAR = 30.0, 3, 0.06, 0.4, 24, 0.2
@@ -95,13 +98,15 @@ def clusters(blocks: DataFrame, rounds: int = 16) -> DataFrame:
     narrow = F.least(F.col("a.right") - F.col("a.left"), F.col("b.right") - F.col("b.left")) * 0.3
     near = a.join(b, same).join(d, (F.col("a.doc") == F.col("d.doc")) & (F.col("a.page") == F.col("d.page")))
     near = near.filter((gap("a", "b") <= F.col("d.diagonal") * CLUSTER_GAP) | (level & (gap("a", "b") <= narrow)))
-    edges = near.select(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.block").alias("block"), F.col("b.block").alias("other")).persist()
+    edges = near.select(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.block").alias("block"), F.col("b.block").alias("other"))
+    edges = stored(edges, "near")
     label = v.select("doc", "page", "block", F.col("block").alias("cluster"))
     for _ in range(rounds):
         seen = edges.join(label.withColumnRenamed("block", "other"), ["doc", "page", "other"]).groupBy("doc", "page", "block").agg(F.min("cluster").alias("seen"))
         nearer = label.join(seen, ["doc", "page", "block"], "left").select("doc", "page", "block", F.least("cluster", F.coalesce("seen", "cluster")).alias("cluster"))
         jump = nearer.select("doc", "page", F.col("block").alias("cluster"), F.col("cluster").alias("further"))
-        new = nearer.join(jump, ["doc", "page", "cluster"], "left").select("doc", "page", "block", F.coalesce("further", "cluster").alias("cluster")).persist()
+        new = nearer.join(jump, ["doc", "page", "cluster"], "left").select("doc", "page", "block", F.coalesce("further", "cluster").alias("cluster"))
+        new = stored(new, "clusters")
         moved = new.alias("n").join(label.alias("o"), ["doc", "page", "block"]).filter(F.col("n.cluster") != F.col("o.cluster")).limit(1).count()
         label = new
         if not moved:
@@ -170,3 +175,12 @@ def repeated_headers(blocks: DataFrame) -> DataFrame:
     """Blocks whose label and content stand on two pages or more of their document."""
     n = blocks.groupBy("doc", "label", "content").agg(F.count_distinct("page").alias("n")).filter("n >= 2").drop("n")
     return blocks.join(n, ["doc", "label", "content"], "left_semi")
+
+
+def document_titles(blocks: DataFrame) -> DataFrame:
+    """(doc, title) from the first filled doc_title of a document's first page: its longest Chinese line, else its first line."""
+    rows = blocks.filter((F.col("label") == "doc_title") & ~T.is_blank(F.col("content")))
+    first = rows.groupBy("doc").agg(F.min(F.struct("page", "block", "content")).alias("b"))
+    parts = F.filter(F.transform(F.split("b.content", "\n"), T.strip), lambda s: s != "")
+    chinese = F.transform(F.filter(parts, lambda s: T.is_chinese(s)), lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s")))
+    return first.select("doc", F.coalesce(F.array_max(chinese)["s"], F.get(parts, F.lit(0))).alias("title"))

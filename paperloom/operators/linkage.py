@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.sources.scratch import stored
 
 #: Columns of a bibliographic record beside its id.
 FIELDS = ("title", "authors", "journal", "year", "doi", "keywords")
@@ -71,20 +72,29 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 def fold_import(incoming: DataFrame, rounds: int = 20) -> DataFrame:
     """Batch import where each accepted record joins the index before the next one is judged (column ordinal gives the order).
 
-    Records that share a DOI or title key form components; only those are folded in order, each in one group, so a group is as
-    large as a set of mutually similar records. Returns id, accepted, target (the record an id ends up as).
+    Records whose keys are all equal duplicate each other, so only the first of them takes part. Those left that share a DOI or
+    title key form components, found by spreading the smallest ordinal over the keys, and only a component is folded in order:
+    a group is as large as a set of different records chained by equal titles or DOIs. Returns id, accepted, target (the
+    record an id ends up as).
     """
-    k = keyed(incoming).select("id", "ordinal", *(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("doi_key", "title_key", "year_key", "author_key")))
-    label = k.withColumn("label", F.col("ordinal").cast("long"))
+    keys = ["doi_key", "title_key", "year_key", "author_key"]
+    k = keyed(incoming).select("id", F.col("ordinal").cast("long").alias("ordinal"), *keys)
+    alike = F.col("doi_key").isNotNull() | (F.col("title_key").isNotNull() & F.coalesce("year_key", "author_key").isNotNull())
+    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in keys), F.when(~alike, F.col("ordinal")).alias("alone"))), 256)
+    k = stored(k.withColumn("record", own), "incoming")
+    first = stored(k.groupBy("record").agg(F.min(F.struct("ordinal", "id", *keys)).alias("f")).select("record", "f.*"), "first")
+    label = first.select("ordinal", "doi_key", "title_key", F.col("ordinal").alias("label"))
     for _ in range(rounds):
-        by_doi = F.min("label").over(Window.partitionBy("doi_key"))
-        by_title = F.min("label").over(Window.partitionBy("title_key"))
-        spread = label.withColumn("next", F.least("label", F.when(F.col("doi_key").isNotNull(), by_doi), F.when(F.col("title_key").isNotNull(), by_title))).persist()
-        moved = spread.filter("next < label").limit(1).count()
-        label = spread.drop("label").withColumnRenamed("next", "label")
-        if not moved:
+        before = label
+        for key in ("doi_key", "title_key"):
+            least = label.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("least"))
+            label = label.join(least, key, "left").withColumn("label", F.least("label", "least")).drop("least")
+        label = stored(label.select("ordinal", "doi_key", "title_key", "label"), "labels")
+        if label.agg(F.sum("label")).first()[0] == before.agg(F.sum("label")).first()[0]:
             break
-    return label.groupBy("label").applyInPandas(_fold, "id string, accepted boolean, target string")
+    folded = first.join(label.select("ordinal", "label"), "ordinal").groupBy("label").applyInPandas(_fold, "id string, accepted boolean, target string")
+    folded = folded.join(first.select("id", "record"), "id").select("record", F.col("id").alias("first_id"), "accepted", "target")
+    return k.join(folded, "record").select("id", ((F.col("id") == F.col("first_id")) & F.col("accepted")).alias("accepted"), "target")
 
 
 def backup_id_map(live: DataFrame, backup: DataFrame) -> DataFrame:

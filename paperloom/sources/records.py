@@ -57,6 +57,42 @@ def atom(body: Column) -> Column:
                     T.normalize_doi(F.xpath_string(body, F.lit("//*[local-name()='entry'][1]/*[local-name()='doi']"))).alias("doi"))
 
 
+def xmp(body: Column) -> Column:
+    """struct(title, authors, journal, year, doi) of an XMP packet; of a packet that is no XML the first year and DOI."""
+    packet = F.regexp_extract(body, r"(?s)<x:xmpmeta.*?</x:xmpmeta>", 0)
+
+    def values(name: str) -> Column:
+        return F.filter(F.xpath(packet, F.lit(f"//*[local-name()='{name}']//*[local-name()='li']/text()")), lambda v: ~T.is_blank(v))
+
+    def text(*names: str) -> Column:
+        return F.coalesce(*(T.trim_to_null(F.xpath_string(packet, F.lit(f"//*[local-name()='{n}'][1]"))) for n in names))
+
+    title = F.get(values("title"), F.lit(0))
+    good = F.struct(F.when(T.is_plausible_title(title), T.collapse(title)).alias("title"), values("creator").alias("authors"), text("publicationName", "source").alias("journal"),
+                    T.first_year(text("publicationDate", "coverDate", "date")).alias("year"), T.first_doi(text("doi", "identifier")).alias("doi"))
+    none = F.lit(None).cast("string")
+    poor = F.struct(none.alias("title"), F.array().cast("array<string>").alias("authors"), none.alias("journal"), T.first_year(body).alias("year"), T.first_doi(body).alias("doi"))
+    return F.when(packet != "", good).otherwise(poor)
+
+
+def citation_pdf_url(html: Column, page: Column) -> Column:
+    """The first citation_pdf_url of the page's meta tags as an absolute http(s) URL, else null."""
+    quoted = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+    def attribute(tag: Column, name: str) -> Column:
+        return F.coalesce(*(F.nullif(F.regexp_extract(tag, r"(?i)[\s\"']" + name + quoted, n), F.lit("")) for n in (1, 2, 3)))
+
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    named = F.filter(tags, lambda t: F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"))) == "citation_pdf_url")
+    content = F.get(F.filter(F.transform(named, lambda t: T.trim_to_null(attribute(t, "content"))), lambda c: c.isNotNull()), F.lit(0))
+    for entity, value in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
+        content = F.replace(content, F.lit(entity), F.lit(value))
+    scheme, root, folder = F.regexp_extract(page, r"^(https?):", 1), F.regexp_extract(page, r"^https?://[^/?#]+", 0), F.regexp_extract(page, r"^https?://[^/?#]+(?:[^?#]*/)?", 0)
+    slash = F.when(F.endswith(folder, F.lit("/")), F.lit("")).otherwise(F.lit("/"))
+    return (F.when(content.rlike(r"(?i)^https?://"), content).when(content.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None)).when(F.startswith(content, F.lit("//")), F.concat(scheme, F.lit(":"), content))
+            .when(F.startswith(content, F.lit("/")), F.concat(root, content)).otherwise(F.concat(folder, slash, content)))
+
+
 def library_items(rows: DataFrame, body: str) -> DataFrame:
     """Documents of a reference manager's items (JSON): key, version, title, authors, journal, year, doi, keywords, and the keys
     of their PDF attachments in order. Deleted items, other types, items without a title, and those with a title alone are

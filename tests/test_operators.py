@@ -275,3 +275,24 @@ def test_item_feed(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start(str(tmp_path / "o")).awaitTermination()
         (folder / "b.jsonl").write_text('{"key":"z","version":9,"body":""}\n')
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["x", "y", "z"]
+
+
+def test_markdown_cleanup(spark):
+    def value(column):
+        return spark.range(1).select(column.alias("v")).first()["v"]
+
+    assert value(documents.equations_promoted(F.lit("a\n $x=1$ \n$y$\nb $z=2$"))) == "a\n\n$$\nx=1\n$$\n\n$y$\nb $z=2$"
+    assert value(documents.centred_divs_unwrapped(F.lit('<div style="text-align: center;">Note</div>x<div style="text-align:center;"> (a) </div><div style="text-align: center;"><img src="u"></div>'))) == '*Note*x(a)<img src="u">'
+    assert value(documents.formulas_spaced(F.lit("a $ x + 1 $ b"))) == "a $x + 1$ b"
+
+
+def test_xmp_and_citation_urls(spark):
+    packet = "junk<x:xmpmeta xmlns:x='x' xmlns:dc='d' xmlns:p='p' xmlns:r='r'><dc:title><r:Alt><r:li>A  title</r:li></r:Alt></dc:title><dc:creator><r:Seq><r:li>B</r:li><r:li>C</r:li></r:Seq></dc:creator><p:doi>doi:10.1234/z</p:doi><p:coverDate>12 May 2003</p:coverDate></x:xmpmeta>"
+    got = spark.createDataFrame([(packet,), ("2001 no packet 10.1234/q",)], "b string").select(records.xmp(F.col("b")).alias("r")).collect()
+    assert tuple(got[0].r) == ("A title", ["B", "C"], None, "2003", "10.1234/z") and (got[1].r.title, got[1].r.year, got[1].r.doi) == (None, "2001", "10.1234/q")
+    cases = [("<meta name=citation_pdf_url content='/a.pdf?x=1&amp;y'>", "https://h.org/p/q", "https://h.org/a.pdf?x=1&y"), ('<META content="b.pdf" NAME="Citation_PDF_URL">', "http://h.org/p/q?z", "http://h.org/p/b.pdf"),
+             ('<meta name="citation_pdf_url" content="ftp://x/y">', "http://h.org", None), ('<meta name="other" content="u">', "http://h.org", None)]
+    rows = spark.createDataFrame([c[:2] for c in cases], "h string, u string").select(records.citation_pdf_url(F.col("h"), F.col("u")).alias("v")).collect()
+    assert [r.v for r in rows] == [c[2] for c in cases]
+    blocks = spark.createDataFrame([(1, 0, 1, "doc_title", " "), (1, 0, 2, "doc_title", "Journal\n深度学习方法\n研究方法"), (2, 0, 1, "doc_title", "A\nB")], "doc int, page int, block int, label string, content string")
+    assert {r.doc: r.title for r in layout.document_titles(blocks).collect()} == {1: "深度学习方法", 2: "A"}
