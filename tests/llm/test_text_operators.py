@@ -58,7 +58,8 @@ def test_chunks_of_equal_stretches_are_cut_alike():
 
 def test_edit_aware_counts(spark, odd, odd_rows, tokenizer):
     state = token_counts.build(odd, PATH)
-    changes = "array(struct(3 AS start, 5 AS length, '<b> ' AS replacement), struct(cast(null AS int), 0, 'Neu: '), struct(100000, 10, ' end'), struct(40, 4000, cast(null AS string)))"
+    edits = [("3", 5, "'<b> '"), ("cast(null AS int)", 0, "'Neu: '"), ("100000", 10, "' end'"), ("40", 4000, "cast(null AS string)")]
+    changes = "array(" + ", ".join(f"named_struct('start', {a}, 'length', {n}, 'replacement', {r})" for a, n, r in edits) + ")"
     got = token_counts.apply_edits(state, PATH, F.expr(changes))
     again = {(repr(r.doc_id), r.text): (r.n_tokens_before, r.n_tokens) for r in got.collect()}
 
