@@ -95,6 +95,14 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
 
 
+@query("SELECT doc_id, text, true AS same FROM documents WHERE text IS NOT NULL")
+def mask_round_trip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mask_round_trip over every text."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", documents.masked(F.col("text")).alias("m"))
+    back = documents.unmasked(F.col("m.masked"), F.col("m.spans"))
+    return docs.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
+
+
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN false ELSE true END AS usable FROM customer")
 def usable_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE c_custkey % 4 WHEN 0 THEN ' (A and b) ' WHEN 1 THEN c_name WHEN 2 THEN 'Figure 1' ELSE 'ab' END")
