@@ -31,6 +31,14 @@ def favorites_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.groupBy("favourite").agg(F.count("*").alias("n_docs"), F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))
 
 
+@query("""SELECT favourite, count(*)::BIGINT AS n_docs, string_agg(doc::VARCHAR, ',' ORDER BY doc) AS docs FROM
+  (SELECT DISTINCT c_nationkey AS favourite, c_custkey AS doc FROM customer) GROUP BY favourite""")
+def favorites_listing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """favorites_listing over every membership."""
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("favourite"), F.col("c_custkey").alias("doc")).distinct()
+    return members.groupBy("favourite").agg(F.count("*").alias("n_docs"), F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))
+
+
 _PAIRS = "SELECT o_custkey % 10 AS favourite, o_orderkey % 1000 AS doc FROM orders WHERE o_orderkey % {0}"
 
 
@@ -158,3 +166,11 @@ FROM (SELECT c_custkey, (c_custkey * c_custkey)::BIGINT AS n FROM customer WHERE
 def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").filter("c_custkey < 20000")
     return c.select("c_custkey", T.format_size((F.col("c_custkey") * F.col("c_custkey")).cast("bigint")).alias("size"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1048576.0, 1))
+  ELSE printf('%.2f GB', round(n / 1073741824.0, 2)) END AS size FROM (SELECT c_custkey, c_custkey::BIGINT * c_custkey::BIGINT AS n FROM customer)""")
+def size_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """size_format over every customer."""
+    n = F.col("c_custkey").cast("bigint")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.format_size(n * n).alias("size"))

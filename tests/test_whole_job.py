@@ -15,3 +15,11 @@ def test_every_text_is_masked_and_restored(spark, tmp_path):
     sf = saved(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.text, r.same) for r in QUERIES["mask_round_trip_all"](spark, sf).collect()}
     assert got == {k: (v, True) for k, v in texts.items() if v is not None}
+
+
+def test_sizes_and_favourites_of_every_customer(spark, tmp_path):
+    sf = saved(spark, tmp_path, "customer", [(1, 3), (5, 3), (33, 3), (19_999, 4), (32_768, 4), (40_000, 4)], "c_custkey long, c_nationkey int")
+    assert {r.c_custkey: r.size for r in QUERIES["size_format_all"](spark, sf).collect()} == {
+        1: "1 B", 5: "25 B", 33: "1.1 KB", 19_999: "381.4 MB", 32_768: "1.00 GB", 40_000: "1.49 GB"}
+    listed = {r.favourite: (r.n_docs, r.docs) for r in QUERIES["favorites_listing_all"](spark, sf).collect()}
+    assert listed == {3: (3, "1,5,33"), 4: (3, "19999,32768,40000")}
