@@ -37,6 +37,14 @@ def back_matter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "section", F.substr("md", F.col("content_start") + 1, F.col("content_end") - F.col("content_start")).alias("content"))
 
 
+@query()
+def back_matter_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """back_matter_sections over texts of any length; where a short text puts a heading too early, it is no section."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MD).alias("md"))
+    found = documents.back_matter(docs, "doc_id", "md").join(docs, "doc_id")
+    return found.select("doc_id", "section", F.substr("md", F.col("content_start") + 1, F.col("content_end") - F.col("content_start")).alias("content"))
+
+
 @query("""SELECT doc_id, count(*)::BIGINT AS n, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(trim(text, chr(10) || ' ') || chr(10) || chr(10) || 'Second ' || doc_id, chr(10) || chr(10))) AS p FROM documents
   WHERE text IS NOT NULL AND text NOT LIKE '%$$%' AND text NOT LIKE '%```%' AND text NOT LIKE '%~~~%' AND NOT regexp_matches(text, '(^|\n)\\s*\\|[- :|]+\\|')) WHERE trim(p, chr(10) || chr(9) || chr(13) || ' ') <> '' GROUP BY doc_id""")
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +54,13 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.paragraphs(docs, "doc_id", "md").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+@query()
+def paragraph_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paragraph_counts over all texts, those with code, formulas and tables as well."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.trim(F.col("text"), F.lit("\n ")), F.lit("\n\nSecond "), F.col("doc_id")).alias("md"))
+    return documents.paragraphs(docs, "doc_id", "md").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
 @query("""WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, (l_partkey % 500)::INT AS s, (l_partkey % 500 + l_quantity)::INT AS e FROM lineitem)
 SELECT doc, n FROM r a WHERE n % 2 = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.n % 2 = 0 AND b.doc = a.doc AND a.s < b.e AND a.e > b.s)""")
 def range_overlap_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +95,13 @@ def chat_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.compose_chat(F.lit("see https://x.org"), F.col("text"), F.concat(F.lit(" Why "), F.col("turn"), F.lit("? "))).alias("message"))
 
 
+@query()
+def chat_compose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_compose over all messages, those with outer white space and without text as well."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", T.compose_chat(F.lit("see https://x.org"), F.col("text"), F.concat(F.lit(" Why "), F.col("turn"), F.lit("? "))).alias("message"))
+
+
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace('api_key = abc' || doc_id || '; ' || 'Bearer x' || doc_id || ' in /home/u' || doc_id || '/f', '(Bearer)\s+[A-Za-z0-9._~+/=-]+', '\1 [REDACTED]', 'g'), '/home/[^/\s]+', '<USER_HOME>', 'g')
   .regexp_replace('(api_key\s*[:=]\s*)[^\s,;}\]]+', '\1[REDACTED]', 'g') AS text FROM documents""")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +110,12 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact_credentials(text).alias("text"))
 
 
+@query()
+def redact_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the documents, redacted."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact_credentials(F.col("text")).alias("text"))
+
+
 @query("SELECT doc_id, text, true AS same FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0")
 def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND doc_id % 10 = 0").select("doc_id", "text", documents.masked(F.col("text")).alias("m"))
