@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.llm.components import components
 from paperloom.sources.scratch import stored
 
 #: Columns of a bibliographic record beside its id.
@@ -69,13 +70,12 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "accepted", "target"])
 
 
-def fold_import(incoming: DataFrame, rounds: int = 20) -> DataFrame:
+def fold_import(incoming: DataFrame) -> DataFrame:
     """Batch import where each accepted record joins the index before the next one is judged (column ordinal gives the order).
 
-    Records whose keys are all equal duplicate each other, so only the first of them takes part. Those left that share a DOI or
-    title key form components, found by spreading the smallest ordinal over the keys, and only a component is folded in order:
-    a group is as large as a set of different records chained by equal titles or DOIs. Returns id, accepted, target (the
-    record an id ends up as).
+    Records whose keys are all equal duplicate each other, so only the first of them takes part. Those left that share a DOI,
+    or a title with a year or first author, form components, and only a component is folded in order: a group is as large as
+    a set of different records chained by these. Returns id, accepted, target (the record an id ends up as).
     """
     keys = ["doi_key", "title_key", "year_key", "author_key"]
     k = keyed(incoming).select("id", F.col("ordinal").cast("long").alias("ordinal"), *keys)
@@ -83,16 +83,13 @@ def fold_import(incoming: DataFrame, rounds: int = 20) -> DataFrame:
     own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in keys), F.when(~alike, F.col("ordinal")).alias("alone"))), 256)
     k = stored(k.withColumn("record", own), "incoming")
     first = stored(k.groupBy("record").agg(F.min(F.struct("ordinal", "id", *keys)).alias("f")).select("record", "f.*"), "first")
-    label = first.select("ordinal", "doi_key", "title_key", F.col("ordinal").alias("label"))
-    for _ in range(rounds):
-        before = label
-        for key in ("doi_key", "title_key"):
-            least = label.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("least"))
-            label = label.join(least, key, "left").withColumn("label", F.least("label", "least")).drop("least")
-        label = stored(label.select("ordinal", "doi_key", "title_key", "label"), "labels")
-        if label.agg(F.sum("label")).first()[0] == before.agg(F.sum("label")).first()[0]:
-            break
-    folded = first.join(label.select("ordinal", "label"), "ordinal").groupBy("label").applyInPandas(_fold, "id string, accepted boolean, target string")
+    edges = []
+    for link in (["doi_key"], ["title_key", "year_key"], ["title_key", "author_key"]):
+        least = first.dropna(subset=link).groupBy(*link).agg(F.min("ordinal").alias("least"))
+        edges.append(first.join(least, link).select(F.col("ordinal").alias("u"), F.col("least").alias("v")))
+    root = components(reduce(DataFrame.union, edges))
+    label = first.join(root, F.col("ordinal") == F.col("node"), "left").select("ordinal", F.coalesce("root", "ordinal").alias("label"))
+    folded = first.join(label, "ordinal").groupBy("label").applyInPandas(_fold, "id string, accepted boolean, target string")
     folded = folded.join(first.select("id", "record"), "id").select("record", F.col("id").alias("first_id"), "accepted", "target")
     return k.join(folded, "record").select("id", ((F.col("id") == F.col("first_id")) & F.col("accepted")).alias("accepted"), "target")
 

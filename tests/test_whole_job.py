@@ -1,6 +1,11 @@
 """Queries over whole tables: rows that a filter once kept from the operator."""
 
+import random
+
+import pandas as pd
+
 import __spark_entry__
+from paperloom.operators import linkage
 
 QUERIES = __spark_entry__.queries()
 
@@ -62,3 +67,19 @@ def test_secrets_in_texts_are_redacted(spark, tmp_path):
     sf = saved(spark, tmp_path, "documents", [(1, "x password: hunter2 at /home/ann/f"), (2, "none"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in QUERIES["redact_text_all"](spark, sf).collect()}
     assert got == {1: "x password: [REDACTED] at <USER_HOME>/f", 2: "none", 3: None}
+
+
+def test_import_fold_of_a_long_chain(spark):
+    rows = [(f"r{n}", f"t{(n + 1) // 2}", [], "2000", f"10.1/{n // 2}", n) for n in range(60)]
+    incoming = spark.createDataFrame(rows, "id string, title string, authors array<string>, year string, doi string, ordinal long")
+    got = {r.id: (r.accepted, r.target) for r in linkage.fold_import(incoming).collect()}
+    assert got == {f"r{n}": (n % 2 == 0, f"r{n - n % 2}") for n in range(60)}
+
+
+def test_import_fold_is_the_fold_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(f"r{n}", rng.choice(["t", "t", "u", "v", None]), [rng.choice("abcdefgh")] if rng.random() < 0.6 else [], rng.choice(["1", "2", "3", "4", None]), rng.choice([None, None, *map(str, range(40))]), n) for n in range(200)]
+    incoming = spark.createDataFrame(rows, "id string, title string, authors array<string>, year string, doi string, ordinal long")
+    keys = linkage.keyed(incoming).select("id", "ordinal", "doi_key", "title_key", "year_key", "author_key").collect()
+    want = linkage._fold(pd.DataFrame(keys, columns=["id", "ordinal", "doi_key", "title_key", "year_key", "author_key"], dtype=object))
+    assert {tuple(r) for r in linkage.fold_import(incoming).collect()} == set(want.itertuples(index=False, name=None))
