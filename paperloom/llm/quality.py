@@ -100,7 +100,8 @@ def labelled_sample(labels: DataFrame, doc_id: str, quality: str, toxic: str) ->
 
 
 def _threshold(held_out: DataFrame) -> float:
-    """The weight that best separates good from other held-out documents (at most MAX_LABELLED rows)."""
+    """The weight that best separates good from other held-out documents (a row for each, at most MAX_LABELLED); rows that repeat an id count as
+    one of their mean weight."""
     rows = held_out.select("weight", "good").toPandas()
     weight, good = rows["weight"].to_numpy(float), rows["good"].to_numpy(bool)
     if good.all() or not good.any():
@@ -155,7 +156,7 @@ class Selection:
         raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
         self.model = spark.sparkContext.broadcast(_log_ratios(raw, target))
         scored = stored(weighted(rows, "t", self.model).select("id.doc", "weight").withColumn("key", self._key("doc")), "weights")
-        self.threshold = _threshold(scored.filter("weight IS NOT NULL").join(F.broadcast(sample.filter("held_out")), "doc"))
+        self.threshold = _threshold(scored.filter("weight IS NOT NULL").join(F.broadcast(sample.filter("held_out")), "doc").groupBy("doc").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")))
         self.k = scored.filter(F.col("weight") >= self.threshold).count()
         self.cut = kth_largest(scored, "key", self.k) if self.k else np.inf
         self.scored = scored

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a piece of sorted lines.
+PIECE = 1 << 13
+
 
 def storage_report(files: DataFrame, group: Column, size: Column) -> DataFrame:
     """Files and bytes by group and in total."""
@@ -13,9 +20,56 @@ def storage_report(files: DataFrame, group: Column, size: Column) -> DataFrame:
         F.when(F.col("g") == 1, "total").otherwise(F.col("grp")).alias("grp"), "files", "bytes")
 
 
+def _packed(batches):
+    """Runs of sorted lines of one key as pieces of about PIECE characters: key, partition, number, piece (null: no line)."""
+    part, n = TaskContext.get().partitionId(), 0
+    key, held, size, begun = None, [], 0, False
+
+    def piece():
+        return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array(["\n".join(held) if held else None], pa.large_string())], ["key", "part", "n", "piece"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if begun and (k != key or size >= PIECE):
+                yield piece()
+                n, held, size = n + 1, [], 0
+            key, begun = k, True
+            if line is not None:
+                held.append(line)
+                size += len(line) + 1
+    if begun:
+        yield piece()
+
+
+def _hashed(batches):
+    """The SHA-256 of each key's pieces, which come in order: key, digest."""
+    key, state, lines, begun = None, hashlib.sha256(), False, False
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if begun and k != key:
+                yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([state.hexdigest()])], ["key", "digest"])
+                state, lines = hashlib.sha256(), False
+            key, begun = k, True
+            if text is not None:
+                state.update(("\n" if lines else "").encode() + text.encode())
+                lines = True
+    if begun:
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([state.hexdigest()])], ["key", "digest"])
+
+
 def fingerprint(lines: DataFrame, key: str, line: str, name: str = "fingerprint") -> DataFrame:
-    """SHA-256 of the sorted lines of each key, whatever order they come in."""
-    return lines.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias(name))
+    """SHA-256 of the sorted lines of each key, whatever order they come in; null lines are passed over.
+
+    All lines are sorted together by ranges, so a frequent key is sorted by many tasks. Only the hash, which must read a key's
+    lines in turn, is one task a key; it streams over pieces and holds one batch of them.
+    """
+    kind = lines.select(key).schema[0].dataType.simpleString()
+    rows = lines.select(F.col(key).alias("key"), F.col(line).cast("string").alias("line")).orderBy("key", "line")
+    pieces = rows.mapInArrow(_packed, f"key {kind}, part int, n bigint, piece string")
+    digests = pieces.repartition("key").sortWithinPartitions("key", "part", "n").mapInArrow(_hashed, f"key {kind}, digest string")
+    return digests.select(F.col("key").alias(key), F.col("digest").alias(name))
 
 
 def document_fingerprint(docs: DataFrame, highlights: DataFrame, key: str = "id", foreign_key: str = "docId") -> DataFrame:

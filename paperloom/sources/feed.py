@@ -9,10 +9,11 @@ The folder stands for the remote library: JSON lines (key, version, body) in fil
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def _items(folder: str, name: str | None = None):
@@ -20,7 +21,7 @@ def _items(folder: str, name: str | None = None):
     for info in store.get_file_info(fs.FileSelector(path)):
         if info.is_file and info.path.endswith(".jsonl") and name in (None, info.path):
             with store.open_input_stream(info.path) as file:
-                for line in file.read().decode().splitlines():
+                for line in io.TextIOWrapper(io.BufferedReader(file), "utf-8"):
                     item = json.loads(line)
                     yield item["key"], int(item["version"]), item.get("body")
 
@@ -42,19 +43,30 @@ class _Batch(DataSourceReader):
         return (row for row in _items(self.folder, partition.path) if row[1] > self.since)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Span(_Page):
+    def __init__(self, path: str, start: int, end: int):
+        super().__init__(path)
+        self.start, self.end = start, end
+
+
+class _Stream(DataSourceStreamReader):
+    """A partition for each file; the driver reads versions only, and holds the largest."""
+
     def __init__(self, folder: str, since: int):
-        self.folder, self.since = folder, since
+        self.folder, self.since, self.latest = folder, since, since
 
     def initialOffset(self):
         return {"version": self.since}
 
-    def read(self, start):
-        rows = [r for r in _items(self.folder) if r[1] > start["version"]]
-        return iter(rows), {"version": max((r[1] for r in rows), default=start["version"])}
+    def latestOffset(self):
+        self.latest = max(self.latest, max((r[1] for r in _items(self.folder)), default=self.latest))
+        return {"version": self.latest}
+
+    def partitions(self, start, end):
+        return [_Span(page.path, start["version"], end["version"]) for page in _Batch(self.folder, 0).partitions()]
 
-    def readBetweenOffsets(self, start, end):
-        return (r for r in _items(self.folder) if start["version"] < r[1] <= end["version"])
+    def read(self, partition):
+        return (row for row in _items(self.folder, partition.path) if partition.start < row[1] <= partition.end)
 
 
 class ItemFeed(DataSource):
@@ -68,5 +80,5 @@ class ItemFeed(DataSource):
     def reader(self, schema):
         return _Batch(self.options["path"], int(self.options.get("since", 0)))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options["path"], int(self.options.get("since", 0)))

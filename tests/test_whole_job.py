@@ -1,11 +1,15 @@
 """Queries over whole tables: rows that a filter once kept from the operator."""
 
+import hashlib
+import json
 import random
 
 import pandas as pd
 
 import __spark_entry__
-from paperloom.operators import linkage
+from paperloom.llm import quality
+from paperloom.operators import linkage, metrics
+from paperloom.sources import feed
 
 QUERIES = __spark_entry__.queries()
 
@@ -83,3 +87,30 @@ def test_import_fold_is_the_fold_of_all_rows(spark):
     keys = linkage.keyed(incoming).select("id", "ordinal", "doi_key", "title_key", "year_key", "author_key").collect()
     want = linkage._fold(pd.DataFrame(keys, columns=["id", "ordinal", "doi_key", "title_key", "year_key", "author_key"], dtype=object))
     assert {tuple(r) for r in linkage.fold_import(incoming).collect()} == set(want.itertuples(index=False, name=None))
+
+
+def test_fingerprint_gathers_no_key(spark):
+    rows = [("hot", f"line {n % 1500} é") for n in range(3000)] + [("a", "x"), ("a", None), (None, "y"), ("none", None)]
+    out = metrics.fingerprint(spark.createDataFrame(rows, "k string, line string").repartition(5), "k", "line")
+    want = {k: hashlib.sha256("\n".join(sorted(v for key, v in rows if key == k and v is not None)).encode()).hexdigest() for k in ("hot", "a", None, "none")}
+    assert {r.k: r.fingerprint for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_feed_has_a_partition_for_each_file(tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_text("".join(json.dumps({"key": f"{n}{v}", "version": n * 2 + v, "body": "a\u2028b"}, ensure_ascii=False) + "\n" for v in (1, 2)), "utf-8")
+    reader = feed.ItemFeed({"path": f"file://{tmp_path}", "since": "1"}).streamReader(None)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert (start, end, len(parts)) == ({"version": 1}, {"version": 6}, 3)
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == [2, 3, 4, 5, 6]
+
+
+def test_threshold_reads_a_row_for_each_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(n % 40, f"word{n % 40} the river {'bad' if n % 2 else 'good'}") for n in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1 - n % 2, 0) for n in range(40)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality._threshold
+    monkeypatch.setattr(quality, "_threshold", lambda rows: seen.append((rows.count(), rows.select("doc").distinct().count())) or real(rows))
+    quality.select(docs, labels)
+    assert seen[0][0] == seen[0][1] > 0
