@@ -85,11 +85,10 @@ def diagonals(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc", "page").agg(F.hypot(F.max("right") - F.min("left"), F.max("bottom") - F.min("top")).alias("diagonal"))
 
 
-def clusters(blocks: DataFrame, rounds: int = 16) -> DataFrame:
+def clusters(blocks: DataFrame) -> DataFrame:
     """Visuals with the cluster they belong to (its smallest block): near ones, or side by side in one row, joined in turn.
 
-    A page has few visuals, so `rounds` steps of taking the smallest neighbour's label, each doubling the reach, are enough
-    for chains of 65,000.
+    Steps of taking the smallest neighbour's label go on until no label moves: at most as many as a page has visuals in a chain.
     """
     v = blocks.filter(F.col("label").isin(*VISUAL_LABELS)).dropDuplicates(["doc", "page", "block"])
     a, b, d = v.alias("a"), v.alias("b"), diagonals(blocks).alias("d")
@@ -101,7 +100,7 @@ def clusters(blocks: DataFrame, rounds: int = 16) -> DataFrame:
     edges = near.select(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.block").alias("block"), F.col("b.block").alias("other"))
     edges = stored(edges, "near")
     label = v.select("doc", "page", "block", F.col("block").alias("cluster"))
-    for _ in range(rounds):
+    while True:
         seen = edges.join(label.withColumnRenamed("block", "other"), ["doc", "page", "other"]).groupBy("doc", "page", "block").agg(F.min("cluster").alias("seen"))
         nearer = label.join(seen, ["doc", "page", "block"], "left").select("doc", "page", "block", F.least("cluster", F.coalesce("seen", "cluster")).alias("cluster"))
         jump = nearer.select("doc", "page", F.col("block").alias("cluster"), F.col("cluster").alias("further"))
@@ -110,8 +109,7 @@ def clusters(blocks: DataFrame, rounds: int = 16) -> DataFrame:
         moved = new.alias("n").join(label.alias("o"), ["doc", "page", "block"]).filter(F.col("n.cluster") != F.col("o.cluster")).limit(1).count()
         label = new
         if not moved:
-            break
-    return label
+            return label
 
 
 def caption_pairs(blocks: DataFrame, captions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 
 import __spark_entry__
 from paperloom.llm import quality
-from paperloom.operators import linkage, metrics
+from paperloom.operators import layout, linkage, metrics
 from paperloom.sources import feed
 
 QUERIES = __spark_entry__.queries()
@@ -114,3 +114,10 @@ def test_threshold_reads_a_row_for_each_id(spark, monkeypatch):
     monkeypatch.setattr(quality, "_threshold", lambda rows: seen.append((rows.count(), rows.select("doc").distinct().count())) or real(rows))
     quality.select(docs, labels)
     assert seen[0][0] == seen[0][1] > 0
+
+
+def test_clusters_of_a_long_chain(spark):
+    order = [2, *range(10, 31), 1]
+    rows = [(1, 1, block, "image", n * 101.0, 0.0, n * 101.0 + 100, 10.0) for n, block in enumerate(order)]
+    blocks = spark.createDataFrame([*rows], "doc int, page int, block int, label string, left double, top double, right double, bottom double")
+    assert {(r.block, r.cluster) for r in layout.clusters(blocks).collect()} == {(b, 1) for b in order}
