@@ -118,6 +118,6 @@ def test_threshold_reads_a_row_for_each_id(spark, monkeypatch):
 
 def test_clusters_of_a_long_chain(spark):
     order = [2, *range(10, 31), 1]
-    rows = [(1, 1, block, "image", n * 101.0, 0.0, n * 101.0 + 100, 10.0) for n, block in enumerate(order)]
+    rows = [(1, 1, block, "image", n * 180.0, 0.0, n * 180.0 + 100, 10.0) for n, block in enumerate(order)]
     blocks = spark.createDataFrame([*rows], "doc int, page int, block int, label string, left double, top double, right double, bottom double")
     assert {(r.block, r.cluster) for r in layout.clusters(blocks).collect()} == {(b, 1) for b in order}
