@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.llm.components import components
+from paperloom.operators.components import components
 from paperloom.sources.scratch import stored
 
 #: Columns of a bibliographic record beside its id.

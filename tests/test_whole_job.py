@@ -7,7 +7,6 @@ import random
 import pandas as pd
 
 import __spark_entry__
-from paperloom.llm import quality
 from paperloom.operators import layout, linkage, metrics
 from paperloom.sources import feed
 
@@ -107,15 +106,6 @@ def test_feed_has_a_partition_for_each_file(tmp_path):
     assert sorted(r[1] for p in parts for r in reader.read(p)) == [2, 3, 4, 5, 6]
 
 
-def test_threshold_reads_a_row_for_each_id(spark, monkeypatch):
-    docs = spark.createDataFrame([(n % 40, f"word{n % 40} the river {'bad' if n % 2 else 'good'}") for n in range(400)], "doc_id long, text string")
-    labels = spark.createDataFrame([(n, 1 - n % 2, 0) for n in range(40)], "doc_id long, quality int, toxic int")
-    seen, real = [], quality._threshold
-    monkeypatch.setattr(quality, "_threshold", lambda rows: seen.append((rows.count(), rows.select("doc").distinct().count())) or real(rows))
-    quality.select(docs, labels)
-    assert seen[0][0] == seen[0][1] > 0
-
-
 def test_clusters_of_a_long_chain(spark):
     order = [2, *range(10, 31), 1]
     rows = [(1, 1, block, "image", n * 180.0, 0.0, n * 180.0 + 100, 10.0) for n, block in enumerate(order)]
