@@ -1,14 +1,17 @@
 """Quality selection by importance resampling.
 
 Two hashed n-gram models, one of target text (documents labelled good and not toxic) and one of the raw corpus (all
-documents), give each document an importance weight; Gumbel top-k then samples documents in proportion to their weights
-without replacement: the k largest of weight / TEMPERATURE + Gumbel noise.
+documents), give each document its importance weight: the sum over all its n-grams of log(target / raw), whichever its sign.
+Gumbel top-k then draws k documents without replacement in proportion to their weights: the k largest of log weight plus
+standard Gumbel noise.
 
 N-grams: every word or run of punctuation, the first four, five and six bytes of longer words, and a mark for a token that
-repeats the one before. The weight sums log(target / raw) over a document's n-grams, counting only n-grams that target text
-avoids significantly (by DEFICIT standard errors; others tell nothing and would add the noise of rare words), and divides by
-the root of their number. k is the number of documents whose weight reaches the threshold that best separates a held-out
-part of the labelled documents.
+repeats the one before. Both models add SMOOTHING counts to each bucket, at the size of the target sample, so a bucket that
+the sample can tell little about has a ratio near one. The weight is a sum, not a mean: a long document has more evidence on
+either side and is weighed by all of it; nothing is divided by its length.
+
+k is a parameter. Where it is not given, labels calibrate it: it is the number of documents whose weight reaches the value
+that best separates a held-out part of the labelled documents. Labels never replace a weight.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ BUCKET_BITS = 18
 #: Labelled documents that the target model and the threshold are learned from, at most; every fourth is held out.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 5, 6)
-DEFICIT, TEMPERATURE = 3.0, 0.02
+#: Counts that both models add to each bucket, in units of the target sample.
+SMOOTHING = 5.0
 #: How many lost good documents weigh as much as one kept bad one, when the threshold is chosen.
 LOSS_WEIGHT = 2.0
 _KIND = np.array([0 if b <= 0x20 or b == 0x7F else 1 if W.ALPHANUMERIC[W.LOWER[b]] else 2 for b in range(256)], np.uint8)
@@ -64,15 +68,11 @@ def _counted(batches):
 
 
 def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(target / raw) of the buckets that target text avoids, else 0; raw is scaled so that ordinary buckets have ratio 1."""
+    """log(target / raw) of every bucket, both models smoothed; raw counts are scaled to the size of the target sample."""
     if not target.sum():
         return np.zeros(len(raw))
     expected = raw * (target.sum() / raw.sum())
-    ordinary = expected > 50
-    if ordinary.any():
-        expected = expected * np.exp(np.median(np.log((target[ordinary] + 1) / (expected[ordinary] + 1))))
-    avoided = (expected - target > DEFICIT * np.sqrt(expected + 1)) & (target < expected / 2)
-    return np.where(avoided, np.log((target + 1) / (expected + 1)), 0.0)
+    return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
 def _weighted(batches, model):
@@ -81,7 +81,7 @@ def _weighted(batches, model):
             bucket, text = grams(data, at)
             n = np.bincount(text, minlength=end - row)
             total = np.bincount(text, model.value[bucket], minlength=end - row)
-            weight = pa.array(total / np.sqrt(n + 1), mask=n == 0)
+            weight = pa.array(total, mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), weight], ["id", "weight"])
 
 
@@ -143,9 +143,10 @@ def gumbel(key: Column, seed: int) -> Column:
 
 
 class Selection:
-    """A fitted selection: the model, the threshold, k, and the smallest key that is kept."""
+    """A fitted selection: the model, k, and the smallest key that is kept."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", seed: int = 0):
+    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", seed: int = 0,
+                 k: int | None = None):
         spark = docs.sparkSession
         self.doc_id, self.text, self.seed = doc_id, text, seed
         sample = stored(labelled_sample(labels, doc_id, quality, toxic), "labelled")
@@ -156,13 +157,16 @@ class Selection:
         raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
         self.model = spark.sparkContext.broadcast(_log_ratios(raw, target))
         scored = stored(weighted(rows, "t", self.model).select("id.doc", "weight").withColumn("key", self._key("doc")), "weights")
-        self.threshold = _threshold(scored.filter("weight IS NOT NULL").join(F.broadcast(sample.filter("held_out")), "doc").groupBy("doc").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")))
-        self.k = scored.filter(F.col("weight") >= self.threshold).count()
+        if k is None:
+            held_out = scored.filter("weight IS NOT NULL").join(F.broadcast(sample.filter("held_out")), "doc")
+            self.threshold = _threshold(held_out.groupBy("doc").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")))
+            k = scored.filter(F.col("weight") >= self.threshold).count()
+        self.k = min(k, scored.filter("weight IS NOT NULL").count())
         self.cut = kth_largest(scored, "key", self.k) if self.k else np.inf
         self.scored = scored
 
     def _key(self, doc_id: str) -> Column:
-        return F.col("weight") / TEMPERATURE + gumbel(F.col(doc_id), self.seed)
+        return F.col("weight") + gumbel(F.col(doc_id), self.seed)
 
     def scores(self) -> DataFrame:
         """doc_id, log_weight, key and kept per row."""
@@ -176,8 +180,9 @@ class Selection:
 def select(docs: DataFrame, labels: DataFrame, **options) -> Selection:
     """Fit on all rows of docs and a bounded sample of labels.
 
-    Null, empty and blank texts have no n-grams, no weight, and are not kept. Rows that repeat an id draw the same noise;
-    ties with the k-th key are all kept. Labels of unknown documents are passed over; if none are left, or none is bad, every
-    document with n-grams is kept. An empty table gives no rows. Other columns go along untouched.
+    k: how many documents to draw; by default as many as the held-out labels suggest. Null, empty and blank texts have no
+    n-grams, no weight, and are not kept. Very long texts are weighed whole. Rows that repeat an id draw the same noise; ties
+    with the k-th key are all kept. Labels of unknown documents are passed over; if none are left, or none is bad, every
+    document with n-grams is kept. An empty table gives no rows. Other columns, whatever their names, go along untouched.
     """
     return Selection(docs, labels, **options)
