@@ -1,6 +1,7 @@
 """Token, word and language operators against plain Python."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -36,15 +37,57 @@ def test_encoding_of_nothing(empty):
     assert bpe.encode(empty, PATH).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \n\t'aé.1<|>"))), max_size=300))
-def test_pieces_join_to_the_whole(tokenizer, text):
+PIECES = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(["  ", "\n\n", " the", "'", "'re", "ll", "<|endoftext|>", "<|end", "text|>", "é", "中文字", "数据", "。", "1", "99", "...", "word"]))
+
+
+def alone(own, raw):
+    ids = own.encoded(raw)
+    sure = [p for p in own.boundaries(raw) if p <= len(raw) - own.margin]
+    last = sure[-1] if sure else 0
+    return ids, last, int(np.searchsorted(np.cumsum(own.sizes[ids]), last, "right"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=120).map("".join), st.lists(st.integers(0, 3000), max_size=8))
+def test_joins_are_repaired_whatever_the_cuts(tokenizer, text, at):
+    """Chunks cut anywhere, not at certain boundaries, each encoded on its own: what is put together equals the library's ids."""
+    own = bpe.vocabulary(PATH)
+    raw = text.encode()
+    edges = sorted({0, len(raw), *(p for p in at if p < len(raw) and raw[p] & 0xC0 != 0x80)})
+    places = [(a, b, n) for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if n % 3 != 2]
+    known = {n: alone(own, raw[a:b]) for a, b, n in places}
+    ids, reused = bpe.assembled(own, raw, places, known)
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and 0 <= reused <= len(raw)
+    assert own.decode(ids) == text
+
+
+def test_a_chunk_under_anothers_hash_is_not_used():
     own = bpe.vocabulary(PATH)
-    data = np.frombuffer((text * 4).encode(), np.uint8)
-    places = bpe._plan(data, np.array([0, len(data)]))[0]
-    ids = [i for a, b in zip(places[:-1], places[1:], strict=True) for i in own.encode(data[a:b].tobytes().decode())]
-    assert ids == tokenizer.encode(text * 4, add_special_tokens=False).ids
-    assert own.decode(ids) == text * 4
+    raw = ("some words in a row " * 20).encode()
+    ids, reused = bpe.assembled(own, raw, [(0, 200, 7)], {7: alone(own, b"x" * 200)})
+    assert reused == 0 and own.decode(ids).encode() == raw
+
+
+@pytest.mark.parametrize("unit", ["Some words that many texts share, one after another. ", "数据处理的方法很多。我们在这里说明其中的一种，并且比较结果。"])
+def test_shared_chunks_are_reused(spark, tokenizer, unit):
+    rng = random.Random(4)
+    shared = "".join(unit[rng.randrange(len(unit)) :] + str(rng.randrange(999)) for _ in range(200))
+    docs = [(n, f"begins {n} alone" + shared[n * 7 :] + f"{n} ends") for n in range(5)] + [(9, "nothing in common")]
+    rows = {r.doc_id: r for r in bpe.encode(spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect()}
+    assert all(list(rows[n].ids) == tokenizer.encode(t, add_special_tokens=False).ids and rows[n].decoded == t for n, t in docs)
+    assert rows[9].reused_bytes == 0 and all(rows[n].reused_bytes > 0.6 * len(t.encode()) for n, t in docs[:5])
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": None},
+    {"model": {"type": "WordPiece"}}, {"model": {"type": "BPE", "byte_fallback": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]},
+    {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4}, "merges": ["a b", "b c"]}}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel"}, "decoder": {"type": "ByteLevel"}, "added_tokens": [], "model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({**spec, **change}))
+    with pytest.raises(ValueError, match="can't be used"):
+        bpe.Vocabulary(str(path))
 
 
 def test_chunks_of_equal_stretches_are_cut_alike():
