@@ -3,7 +3,10 @@
 The state of a document is its text and a segment tree over leaves of about LEAF_BYTES, cut at places where tokens before and
 after are certain not to depend on each other (see bpe.certain_boundaries). Each node holds the bytes and tokens below it. An
 edit finds its leaves by descending the tree, takes in a neighbouring leaf where it has touched the characters that made the
-boundary certain, re-encodes that region alone, and updates the sums on the paths to the root. Counts stay exact.
+boundary certain, re-encodes that region alone, and updates the sums on the paths to the root. A region that has grown beyond
+two leaves is cut into leaves again and the sums are balanced anew, which adds integers but encodes nothing else; so however
+many edits meet at one place, each re-encodes a few leaves. Counts stay exact. A stretch without a certain boundary, such as
+one very long word, is one leaf.
 """
 
 from __future__ import annotations
@@ -28,12 +31,18 @@ class CountTree:
     """Heap-ordered sums: node k has children 2k and 2k+1, the leaves are the last half."""
 
     def __init__(self, text: bytes, sizes, tokens):
-        self.text = text
-        self.size, self.count, self.reencoded = list(sizes), list(tokens), 0
-        self.leaves = len(self.size) // 2
+        self.text, self.reencoded = text, 0
+        self._take(list(sizes), list(tokens))
+
+    def _take(self, size: list[int], count: list[int]) -> None:
+        self.size, self.count, self.leaves = size, count, len(size) // 2
 
     @classmethod
     def built(cls, text: bytes, leaves: list[tuple[int, int]]) -> CountTree:
+        return cls(text, *cls._sums(leaves))
+
+    @staticmethod
+    def _sums(leaves: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
         width = 1
         while width < len(leaves):
             width *= 2
@@ -42,7 +51,7 @@ class CountTree:
             size[width + k], count[width + k] = n, tokens
         for k in range(width - 1, 0, -1):
             size[k], count[k] = size[2 * k] + size[2 * k + 1], count[2 * k] + count[2 * k + 1]
-        return cls(text, size, count)
+        return size, count
 
     @property
     def tokens(self) -> int:
@@ -82,9 +91,19 @@ class CountTree:
                 break
         self.text = self.text[:low] + region + self.text[high:]
         self.reencoded += len(region)
+        if len(region) > 2 * LEAF_BYTES:
+            data = np.frombuffer(region, np.uint8)
+            pieces = _leaves(region, bpe.certain_boundaries(data), encode)
+            if len(pieces) > 1:
+                return self._replace(first, last, pieces)
         for leaf in range(first + 1, last + 1):
             self._set(leaf, 0, 0)
-        self._set(first, len(region), len(encode(region.decode())))
+        return self._set(first, len(region), len(encode(region.decode())))
+
+    def _replace(self, first: int, last: int, pieces: list[tuple[int, int]]) -> None:
+        """New leaves in place of some, empty ones left out, and the sums over all of them."""
+        now = list(zip(self.size[self.leaves :], self.count[self.leaves :], strict=True))
+        self._take(*self._sums([leaf for leaf in now[:first] + pieces + now[last + 1 :] if leaf[0]]))
 
 
 def _leaves(raw: bytes, sure: np.ndarray, encode) -> list[tuple[int, int]]:
@@ -114,8 +133,9 @@ def _built(batches, path: str):
 
 
 def build(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The state of every row: doc_id, text (null: empty), and the trees size and count. Other columns are ignored; an empty
-    text has an empty leaf."""
+    """The state of every row: doc_id, text (null: empty), and the trees size and count. An empty text has an empty leaf, a very
+    long one a tree as deep as its length's logarithm. Repeated rows stay rows; other columns are ignored, whatever their
+    names; an empty table gives no rows."""
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(lambda it: _built(it, tokenizer), f"id {kind}, text string, size array<int>, count array<int>").withColumnRenamed("id", doc_id)
@@ -132,6 +152,8 @@ def _edited(batches, path: str):
                 tree = CountTree(text.encode(), size, count)
                 before.append(tree.tokens)
                 for change in changes or ():
+                    if change is None:
+                        continue
                     now = text
                     start = min(max(change["start"] or 0, 0), len(now))
                     end = min(start + max(change["length"] or 0, 0), len(now))
@@ -149,7 +171,8 @@ def apply_edits(state: DataFrame, tokenizer: str, edits: str | Column = "edits",
     """The state after each row's edits, with n_tokens_before, n_tokens and reencoded_bytes.
 
     edits: an array of structs (start, length, replacement) in code points, applied in order, each to the text that the one
-    before has left. Places beyond the text are moved to its end, null numbers are 0, a null replacement or array is empty.
+    before has left. Places beyond the text are moved to its end, null numbers are 0, a null replacement or array is empty, a
+    null edit is none. Repeated rows stay rows and are edited each on its own; an empty table gives no rows.
     """
     rows = state.select(F.col(doc_id).alias("id"), "text", "size", "count", (F.col(edits) if isinstance(edits, str) else edits).alias("edits"))
     kind = rows.schema[0].dataType.simpleString()

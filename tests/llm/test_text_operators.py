@@ -127,6 +127,29 @@ def test_an_edit_re_encodes_little(spark):
     assert row.reencoded_bytes < 4 * token_counts.LEAF_BYTES
 
 
+def test_many_edits_at_one_place_re_encode_little(tokenizer):
+    own = bpe.vocabulary(PATH)
+    raw = " ".join(f"word{n}" for n in range(3000)).encode()
+    tree = token_counts.CountTree.built(raw, token_counts._leaves(raw, bpe.certain_boundaries(np.frombuffer(raw, np.uint8)), own.encode))
+    most = 0
+    for n in range(10_000):
+        before = tree.reencoded
+        tree.edit(5000, 5000 + (n % 3 == 0), b"new words, " if n % 2 else b"x y", own.encode)
+        most = max(most, tree.reencoded - before)
+    assert most <= 5 * token_counts.LEAF_BYTES and max(tree.size[tree.leaves :]) <= 3 * token_counts.LEAF_BYTES
+    assert tree.tokens == len(tokenizer.encode(tree.text.decode(), add_special_tokens=False).ids)
+
+
+def test_null_edits_and_empty_tables(spark, empty, tokenizer):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    edits = F.expr("array(cast(null AS struct<start:int,length:int,replacement:string>), named_struct('start', 0, 'length', 3, 'replacement', 'four'))")
+    state = token_counts.build(docs, PATH)
+    row = token_counts.apply_edits(state, PATH, edits).first()
+    assert row.text == "four two three" and row.n_tokens == len(tokenizer.encode(row.text, add_special_tokens=False).ids)
+    assert token_counts.apply_edits(state, PATH, F.expr("cast(null AS array<struct<start:int,length:int,replacement:string>>)")).first().text == "one two three"
+    assert token_counts.apply_edits(token_counts.build(empty, PATH), PATH, edits).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=" \nab1é.", max_size=900), st.lists(st.tuples(st.integers(0, 900), st.integers(0, 400), st.text(alphabet=" \nxé", max_size=8)), max_size=6))
 def test_count_tree_follows_any_edits(text, edits):
