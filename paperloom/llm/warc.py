@@ -1,11 +1,15 @@
 """WARC records in ZIP packages: a writer, and a reader that range-reads records without extracting a package.
 
-A package is a ZIP file with two stored (uncompressed) members: ``archive/data.warc.gz``, one gzip member a record, and
-``indexes/index.cdxj``, one line a record with its place. The reader finds the end-of-central-directory record (or the ZIP64
-one behind its locator), parses the central directory, resolves each stored member's data offset through its local header,
-reads the index, and then reads just the byte ranges of records, neighbouring ranges at once, in parallel over packages and
-over blocks of a package. A package without an index is walked record by record. Paths are opened through pyarrow's file
-systems, so packages may lie in any store that those reach.
+A package is a ZIP file with archive members (``archive/*.warc`` or ``archive/*.warc.gz``, one gzip member a record in the
+latter) and index members (``indexes/*.cdx`` or ``indexes/*.cdxj``, one line a record with its file and place). The reader
+finds the end-of-central-directory record (or the ZIP64 one behind its locator), parses the central directory, resolves each
+stored member's data offset through its local header, reads the indexes, and then reads just the byte ranges of records,
+neighbouring ranges at once, in parallel over packages and over blocks of a package.
+
+Nothing is passed over silently. Stretches of a stored member that no index line covers are read record by record; a member
+that is deflated can't be range-read and is inflated as a stream; a member packed in any other way, a broken directory, index
+or record is an error that names package and member. Records other than responses and revisits (requests, metadata) are no
+pages and give no rows. Paths are opened through pyarrow's file systems, so packages may lie in any store that those reach.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ PACKAGE_BYTES, MIN_REVISIT = 64 << 20, 1000
 BLOCK_BYTES, READ_BYTES = 16 << 20, 4 << 20
 #: The most groups of equal payloads whose digests are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
+#: Index lines or records that one batch holds at most.
+BATCH_ROWS = 4096
 DATE = "2024-01-01T00:00:00Z"
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -67,14 +73,19 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(urn: str | None) -> int | None:
+    """The page of a record id that the writer made; None for any other id."""
     number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    return int(number) if number.removeprefix("-").isdigit() else None
 
 
-def parse_record(raw: bytes) -> dict:
-    """A record's type, ids, full payload's size and digest, and payload (None for a revisit)."""
+def parse_record(raw: bytes) -> dict | None:
+    """A record's type, ids, full payload's size and digest, and payload (None for a revisit). None for other types of record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     warc = _fields(head)
+    if not head.startswith(b"WARC/") or len(rest) < int(warc["content-length"]):
+        raise ValueError("no whole WARC record")
+    if warc["warc-type"] not in ("response", "revisit"):
+        return None
     block = rest[: int(warc["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = warc["warc-type"] == "revisit"
@@ -103,7 +114,7 @@ class _Package:
     def add(self, url: str, record: bytes) -> None:
         packed = gzip.compress(record, 1, mtime=0)
         self.member.write(packed)
-        self.lines.append(f"{quote(url or '-')} {DATE} {json.dumps({'offset': self.at, 'length': len(packed)})}\n")
+        self.lines.append(f"{quote(url or '-')} {DATE} {json.dumps({'filename': MEMBER.rpartition('/')[2], 'offset': self.at, 'length': len(packed)})}\n")
         self.at += len(packed)
 
     def close(self) -> tuple[str, int, int]:
@@ -195,86 +206,200 @@ def data_offset(read_at, member: dict) -> int:
     return member["header"] + 30 + n + x
 
 
-def _walked(read_at, start: int, length: int):
-    """Offsets and lengths of the gzip members of an unindexed WARC member."""
-    at = start
-    while at < start + length:
-        inflate, p = zlib.decompressobj(31), at
-        while not inflate.eof and p < start + length:
-            chunk = read_at(p, min(1 << 16, start + length - p))
-            inflate.decompress(chunk)
-            p += len(chunk)
-        end = p - len(inflate.unused_data)
-        yield at, end - at
-        at = end
+def _inflated(read_at, start: int, length: int):
+    """A deflated member's bytes, in pieces."""
+    inflate, at = zlib.decompressobj(-15), start
+    while not inflate.eof:
+        if at >= start + length:
+            raise ValueError("deflated data end early")
+        piece = read_at(at, min(1 << 20, start + length - at))
+        at += len(piece)
+        out = inflate.decompress(piece, 1 << 22)
+        while out or inflate.unconsumed_tail:
+            yield out
+            out = inflate.decompress(inflate.unconsumed_tail, 1 << 22)
+
+
+def _stored_bytes(read_at, start: int, length: int):
+    for at in range(start, start + length, 1 << 20):
+        yield read_at(at, min(1 << 20, start + length - at))
+
+
+def _bytes_of(read_at, member: dict):
+    """A whole member's bytes, in pieces."""
+    start = data_offset(read_at, member)
+    return (_inflated if member["method"] == 8 else _stored_bytes)(read_at, start, member["packed"])
+
+
+def _records(parts):
+    """The records in a stream of bytes, gzip members or plain ones; each is parsed once it is whole, and nothing is read twice."""
+    data = b""
+    for part in parts:
+        data += part
+        if data[:1] == b"\x1f":
+            while data:
+                inflate = zlib.decompressobj(31)
+                out = [inflate.decompress(data)]
+                while not inflate.eof:
+                    more = next(parts, None)
+                    if more is None:
+                        raise ValueError("a gzip member ends early")
+                    out.append(inflate.decompress(more))
+                data = inflate.unused_data
+                yield b"".join(out)
+        else:
+            while (at := data.find(b"\r\n\r\n")) >= 0:
+                size = at + 4 + int(_fields(data[:at])["content-length"])
+                while len(data) < size + 4 and (more := next(parts, None)) is not None:
+                    data += more
+                yield data[:size]
+                data = data[size + 4 :]
+    if data.strip(b"\r\n"):
+        raise ValueError("bytes after the last record")
+
+
+def _lines(parts):
+    rest = b""
+    for part in parts:
+        *lines, rest = (rest + part).split(b"\n")
+        yield from lines
+    yield rest
+
+
+def _indexed(read_at, indexes: list[dict], archives: list[dict]) -> dict[str, list[tuple[int, int]]]:
+    """By archive member the places of its records, in order, that the indexes tell."""
+    by_name = {m["name"].rpartition("/")[2]: m["name"] for m in archives}
+    places: dict[str, list[tuple[int, int]]] = {m["name"]: [] for m in archives}
+    for index in indexes:
+        for line in _lines(_bytes_of(read_at, index)):
+            if b"{" not in line:
+                continue  # a blank line or a header
+            entry = json.loads(line[line.index(b"{") :])
+            name = by_name[entry["filename"].rpartition("/")[2]] if "filename" in entry or len(archives) > 1 else archives[0]["name"]
+            places[name].append((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(set(found)) for name, found in places.items()}
+
+
+def _places(read_at, size: int):
+    """(member, offset, length, kind) of everything to be read: a record of an index, a stretch to read record by record, or a
+    whole deflated member."""
+    members = [m for m in directory(read_at, size) if not m["name"].endswith("/")]
+    archives = [m for m in members if m["name"].startswith("archive/")]
+    for m in archives:
+        if m["method"] not in (0, 8):
+            raise ValueError(f"member {m['name']} is packed by method {m['method']}")
+    indexes = [m for m in members if m["name"].startswith("indexes/") and m["name"].endswith((".cdx", ".cdxj")) and archives]
+    indexed = _indexed(read_at, indexes, archives)
+    for m in archives:
+        start = data_offset(read_at, m)
+        if m["method"] == 8:
+            yield m["name"], start, m["packed"], "deflated"
+            continue
+        upto = 0
+        for offset, length in [*indexed[m["name"]], (m["packed"], 0)]:
+            if offset < upto or offset + length > m["packed"]:
+                raise ValueError(f"an index has places that overlap or lie outside of {m['name']}")
+            if offset > upto:
+                yield m["name"], start + upto, offset - upto, "stretch"
+            if length:
+                yield m["name"], start + offset, length, "record"
+            upto = offset + length
 
 
 def _located(batches):
+    names = ["path", "member", "offset", "length", "kind"]
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            store, name = opened(path)
-            with store.open_input_file(name) as file:
-                read_at = lambda offset, length, f=file: f.read_at(length, offset)
-                members = [m for m in directory(read_at, file.size()) if m["method"] == 0]
-                places = []
-                index = next((m for m in members if m["name"] == INDEX), None)
-                for m in members:
-                    if not m["name"].startswith("archive/"):
-                        continue
-                    base = data_offset(read_at, m)
-                    if index and m["name"] == MEMBER:
-                        for line in read_at(data_offset(read_at, index), index["packed"]).decode().splitlines():
-                            entry = json.loads(line.split(" ", 2)[2])
-                            places.append((base + entry["offset"], entry["length"]))
-                    else:
-                        places += _walked(read_at, base, m["packed"])
-            if places:
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(places)), *(pa.array(c, pa.int64()) for c in zip(*places, strict=True))], ["path", "offset", "length"])
+            try:
+                store, name = opened(path)
+                with store.open_input_file(name) as file:
+                    rows = []
+                    for place in _places(lambda offset, length, f=file: f.read_at(length, offset), file.size()):
+                        rows.append((path, *place))
+                        if len(rows) == BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                            rows = []
+            except (KeyError, ValueError, struct.error, zlib.error) as e:
+                raise ValueError(f"package {path}: {e}") from e
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
 
 def _ranges(batches):
-    """Neighbouring places of one package, together up to READ_BYTES."""
-    path, run = None, []
+    """Neighbouring places of one member, records together up to READ_BYTES; anything else alone."""
+    key, run = None, []
     for batch in batches:
-        for p, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if run and (p != path or offset != run[-1][0] + run[-1][1] or offset + length - run[0][0] > READ_BYTES):
-                yield path, run
+        for path, member, offset, length, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if run and ((path, member, kind) != key or kind != "record" or offset != run[-1][0] + run[-1][1] or offset + length - run[0][0] > READ_BYTES):
+                yield *key, run
                 run = []
-            path = p
+            key = (path, member, kind)
             run.append((offset, length))
     if run:
-        yield path, run
+        yield *key, run
 
 
 _FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
 
 
+def _raw_records(read_at, kind: str, run: list[tuple[int, int]]):
+    if kind == "record":
+        start = run[0][0]
+        data = read_at(start, run[-1][0] + run[-1][1] - start)
+        for offset, length in run:
+            raw = data[offset - start : offset - start + length]
+            yield zlib.decompress(raw, 31) if raw[:1] == b"\x1f" else raw
+    else:
+        (place,) = run
+        yield from _records((_inflated if kind == "deflated" else _stored_bytes)(read_at, *place))
+
+
 def _read(batches, with_payload: bool):
     fields = _FIELDS if with_payload else _FIELDS[:-1]
-    for path, run in _ranges(batches):
-        store, name = opened(path)
-        start = run[0][0]
-        with store.open_input_file(name) as file:
-            data = file.read_at(run[-1][0] + run[-1][1] - start, start)
-        records = [parse_record(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in run]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in records], kind) for k, kind in fields], [k for k, _ in fields])
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in fields], [k for k, _ in fields])
+
+    for path, member, kind, run in _ranges(batches):
+        found, size = [], 0
+        try:
+            store, name = opened(path)
+            with store.open_input_file(name) as file:
+                for raw in _raw_records(lambda offset, length, f=file: f.read_at(length, offset), kind, run):
+                    if (record := parse_record(raw)) is not None:
+                        found.append(record)
+                        size += len(raw)
+                    if size > READ_BYTES or len(found) == BATCH_ROWS:
+                        yield batch_of(found)
+                        found, size = [], 0
+        except (KeyError, ValueError, zlib.error) as e:
+            raise ValueError(f"package {path}, member {member}: {e}") from e
+        if found:
+            yield batch_of(found)
 
 
 def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of packages (column path): page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    payload is null for revisits. Sizes and digests are of the full payload: of a response computed from what was read.
+    payload is null for revisits. Sizes and digests are of the full payload: of a response computed from what was read. page_id
+    is null for records of other writers. A path that repeats is read once, a null path not at all; one that can't be read, and
+    a damaged package, is an error. No packages, no rows; other columns are ignored.
     """
-    places = stored(packages.select("path").repartition(max(1, packages.count()), "path").mapInArrow(_located, "path string, offset bigint, length bigint"), "places")
+    paths = packages.select("path").filter("path IS NOT NULL").distinct()
+    places = paths.repartition(max(1, paths.count()), "path").mapInArrow(_located, "path string, member string, offset bigint, length bigint, kind string")
+    places = stored(places, "places")
     total = places.agg(F.sum("length")).first()[0] or 0
     tasks = max(places.sparkSession.sparkContext.defaultParallelism, total // BLOCK_BYTES + 1)
     dealt = places.withColumn("block", F.floor(F.col("offset") / (BLOCK_BYTES // 4))).repartition(int(tasks), "path", "block")
     kind = ", ".join(f"{k} {({pa.int64(): 'bigint', pa.string(): 'string'}).get(t, 'binary')}" for k, t in (_FIELDS if with_payload else _FIELDS[:-1]))
-    return dealt.sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInArrow(lambda it: _read(it, with_payload), kind)
+    return dealt.sortWithinPartitions("path", "offset").drop("block").mapInArrow(lambda it: _read(it, with_payload), kind)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False, **columns: str) -> DataFrame:
-    """Write the rows of pages as packages in the shared folder and read every record back."""
+    """Write the rows of pages as packages in the shared folder and read every record back: a row of the result per row of pages.
+
+    Null htmls are empty payloads, null urls empty, null ids stay null; very long payloads are one record; repeated rows stay rows
+    (see write_packages for ties); other columns are ignored; an empty table gives no rows."""
     folder = new_path(pages.sparkSession, "warc")
     return read_packages(write_packages(pages, folder, **columns), with_payload)
 

@@ -275,6 +275,63 @@ def test_packages_without_index_and_with_many_packages(spark, tmp_path):
     assert warc.read_packages(alone).count() == records
 
 
+def repacked(path, out, change):
+    """A copy of a package whose members (name, content, compression) are those that change makes of the old ones."""
+    with zipfile.ZipFile(path) as old, zipfile.ZipFile(out, "w") as new:
+        for name, content, method in change({n: old.read(n) for n in old.namelist()}):
+            new.writestr(zipfile.ZipInfo(name), content, method)
+
+
+STORED, DEFLATED, BZIP2 = zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2
+
+
+@pytest.mark.parametrize("change", [
+    lambda m: [(warc.MEMBER, m[warc.MEMBER], DEFLATED), (warc.INDEX, m[warc.INDEX], DEFLATED)],
+    lambda m: [(warc.MEMBER, m[warc.MEMBER], DEFLATED)],
+    lambda m: [(warc.MEMBER, m[warc.MEMBER], STORED), (warc.INDEX, m[warc.INDEX], DEFLATED)],
+    lambda m: [(warc.MEMBER, m[warc.MEMBER], STORED), (warc.INDEX, b"!meta\n" + b"\n".join(m[warc.INDEX].splitlines()[3:-2:2]), STORED)],
+    lambda m: [("archive/other.warc.gz", m[warc.MEMBER], STORED), ("indexes/a.cdx", b"", STORED), ("pages/p.jsonl", b"x", STORED)],
+    lambda m: [("archive/plain.warc", b"".join(warc._records(iter([m[warc.MEMBER]]))), STORED), ("archive/two.warc.gz", b"", STORED)],
+    lambda m: [("archive/plain.warc", b"".join(warc._records(iter([m[warc.MEMBER]]))), DEFLATED)]])
+def test_no_record_is_lost_however_a_package_is_packed(spark, tmp_path, change):
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(n, f"http://h/{n}", f"page {n} " + "".join(rng.choices("abcdefé", k=rng.randrange(1, 4000)))) for n in range(24)], "page_id long, url string, html string").coalesce(1)
+    (package,) = warc.write_packages(pages, f"file://{tmp_path}/w").collect()
+    out = f"{tmp_path}/new.zip"
+    repacked(package.path.removeprefix("file://"), out, change)
+    rows = warc.read_packages(spark.createDataFrame([(f"file://{out}", 1), (f"file://{out}", 2), (None, 3)], "path string, offset int")).collect()
+    assert Counter((r.page_id, r.url, bytes(r.payload).decode()) for r in rows) == Counter(tuple(r) for r in pages.collect())
+
+
+@pytest.mark.parametrize(("change", "said"), [
+    (lambda m: [(warc.MEMBER, m[warc.MEMBER], BZIP2)], "packed by method 12"),
+    (lambda m: [(warc.MEMBER, m[warc.MEMBER][:-9], STORED)], "member archive/data.warc.gz"),
+    (lambda m: [(warc.MEMBER, m[warc.MEMBER], STORED), (warc.INDEX, b'x {"filename": "gone.warc.gz", "offset": 0, "length": 3}', STORED)], "gone.warc.gz"),
+    (lambda m: [(warc.MEMBER, m[warc.MEMBER], STORED), (warc.INDEX, b'x {"offset": 5, "length": 300000}', STORED)], "outside of"),
+    (lambda m: [(warc.MEMBER, b"no record at all, no", STORED)], "member archive/data.warc.gz")])
+def test_damage_is_an_error_that_names_the_package(spark, tmp_path, change, said):
+    pages = spark.createDataFrame([(n, "u", f"page {n}") for n in range(3)], "page_id long, url string, html string").coalesce(1)
+    (package,) = warc.write_packages(pages, f"file://{tmp_path}/w").collect()
+    out = f"{tmp_path}/new.zip"
+    repacked(package.path.removeprefix("file://"), out, change)
+    with pytest.raises(Exception, match=said) as e:
+        warc.read_packages(spark.createDataFrame([(f"file://{out}",)], "path string")).collect()
+    assert "new.zip" in str(e.value)
+
+
+def test_unreadable_paths_and_other_records(spark, tmp_path):
+    (tmp_path / "junk.zip").write_bytes(b"this is no archive")
+    for name in ("junk.zip", "missing.zip"):
+        with pytest.raises(Exception, match=name):
+            warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string")).collect()
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nabcd"
+    page = warc._record(None, "http://x", b"body", hashlib.sha1(b"body").hexdigest(), None).replace(b"<urn:page:>", b"<urn:uuid:2>")
+    with zipfile.ZipFile(tmp_path / "foreign.zip", "w") as z:
+        z.writestr("archive/a.warc", info + b"\r\n\r\n" + page)
+    (row,) = warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/foreign.zip",)], "path string")).collect()
+    assert (row.page_id, row.url, bytes(row.payload)) == (None, "http://x", b"body")
+
+
 def test_zip64_directory():
     """Sizes, offset and entry count that only the ZIP64 records hold."""
     name, data, comment = b"archive/data.warc.gz", b"payload!", b"PK\x05\x06 is not here"
