@@ -8,11 +8,15 @@ b - 4 blocks, so a bucket for each choice of b - 4 blocks brings every link toge
 each fingerprint has its row of Hamming distances to many fixed reference fingerprints (pivots); by the triangle inequality
 a pair whose rows differ by more than MAX_BITS in any coordinate is discarded, and only survivors are compared. Pairs that
 are already connected in the bucket are not compared again, and a bucket reports its components as stars, never its pairs.
-A bucket of more than SLICE fingerprints is dealt out as pairs of slices, so no task holds more than two slices.
+A bucket of more than SLICE fingerprints is dealt out as pairs of slices, so no task holds more than two slices. A bucket that
+would take more than MAX_SLICES slices is bucketed again: the bits that its members need not share are cut into SUB_BLOCKS
+blocks, and they meet in a bucket for each choice of all but four. So a fingerprint is copied at most C(SUB_BLOCKS, 4) times a
+level however large its bucket is, and levels end because each shares more bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +30,10 @@ from paperloom.operators.components import components
 from paperloom.llm.tables import stored
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Fingerprints of a bucket that one slice holds, and the most hot buckets whose counts are broadcast.
-SLICE, MAX_BROADCAST = 4096, 100_000
+#: Fingerprints that one slice of a bucket holds, slices of a bucket before it is bucketed again, and the blocks that then are made.
+SLICE, MAX_SLICES, SUB_BLOCKS = 4096, 64, 8
+#: The most hot buckets whose counts are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 #: The most ids of documents to drop that are broadcast (16 MB); more are joined by a shuffle.
 MAX_GONE = 1_000_000
 #: Reference fingerprints: fixed and spread out, from a multiplicative rule.
@@ -135,13 +141,21 @@ def _bucket_links(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(us), np.concatenate(vs)
 
 
+def _starts(batch) -> np.ndarray:
+    """Whether each row begins a bucket: another free, value or part than the row before."""
+    new = np.ones(len(batch), bool)
+    new[1:] = False
+    for column in batch.columns[:3]:
+        x = column.to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _links(batches):
     rest = None
     for batch in batches:
         rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        key, part = rest.column(0).to_numpy(), rest.column(1).to_numpy()
-        last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
+        cut = int(np.flatnonzero(_starts(rest))[-1]) if len(rest) else 0
         if cut:
             yield from _emitted(rest.slice(0, cut))
             rest = rest.slice(cut)
@@ -150,9 +164,7 @@ def _links(batches):
 
 
 def _emitted(batch):
-    key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-    u, v = _bucket_links(group, batch.column(2).to_numpy().view(np.uint64))
+    u, v = _bucket_links(np.cumsum(_starts(batch)), batch.column(3).to_numpy().view(np.uint64))
     if len(u):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
@@ -162,34 +174,52 @@ def _blocks(distinct: int) -> int:
     return next((b for b, most in ((6, 1 << 23), (7, 1 << 28), (8, 1 << 33)) if distinct <= most), 9)
 
 
-def _bucketed(fps: DataFrame, blocks: int) -> DataFrame:
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    tables = list(combinations(range(blocks), blocks - MAX_BITS))
-    keys = []
-    for n, chosen in enumerate(tables):
-        bits = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in chosen]
-        key = F.lit(n).cast("long")
-        for k, b in zip(chosen, bits, strict=True):
-            key = F.shiftleft(key, edges[k + 1] - edges[k]).bitwiseOR(b)
-        keys.append(key)
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _free_masks(free: int, blocks: int) -> list[int]:
+    """The bits of `free` in blocks; for each choice of MAX_BITS blocks the mask of their bits, which members need not share."""
+    bits = [k for k in range(64) if free >> k & 1]
+    edges = [round(len(bits) * k / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << k for k in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return sorted({sum(chosen) for chosen in combinations(parts, MAX_BITS)})
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _bucketed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(free, value, fp) of rows (free, fp): a bucket for each mask that free leads to; a few thousand masks at most."""
+    pairs = [(_signed(free), _signed(m)) for free, then in masks.items() for m in then]
+    table = F.broadcast(rows.sparkSession.createDataFrame(pairs, "free long, next long"))
+    out = rows.join(table, "free").select(F.col("next").alias("free"), F.col("fp").bitwiseAND(F.bitwise_not("next")).alias("value"), "fp")
+    return out.distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) whose components are those of all links."""
     fps = fps.filter(F.col("fp").isNotNull()).distinct()
-    keyed = _bucketed(fps, _blocks(fps.count()))
-    hot = keyed.groupBy("key").count().filter(F.col("count") > SLICE).select("key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
-    hot = stored(hot, "hot")
-    n_hot = hot.count()
-    if n_hot:
-        keyed = keyed.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST else hot, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-        keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        keyed = keyed.select("key", (F.least("own", "other") * F.col("slices") + F.greatest("own", "other")).cast("long").alias("part"), "fp")
-    else:
-        keyed = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp")
-    return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_links, "u bigint, v bigint")
+    masks = {(1 << 64) - 1: _free_masks((1 << 64) - 1, _blocks(fps.count()))}
+    keyed, found = _bucketed(fps.select(F.lit(-1).cast("long").alias("free"), "fp"), masks), []
+    while True:
+        hot = stored(keyed.groupBy("free", "value").count().filter(F.col("count") > SLICE)
+                     .select("free", "value", F.ceil(F.col("count") / SLICE).cast("int").alias("slices")), "hot")
+        n_hot = hot.count()
+        again = n_hot > 0 and not hot.filter(F.col("slices") > MAX_SLICES).isEmpty()
+        if n_hot:
+            keyed = keyed.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST else hot, ["free", "value"], "left")
+            if again:
+                keyed = stored(keyed, "buckets")
+            fits = keyed.filter(F.coalesce("slices", F.lit(1)) <= MAX_SLICES).withColumn("slices", F.coalesce("slices", F.lit(1)))
+            fits = fits.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            part = (F.least("own", "other") * F.col("slices") + F.greatest("own", "other")).cast("long")
+            dealt = fits.select("free", "value", part.alias("part"), "fp")
+        else:
+            dealt = keyed.select("free", "value", F.lit(0).cast("long").alias("part"), "fp")
+        found.append(dealt.repartition("free", "value", "part").sortWithinPartitions("free", "value", "part").mapInArrow(_links, "u bigint, v bigint"))
+        if not again:
+            return reduce(DataFrame.union, found)
+        masks = {m: _free_masks(m, SUB_BLOCKS) for m in sorted({m for then in masks.values() for m in then})}
+        rest = keyed.filter(F.col("slices") > MAX_SLICES)
+        keyed = _bucketed(rest.select("free", "fp"), masks)
 
 
 def _groups_of(rows: DataFrame) -> DataFrame:
@@ -206,7 +236,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id of the row's near-duplicate group.
 
     Null and wordless texts have fingerprint zero, linked like any other. A null doc_id takes part in linking and is never a
-    component_id unless a group has no other. Repeated rows stay rows. Other columns are ignored; an empty table gives no rows.
+    component_id unless a group has no other. Very long texts count whole. Repeated rows stay rows. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
     return rows.join(_groups_of(rows), "fp").select(F.col("id").alias(doc_id), "fp", "component_id")
@@ -216,19 +247,21 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of docs that represent their near-duplicate group, all columns kept: those with the group's smallest id.
 
     A row without an id represents only a group that has no id at all; where several rows could (they repeat the id, or have
-    none) one of them does.
+    none) one of them does. Null, empty and very long texts are as in near_duplicates; columns may have any names; an empty
+    table gives no rows.
     """
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
     groups = stored(_groups_of(rows), "groups")
     matches = F.col("id").eqNullSafe(F.col("component_id"))
     ids = rows.join(groups, "fp").groupBy("id").agg(F.count("*").alias("n"), F.count_if(matches).alias("kept"))
     gone = stored(ids.filter("n > 1 OR id IS NULL OR kept = 0").select(F.col("id").alias("gone_id"), (F.col("id").isNull() | (F.col("n") > 1)).alias("several")), "gone")
-    side = F.broadcast(gone) if gone.count() <= MAX_GONE else gone
-    out = docs.join(side, F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
+    original = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("original"))  # one column, so that no name clashes
+    own_id = F.col(f"original.`{doc_id}`")
+    out = original.join(F.broadcast(gone) if gone.count() <= MAX_GONE else gone, own_id.eqNullSafe(F.col("gone_id")), "left_anti")
     several = gone.filter("several").select(F.col("gone_id").alias("several_id"))
-    if several.isEmpty():
-        return out
-    some = docs.join(several, F.col(doc_id).eqNullSafe(F.col("several_id")), "left_semi")
-    some = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id"), F.col(text).alias("t"))
-    found = some.mapInArrow(_fingerprinted, f"id {some.schema[0].dataType.simpleString()}, fp bigint").join(groups, "fp")
-    return out.unionByName(found.filter(F.col(f"id.{doc_id}").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("id.*"))
+    if not several.isEmpty():
+        some = original.join(several, own_id.eqNullSafe(F.col("several_id")), "left_semi").select(F.col("original").alias("id"), F.col(f"original.`{text}`").alias("t"))
+        found = some.mapInArrow(_fingerprinted, f"id {some.schema[0].dataType.simpleString()}, fp bigint").join(groups, "fp")
+        found = found.filter(F.col(f"id.`{doc_id}`").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+        out = out.unionByName(found.select(F.col("id").alias("original")))
+    return out.select("original.*")

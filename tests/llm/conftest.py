@@ -5,8 +5,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, key double, weight double, row long, start int, spans string, doc string, bucket int"
-CLASH = ("x", "y", 1, 1.5, 2.5, 7, 3, "z", "w", 9)
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, key double, weight double, row long, start int, spans string, doc string, bucket int, "
+          "gone_id long, several_id long, several boolean, hit_doc long, hit_text long, original string, root long, component_id long, hashes string, "
+          "key_id string, key_text string, more string, base string, host string, stratum string, position long, shard int, free long, value long, part long")
+CLASH = ("x", "y", 1, 1.5, 2.5, 7, 3, "z", "w", 9, 1, 2, True, 3, 4, "o", 5, 6, "h", "a", "b", "m", "c", "d", "s", 1, 2, 3, 4, 5)
 
 
 def words(rng, n, pool="the of and stone river light model paper figure result table method because were with that from which into over under"):

@@ -67,10 +67,11 @@ def test_one_row_of_each_group_stays(odd, odd_rows, empty):
     assert simhash.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("slice_size", [4096, 16])
-def test_links_keep_every_component(spark, monkeypatch, slice_size):
-    """Random fingerprints, dense balls and chains; with tiny slices hot buckets are dealt out as pairs of slices."""
+@pytest.mark.parametrize(("slice_size", "slices"), [(4096, 64), (16, 64), (8, 2)])
+def test_links_keep_every_component(spark, monkeypatch, slice_size, slices):
+    """Random fingerprints, dense balls and chains; with tiny slices hot buckets are dealt out as pairs of slices, or bucketed again."""
     monkeypatch.setattr(simhash, "SLICE", slice_size)
+    monkeypatch.setattr(simhash, "MAX_SLICES", slices)
     rng = random.Random(7)
     values = {rng.getrandbits(64) for _ in range(200)} | {0}
     centre = rng.getrandbits(64)
