@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
+from paperloom.llm.bitmaps import bitmap, contains
 from paperloom.llm.tables import stored
 
 #: log2 of the mean bytes between cuts, and the fewest bytes of a chunk that is worth looking up.
 CHUNK_BITS, MIN_CHUNK = 9, 64
-#: Bits of the bitmap for each shared chunk, and log2 of the most bits there are (16 MB); a full bitmap only lets more texts through.
-BITS_EACH, MAX_BITMAP_BITS = 64, 27
 #: Bytes of a chunk that the first window at a join takes in.
 REACH = 64
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
@@ -158,33 +157,12 @@ def _hashes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["hash", "n"])
 
 
-def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = hashes.view(np.uint64)
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def bitmap(shared: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """log2 of its size, and a bitmap with two bits for each hash; at most 2**MAX_BITMAP_BITS / 64 words reach the driver."""
-    bits = min(MAX_BITMAP_BITS, max(16, (BITS_EACH * n - 1).bit_length()))
-    slots = F.explode(F.array(F.col("hash").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("hash", 64 - bits)))
-    words = shared.select(slots.alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 AS int))").alias("b"))
-    out = np.zeros((1 << bits) // 64, np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[w] = b
-    return bits, out.view(np.uint8)
-
-
-def _known(hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
-    low, high = _slots(hashes, bits)
-    return ((table[low >> 3] >> (low & 7).astype(np.uint8)) & (table[high >> 3] >> (high & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _sharing(batches, shared):
     """Texts with a chunk that is shared: id, text, key of the text, hashes of such chunks, each once."""
     for batch in batches:
         for row, end, data, at in W.pieces(batch.column(1)):
             text, _, _, hashes = chunks(data, at)
-            known = _known(hashes, *shared.value)
+            known = contains(shared.value, hashes)
             pairs = np.unique(np.stack([text[known], hashes[known]], axis=1), axis=0)
             n = np.bincount(pairs[:, 0], minlength=end - row)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(pairs[:, 1]))
@@ -318,7 +296,7 @@ def _alone(batches, path: str, shared):
         for row, end, data, at in W.pieces(batch.column(1), 1 << 20):
             text, _, _, hashes = chunks(data, at)
             free = np.ones(end - row, bool)
-            free[text[_known(hashes, *shared.value)]] = False
+            free[text[contains(shared.value, hashes)]] = False
             if free.any():
                 found = [(own.encoded(data[a:b].tobytes()), 0) for a, b, f in zip(at[:-1].tolist(), at[1:].tolist(), free.tolist(), strict=True) if f]
                 yield _emitted(batch.column(0).slice(row, end - row).filter(pa.array(free)), found, own)
@@ -338,7 +316,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     kind = rows.schema[0].dataType.simpleString()
     counts = rows.select("t").mapInArrow(_hashes, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     hashes = stored(counts.filter("n > 1").select("hash"), "shared-hashes")
-    shared = spark.sparkContext.broadcast(bitmap(hashes, hashes.count()))
+    shared = spark.sparkContext.broadcast(bitmap(hashes))
 
     result = f"id {kind}, ids array<int>, decoded string, reused_bytes bigint"
     alone = rows.mapInArrow(lambda it: _alone(it, tokenizer, shared), result)

@@ -2,29 +2,30 @@
 
 Of every run of WINDOW - GRAM + 1 word grams in a row (the grams of a window of WINDOW words) the smallest hash is a
 fingerprint, the rightmost of equals. Two texts that share a window share its fingerprint, so joining test and training
-fingerprints finds every shared span of WINDOW words or more. Each join hit is extended word by word to both sides, and
-counts where the common run is at least a window long. Items shorter than a window are one gram of their own length.
+fingerprints finds every shared span of WINDOW words or more. A hit is extended to both sides, to the windows around the
+fingerprint, and counts where a whole window agrees, word for word. Items shorter than a window are one gram of their own
+length.
 
-A bitmap of fixed size, made of the benchmark's hashes, keeps training fingerprints that cannot join from leaving their
-task; beyond its capacity it merely lets more of them through. The join, the extension and all counting are DataFrame work.
+Fingerprints are joined together with the window that they are extended to, so a gram that very many items and documents
+have brings together only those that share a window as well. Two bitmaps, sized by the benchmark, of its fingerprints and of
+its windows keep others from leaving their task; a larger benchmark than they hold merely lets more through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
+from paperloom.llm.bitmaps import bitmap, contains
 from paperloom.llm.tables import stored
 
 WINDOW, GRAM = 10, 5
-#: log2 of the bits of the bitmap: 2 MB, however large the benchmark is.
-BITMAP_BITS = 24
 #: The most contaminated documents whose keys are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
-_PRINT = "array<struct<m: int, hash: bigint, pos: int, before: array<string>, core: array<string>, after: array<string>>>"
+_PRINT = pa.list_(pa.struct([("m", pa.int32()), ("gram", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("words", pa.string())]))
 
 
 def _selected(gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -42,83 +43,77 @@ def _selected(gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.unique((place + np.arange(size))[whole])
 
 
-def _prints(batches, lengths: list[int], bitmaps, own_lengths: bool):
-    """Rows of (row, words, prints). own_lengths: each text is an item: only its own windows count."""
+def _windows(places: np.ndarray, m: int, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of m words around each fingerprint's place, inside its text: places in the list, first words."""
+    side = WINDOW - GRAM if m == WINDOW else 0
+    which = np.repeat(np.arange(len(places)), side + 1)
+    start = places[which] - np.tile(np.arange(side + 1), len(places))
+    inside = (start >= first[which]) & (start + m <= end[which])
+    return which[inside], start[inside]
+
+
+def _prints(batches, lengths: list[int], bitmaps):
+    """Rows of (id, n_words, prints): each fingerprint with each window around it. bitmaps: None if each text is an item, of which
+    only its own windows count."""
     for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
-        for row, end, data, at in W.pieces(column):
+        for row, end, data, at in W.pieces(batch.column(1)):
             data = W.LOWER[data]
             found = W.find(data, at, W.ALPHANUMERIC)
             count, owner = found.counts(), found.owner()
             word = W.span_hashes(data, found.start, found.end)
-            raw = data.tobytes()
-            out: list[list] = [[] for _ in range(end - row)]
+            columns = [[np.zeros(0, kind)] for kind in (*[np.int64] * 5, object)]
             for m in lengths:
                 k = GRAM if m == WINDOW else m
-                gram = W.gram_hashes(word, k)
+                gram, whole = W.gram_hashes(word, k), W.gram_hashes(word, m)
                 if m == WINDOW:
                     places = _selected(gram, owner)
                 else:
                     places = np.flatnonzero(owner[: len(gram)] == owner[k - 1 :]) if len(gram) else np.zeros(0, np.int64)
-                if own_lengths:
-                    fits = np.minimum(count, WINDOW)[owner[places]] == m
-                    places = places[fits]
+                if bitmaps is None:
+                    places = places[np.minimum(count, WINDOW)[owner[places]] == m]
                 else:
-                    slot = (gram[places] & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                    places = places[(bitmaps[m][slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-                side = WINDOW - GRAM if m == WINDOW else 0
-                for p in places.tolist():
-                    o = owner[p]
-                    low, high = max(int(found.first[o]), p - side), min(int(found.first[o + 1]), p + k + side)
-                    texts = [raw[a:b].decode() for a, b in zip(found.start[low:high].tolist(), found.end[low:high].tolist(), strict=True)]
-                    cut = p - low
-                    out[o].append({"m": m, "hash": int(gram[p].astype(np.int64)), "pos": p - int(found.first[o]), "before": texts[:cut][::-1], "core": texts[cut : cut + k], "after": texts[cut + k :]})
-            kind = pa.list_(pa.struct([("m", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32()), ("before", pa.list_(pa.string())), ("core", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(count.astype(np.int64)), pa.array(out, kind)], ["id", "n_words", "prints"])
+                    places = places[contains(bitmaps[m][0], gram[places])]
+                which, start = _windows(places, m, found.first[:-1][owner[places]], found.first[1:][owner[places]])
+                if bitmaps is not None:
+                    known = contains(bitmaps[m][1], whole[start])
+                    which, start = which[known], start[known]
+                text = owner[start]
+                spans = zip(start.tolist(), (start + m).tolist(), strict=True)
+                words = [b" ".join(data[a:b].tobytes() for a, b in zip(found.start[x:y].tolist(), found.end[x:y].tolist(), strict=True)).decode() for x, y in spans]
+                for column, values in zip(columns, (text, np.full(len(text), m), gram[places][which].view(np.int64), whole[start].view(np.int64), start - found.first[text], words), strict=True):
+                    column.append(np.asarray(values, object if values is words else None))
+            text, *fields = (np.concatenate(c) for c in columns)
+            order = np.argsort(text.astype(np.int64), kind="stable")
+            struct = pa.StructArray.from_arrays([pa.array(f[order], t.type) for f, t in zip(fields, _PRINT.value_type, strict=True)], [t.name for t in _PRINT.value_type])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order].astype(np.int64), np.arange(end - row + 1)).astype(np.int32)), struct)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(count.astype(np.int64)), lists], ["id", "n_words", "prints"])
 
 
 def _printed(df: DataFrame, lengths: list[int], bitmaps=None) -> DataFrame:
     kind = df.schema[0].dataType.simpleString()
-    return df.mapInArrow(lambda it: _prints(it, lengths, bitmaps.value if bitmaps else None, bitmaps is None), f"id {kind}, n_words bigint, prints {_PRINT}")
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bits of all hashes; at most 2**BITMAP_BITS / 64 rows reach the driver."""
-    slot = F.col("hash").bitwiseAND((1 << BITMAP_BITS) - 1)
-    parts = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
-    for w, b in parts.collect():
-        out[w] = b
-    return out.view(np.uint8)
-
-
-def _common(a: str, b: str) -> Column:
-    """How many leading words two arrays have in common."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+    prints = "array<struct<m: int, gram: bigint, hash: bigint, start: int, words: string>>"
+    return df.mapInArrow(lambda it: _prints(it, lengths, bitmaps.value if bitmaps else None), f"id {kind}, n_words bigint, prints {prints}")
 
 
 def _printed_and_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored rows (row, doc, text_key, n_words), their hits (row, context, start, end), and the items of each context."""
+    """Stored rows (row, doc, text_key, n_words), their hits (row, window, start, end), and the items of each window."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")).filter(F.col("item").isNotNull())
-    all_lengths = list(range(1, WINDOW + 1))
-    of_items = stored(_printed(items, all_lengths).select("id", F.explode("prints").alias("p")).select(F.col("id").alias("item"), "p.*")
-                      .withColumn("context", F.md5(F.concat_ws("|", "m", F.array_join("before", " "), F.array_join("core", " "), F.array_join("after", " ")).cast("binary"))), "items")
+    of_items = stored(_printed(items, list(range(1, WINDOW + 1))).select("id", F.explode("prints").alias("p")).select(F.col("id").alias("item"), "p.*"), "items")
     lengths = sorted(r[0] for r in of_items.select("m").distinct().collect())  # ten at most
-    bitmaps = spark.sparkContext.broadcast({m: _bitmap(of_items.filter(F.col("m") == m)) for m in lengths})
+    bitmaps = {m: tuple(bitmap(of_items.filter(F.col("m") == m).select(F.col(c).alias("hash")).distinct()) for c in ("gram", "hash")) for m in lengths}
+    bitmaps = spark.sparkContext.broadcast(bitmaps)
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     printed = _printed(base.select(F.struct("row", "doc", F.xxhash64("t").alias("text_key")).alias("id"), "t"), lengths, bitmaps)
     rows = stored(printed.select("id.row", "id.doc", "id.text_key", "n_words", "prints"), "prints")
 
-    contexts = of_items.drop("item", "pos").dropDuplicates(["context"]).select("m", "hash", "context", F.col("before").alias("b2"), F.col("core").alias("c2"), F.col("after").alias("a2"))
-    members = of_items.select("context", "item").distinct()
+    window = F.xxhash64("m", "words")  # names a window among those of the benchmark; the words themselves decide the join
+    windows = of_items.select("m", "gram", "hash", "words", window.alias("window")).distinct()
+    members = of_items.select(window.alias("window"), "words", "item").distinct()
     hits = (rows.filter(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.*")
-            .join(contexts, ["m", "hash"]).filter(F.col("core") == F.col("c2"))
-            .withColumn("left", _common("before", "b2")).withColumn("right", _common("after", "a2"))
-            .filter(F.size("core") + F.col("left") + F.col("right") >= F.col("m"))
-            .select("row", "context", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.size("core") + F.col("right")).alias("end")))
+            .join(windows, ["m", "gram", "hash", "words"])
+            .select("row", "window", "words", "start", (F.col("start") + F.col("m")).alias("end")).distinct())
     return rows.drop("prints"), stored(hits, "hits"), members
 
 
@@ -127,11 +122,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """Per row of docs: doc_id, n_words, n_hit, item_ids (sorted strings), and spans of words that a benchmark window covers.
 
     Null and wordless texts have no words; items without an id or words have no windows; rows with equal ids stay rows of
-    their own; repeated items count once. Empty tables give no rows, or rows without hits. Other columns are ignored.
+    their own; repeated items count once. Very long texts are read whole. Empty tables give no rows, or rows without hits.
+    Other columns are ignored, whatever their names.
     """
     rows, hits, members = _printed_and_hits(docs, benchmark, doc_id, text, item_id, item_text)
     spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    found = (hits.select("row", "context").distinct().join(members, "context").select("row", "item").distinct()
+    found = (hits.select("row", "window", "words").distinct().join(members, ["window", "words"]).select("row", "item").distinct()
              .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("item_ids")))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("upto")),
@@ -142,11 +138,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, all columns kept."""
+    """The rows of docs in which no benchmark window occurs, all columns kept, whatever their names. Null and wordless texts stay,
+    rows that repeat stay or go together; an empty benchmark leaves all rows, an empty table gives none."""
     rows, hits, _ = _printed_and_hits(docs, benchmark, doc_id, text, item_id, item_text)
     hit = stored(rows.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("doc").alias("hit_doc"), F.col("text_key").alias("hit_text")).distinct(), "contaminated")
     hit = F.broadcast(hit) if hit.count() <= MAX_BROADCAST else hit
-    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("hit_doc")) & (F.xxhash64(F.col(text)) == F.col("hit_text")), "left_anti")
+    original = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("original"))  # one column, so that no name clashes
+    same = F.col(f"original.`{doc_id}`").eqNullSafe(F.col("hit_doc")) & (F.xxhash64(F.col(f"original.`{text}`")) == F.col("hit_text"))
+    return original.join(hit, same, "left_anti").select("original.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
