@@ -324,7 +324,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     texts = sharing.select("t", "hashes").mapInArrow(_chunk_texts, "hash bigint, chunk binary").dropDuplicates(["hash"])
     encoded = stored(texts.mapInArrow(lambda it: _encoded_chunks(it, tokenizer), "hash bigint, ids array<int>, sure_bytes int, sure_tokens int"), "encoded-chunks")
     # Plain joins of stored tables: a chunk or a text that very many rows hold is a skewed partition, which adaptive execution splits.
-    uses = stored(sharing.select("key", F.explode("hashes").alias("hash")).distinct().join(encoded, "hash"), "uses")
+    uses = sharing.select("key", F.explode("hashes").alias("hash")).distinct().join(encoded, "hash")
     lists = uses.groupBy("key").agg(F.collect_list(F.struct("hash", "ids", "sure_bytes", "sure_tokens")).alias("known"))
     together = sharing.select("id", "t", "key").join(stored(lists, "chunks-of-texts"), "key").select("id", "t", "known")
     return alone.unionByName(together.mapInArrow(lambda it: _assembled(it, tokenizer), result)).withColumnRenamed("id", doc_id)
