@@ -30,33 +30,24 @@ def page_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MD = "concat('# Title ', doc_id, chr(10), chr(10), text, chr(10), chr(10), CASE doc_id % 3 WHEN 0 THEN '## References' WHEN 1 THEN '## 5. Funding statement' ELSE '## Notes' END, chr(10), 'Item ', doc_id)"
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'references' ELSE 'funding' END AS section, ('Item ' || doc_id) AS content FROM documents WHERE doc_id % 3 <> 2 AND length(text) > 200")
+@query("""WITH h AS (SELECT doc_id, length('# Title ' || doc_id || chr(10) || chr(10) || text || chr(10) || chr(10)) AS start,
+  length(CASE WHEN doc_id % 3 = 0 THEN '## References' ELSE '## 5. Funding statement' END || chr(10) || 'Item ' || doc_id) AS rest FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 2)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'references' ELSE 'funding' END AS section, ('Item ' || doc_id) AS content FROM h WHERE doc_id % 3 = 0 OR start >= floor((start + rest) * 0.5)""")
 def back_matter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("length(text) > 200").select("doc_id", F.expr(_MD).alias("md"))
-    found = documents.back_matter(docs, "doc_id", "md").join(docs, "doc_id")
-    return found.select("doc_id", "section", F.substr("md", F.col("content_start") + 1, F.col("content_end") - F.col("content_start")).alias("content"))
-
-
-@query()
-def back_matter_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """back_matter_sections over texts of any length; where a short text puts a heading too early, it is no section."""
+    """Over texts of any length; where a short text puts a heading too early, it is no section."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MD).alias("md"))
     found = documents.back_matter(docs, "doc_id", "md").join(docs, "doc_id")
     return found.select("doc_id", "section", F.substr("md", F.col("content_start") + 1, F.col("content_end") - F.col("content_start")).alias("content"))
 
 
-@query("""SELECT doc_id, count(*)::BIGINT AS n, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(trim(text, chr(10) || ' ') || chr(10) || chr(10) || 'Second ' || doc_id, chr(10) || chr(10))) AS p FROM documents
-  WHERE text IS NOT NULL AND text NOT LIKE '%$$%' AND text NOT LIKE '%```%' AND text NOT LIKE '%~~~%' AND NOT regexp_matches(text, '(^|\n)\\s*\\|[- :|]+\\|')) WHERE trim(p, chr(10) || chr(9) || chr(13) || ' ') <> '' GROUP BY doc_id""")
+# In SQL a skipped range becomes one character, which marks every paragraph that it touches.
+@query(r"""WITH m AS (SELECT doc_id, trim(text, chr(10) || ' ') || chr(10) || chr(10) || 'Second ' || doc_id AS md FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(md, '(?m)^[ \t]*(?:```[^\n]*\n[\s\S]*?\n[ \t]*```|~~~[^\n]*\n[\s\S]*?\n[ \t]*~~~)[ \t]*$', chr(1), 'g'), '\$\$[\s\S]*?\$\$', chr(1), 'g') AS md FROM m),
+p AS (SELECT doc_id, trim(unnest(regexp_split_to_array(md, '\n[ \t]*\n')), chr(10) || chr(9) || chr(13) || ' ') AS p FROM s)
+SELECT doc_id, count(*)::BIGINT AS n, sum(length(p))::BIGINT AS chars FROM p WHERE p <> '' AND NOT contains(p, chr(1)) AND NOT regexp_matches(p, '^!\[[^\]]*\]\([^)]*\)[ \t]*$')
+  AND NOT regexp_matches(p, '(?m)^\s*\|[- :|]+\|\s*$') GROUP BY doc_id""")
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(r"text IS NOT NULL AND text NOT LIKE '%$$%' AND text NOT LIKE '%```%' AND text NOT LIKE '%~~~%'")
-    docs = docs.filter(~F.col("text").rlike(r"(^|\n)\s*\|[- :|]+\|"))
-    docs = docs.select("doc_id", F.concat(F.trim(F.col("text"), F.lit("\n ")), F.lit("\n\nSecond "), F.col("doc_id")).alias("md"))
-    return documents.paragraphs(docs, "doc_id", "md").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
-
-
-@query()
-def paragraph_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paragraph_counts over all texts, those with code, formulas and tables as well."""
+    """Over all texts, those with code, formulas and tables as well."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.trim(F.col("text"), F.lit("\n ")), F.lit("\n\nSecond "), F.col("doc_id")).alias("md"))
     return documents.paragraphs(docs, "doc_id", "md").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
@@ -88,44 +79,35 @@ def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.urls(text).alias("u")).select("page_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(1)).alias("second"))
 
 
-@query(r"""SELECT conv_id, turn, 'see https://x.org' || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || 'Why ' || turn || '?' AS message FROM conversations
-WHERE text IS NOT NULL AND regexp_full_match(text, '(?s)\S(.*\S)?')""")
+@query(r"""WITH c AS (SELECT conv_id, turn, nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS t FROM conversations)
+SELECT conv_id, turn, 'see https://x.org' || chr(10) || chr(10) || CASE WHEN t IS NULL THEN '' ELSE '> ' || replace(t, chr(10), chr(10) || '> ') || chr(10) || chr(10) END || 'Why ' || turn || '?' AS message FROM c""")
 def chat_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter(r"text RLIKE '^(?s)\\S(.*\\S)?$'")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", T.compose_chat(F.lit("see https://x.org"), F.col("text"), F.concat(F.lit(" Why "), F.col("turn"), F.lit("? "))).alias("message"))
 
 
-@query()
-def chat_compose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chat_compose over all messages, those with outer white space and without text as well."""
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", T.compose_chat(F.lit("see https://x.org"), F.col("text"), F.concat(F.lit(" Why "), F.col("turn"), F.lit("? "))).alias("message"))
+def _redaction_sql() -> str:
+    """The redaction steps in SQL, but for values in the query of a URL, which need a look behind."""
+    plain = lambda p: p.replace("++", "+").replace("*+", "*").replace("'", "''")
+    secret = plain(T._secret_assignment()).replace(r"\v", r"\r\n")
+    steps = [(r"(?i)\b(https?://)[^\s\"'<>/@]+@".replace("'", "''"), r"\1"), (r"(?i)\b(Bearer|Basic)[ \t]+[-\w.~+/=]+", r"\1 [REDACTED]"), (secret, r"\1[REDACTED]"),
+             (rf"\b(?:{'|'.join(T.TOKEN_STARTS)})[-\w]{{20,}}", "[REDACTED]"), (r"(?:\b[A-Za-z]:[\\/]Users[\\/]|/home/|/Users/)[^\\/\s]+", "<USER_HOME>")]
+    text = "text || ' api_key = abc' || doc_id || '; Bearer x' || doc_id || ' in /home/u' || doc_id || '/f'"
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return f"SELECT doc_id, {text} AS text FROM documents"
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace('api_key = abc' || doc_id || '; ' || 'Bearer x' || doc_id || ' in /home/u' || doc_id || '/f', '(Bearer)\s+[A-Za-z0-9._~+/=-]+', '\1 [REDACTED]', 'g'), '/home/[^/\s]+', '<USER_HOME>', 'g')
-  .regexp_replace('(api_key\s*[:=]\s*)[^\s,;}\]]+', '\1[REDACTED]', 'g') AS text FROM documents""")
+@query(_redaction_sql())
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the documents, each with a key, a token and a folder more, redacted."""
     n = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("api_key = abc"), n, F.lit("; Bearer x"), n, F.lit(" in /home/u"), n, F.lit("/f"))
+    text = F.concat("text", F.lit(" api_key = abc"), n, F.lit("; Bearer x"), n, F.lit(" in /home/u"), n, F.lit("/f"))
     return table(spark, sf_dir, "documents").select("doc_id", T.redact_credentials(text).alias("text"))
 
 
-@query()
-def redact_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of the documents, redacted."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact_credentials(F.col("text")).alias("text"))
-
-
-@query("SELECT doc_id, text, true AS same FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0")
-def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND doc_id % 10 = 0").select("doc_id", "text", documents.masked(F.col("text")).alias("m"))
-    back = documents.unmasked(F.col("m.masked"), F.col("m.spans"))
-    return docs.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
-
-
 @query("SELECT doc_id, text, true AS same FROM documents WHERE text IS NOT NULL")
-def mask_round_trip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mask_round_trip over every text."""
+def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", documents.masked(F.col("text")).alias("m"))
     back = documents.unmasked(F.col("m.masked"), F.col("m.spans"))
     return docs.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
@@ -166,7 +148,13 @@ def columns_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.columns(_boxes(spark, sf_dir)).select("page", "is_double")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS page, l_linenumber AS block, (l_partkey % 2) * 500.0 + 50 AS l, l_linenumber * 120.0 AS t, l_suppkey % 3 = 0 AS v FROM ({_LINES})),
+d AS (SELECT page, sqrt(pow(max(l) + 350 - min(l), 2) + pow(max(t) + 100 - min(t), 2)) AS diagonal FROM b GROUP BY 1),
+g AS (SELECT x.page, x.block, y.block AS other, x.t AS t1, y.t AS t2, sqrt(pow(greatest(0, x.l - y.l - 350, y.l - x.l - 350), 2) + pow(greatest(0, x.t - y.t - 100, y.t - x.t - 100), 2)) AS gap
+  FROM b x JOIN b y ON x.page = y.page AND x.block <> y.block AND x.v AND y.v),
+e AS (SELECT g.page, block, other FROM g JOIN d USING (page) WHERE gap <= diagonal * 0.06 OR (abs(t1 - t2) < 12 AND gap <= 350 * 0.3)),
+c AS (SELECT page, block, block AS other FROM b WHERE v UNION SELECT c.page, c.block, e.other FROM c JOIN e ON c.page = e.page AND c.other = e.block)
+SELECT page % 100 AS doc, page, block, min(other) AS cluster FROM c GROUP BY ALL""")
 def cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(_boxes(spark, sf_dir))
 

@@ -87,7 +87,16 @@ def backup_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.backup_id_map(_records(spark, sf_dir, 0), _records(spark, sf_dir, 1))
 
 
-@query()
+_FOLD_ROWS = f"SELECT row_number() OVER (ORDER BY id) AS n, id::VARCHAR AS id, d, t, y, a FROM ({_KEYS.format(_DOCS.format(**_SIDE[0]))} UNION ALL {_KEYS.format(_DOCS.format(**_SIDE[1]))})"
+
+
+# One step a record: the records accepted so far are a list that the next one is looked up in.
+@query(f"""WITH RECURSIVE r AS ({_FOLD_ROWS}), f AS (
+  SELECT 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS hit, []::STRUCT(id VARCHAR, d VARCHAR, t VARCHAR, y VARCHAR, a VARCHAR)[] AS kept
+  UNION ALL SELECT n, id, hit, CASE WHEN hit IS NULL THEN list_append(kept, struct_pack(id := id, d := d, t := t, y := y, a := a)) ELSE kept END FROM (
+    SELECT r.n, r.id, r.d, r.t, r.y, r.a, f.kept, coalesce(list_filter(f.kept, lambda k: k.d = r.d)[1].id,
+      list_filter(f.kept, lambda k: k.t = r.t AND (k.d IS NULL OR r.d IS NULL) AND coalesce(k.y = r.y OR k.a = r.a, k.y = r.y, k.a = r.a, false))[1].id) AS hit FROM f JOIN r ON r.n = f.n + 1))
+SELECT id, hit IS NULL AS accepted, coalesce(hit, id) AS target FROM f WHERE n > 0""")
 def import_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir, 0).union(_records(spark, sf_dir, 1)).withColumn("ordinal", F.col("id").cast("long"))
     return linkage.fold_import(rows)

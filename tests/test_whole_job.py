@@ -21,15 +21,15 @@ def saved(spark, folder, name, rows, schema):
 def test_every_text_is_masked_and_restored(spark, tmp_path):
     texts = {1: "a `b` and $x$", 7: "costs $5", 10: "plain", 13: "", 14: None}
     sf = saved(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.same) for r in QUERIES["mask_round_trip_all"](spark, sf).collect()}
+    got = {r.doc_id: (r.text, r.same) for r in QUERIES["mask_round_trip"](spark, sf).collect()}
     assert got == {k: (v, True) for k, v in texts.items() if v is not None}
 
 
 def test_sizes_and_favourites_of_every_customer(spark, tmp_path):
     sf = saved(spark, tmp_path, "customer", [(1, 3), (5, 3), (33, 3), (19_999, 4), (32_768, 4), (40_000, 4)], "c_custkey long, c_nationkey int")
-    assert {r.c_custkey: r.size for r in QUERIES["size_format_all"](spark, sf).collect()} == {
+    assert {r.c_custkey: r.size for r in QUERIES["size_format"](spark, sf).collect()} == {
         1: "1 B", 5: "25 B", 33: "1.1 KB", 19_999: "381.4 MB", 32_768: "1.00 GB", 40_000: "1.49 GB"}
-    listed = {r.favourite: (r.n_docs, r.docs) for r in QUERIES["favorites_listing_all"](spark, sf).collect()}
+    listed = {r.favourite: (r.n_docs, r.docs) for r in QUERIES["favorites_listing"](spark, sf).collect()}
     assert listed == {3: (3, "1,5,33"), 4: (3, "19999,32768,40000")}
 
 
@@ -37,7 +37,7 @@ def test_paragraphs_of_hard_texts(spark, tmp_path):
     texts = {1: "one\n\ntwo", 2: "a\n\n```\ncode\n\nmore\n```\n\nb", 3: "a\n\n$$\nx\n\ny\n$$\n\nb", 4: "a\n\n| x |\n|---|\n| 1 |", 5: "a\n\n~~~\ncode\n~~~", 6: "", 7: None}
     sf = saved(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
     last = len("Second 1")
-    got = {r.doc_id: (r.n, r.chars) for r in QUERIES["paragraph_counts_all"](spark, sf).collect()}
+    got = {r.doc_id: (r.n, r.chars) for r in QUERIES["paragraph_counts"](spark, sf).collect()}
     assert got == {1: (3, 6 + last), 2: (3, 2 + last), 3: (3, 2 + last), 4: (2, 1 + last), 5: (2, 1 + last), 6: (1, last)}
 
 
@@ -52,7 +52,7 @@ def test_back_matter_of_short_texts(spark, tmp_path):
         size = len(head) + len(("## References" if k % 3 == 0 else "## 5. Funding statement") + f"\nItem {k}")
         if k % 3 == 0 or len(head) >= size // 2:
             want[k] = ("references" if k % 3 == 0 else "funding", f"Item {k}")
-    got = {r.doc_id: (r.section, r.content) for r in QUERIES["back_matter_sections_all"](spark, sf).collect()}
+    got = {r.doc_id: (r.section, r.content) for r in QUERIES["back_matter_sections"](spark, sf).collect()}
     assert got == want and {0, 3, 9} < set(got) and 1 not in got
 
 
@@ -60,7 +60,7 @@ def test_messages_with_outer_space(spark, tmp_path):
     texts = {1: "plain", 2: "  two\nlines \n", 3: "\u3000wide", 4: " \n", 5: None}
     sf = saved(spark, tmp_path, "conversations", [(1, k, v) for k, v in texts.items()], "conv_id long, turn int, text string")
     quote = {1: "> plain\n\n", 2: "> two\n> lines\n\n", 3: "> wide\n\n", 4: "", 5: ""}
-    got = {r.turn: r.message for r in QUERIES["chat_compose_all"](spark, sf).collect()}
+    got = {r.turn: r.message for r in QUERIES["chat_compose"](spark, sf).collect()}
     assert got == {k: f"see https://x.org\n\n{quote[k]}Why {k}?" for k in texts}
     placed = {r.paragraph: r["at"] for r in QUERIES["fuzzy_places"](spark, sf).collect()}
     assert placed == {1: -1, 2: -1, 3: -1, 4: -1}
@@ -68,8 +68,9 @@ def test_messages_with_outer_space(spark, tmp_path):
 
 def test_secrets_in_texts_are_redacted(spark, tmp_path):
     sf = saved(spark, tmp_path, "documents", [(1, "x password: hunter2 at /home/ann/f"), (2, "none"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in QUERIES["redact_text_all"](spark, sf).collect()}
-    assert got == {1: "x password: [REDACTED] at <USER_HOME>/f", 2: "none", 3: None}
+    got = {r.doc_id: r.text for r in QUERIES["redact_text"](spark, sf).collect()}
+    more = " api_key = [REDACTED]; Bearer [REDACTED] in <USER_HOME>/f"
+    assert got == {1: f"x password: [REDACTED] at <USER_HOME>/f{more}", 2: f"none{more}", 3: None}
 
 
 def test_import_fold_of_a_long_chain(spark):
