@@ -19,7 +19,10 @@ from paperloom.llm import words as W
 #: log2 of the buckets of n-grams for each language.
 BUCKET_BITS = 16
 SIZES = (1, 2, 3, 4)
-ROUNDS, PENALTY, SMOOTHING, TINY = 12, 2.0, 0.5, np.float32(1e-30)
+#: Most rounds of a fit, and the change of all shares below which it ends; the penalty for a language; smoothing counts.
+ROUNDS, MOVED, PENALTY, SMOOTHING, TINY = 12, 1e-3, 2.0, 0.5, np.float32(1e-30)
+#: The most languages of a model: its table has 2**BUCKET_BITS numbers for each.
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 #: Letters of words: ASCII letters and all beyond ASCII.
 _LETTER = W.byte_class(lambda b: b >= 0x80 or 0x61 <= b <= 0x7A)
@@ -75,6 +78,8 @@ class Model:
     def __init__(self, labelled: DataFrame, text: str = "text", lang: str = "lang"):
         """Counts over all labelled rows; those with a null language are passed over. Languages: as many as labels name."""
         rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"))
+        if len(rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+            raise ValueError(f"the labels name more than {MAX_LANGUAGES} languages")
         counts = rows.mapInArrow(_learned, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         self.languages = sorted(counts["lang"].unique())
         table = np.full((len(self.languages), 1 << BUCKET_BITS), SMOOTHING)
@@ -86,17 +91,21 @@ class Model:
 
 def _fitted(likelihood: np.ndarray, n_words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares after expectation-maximisation, and the log-likelihoods. likelihood: words by languages, those of a text together;
-    every text has a word."""
+    every text has a word. Each text stops by its own change, so its result does not depend on the texts beside it."""
     owner = np.repeat(np.arange(len(n_words)), n_words)
     starts = np.cumsum(n_words) - n_words
+    share, moving = share.copy(), np.arange(len(n_words))
+    part, size = likelihood, n_words
     for _ in range(ROUNDS):
-        joint = likelihood * share[owner]
+        joint = part * np.repeat(share[moving], size, axis=0)
         joint /= joint.sum(axis=1, keepdims=True) + TINY
-        new = np.add.reduceat(joint, starts, axis=0) / n_words[:, None].astype(np.float32)
-        moved = np.abs(new - share).max(initial=0)
-        share = new
-        if moved < 1e-3:
+        new = np.add.reduceat(joint, np.cumsum(size) - size, axis=0) / size[:, None].astype(np.float32)
+        more = np.abs(new - share[moving]).max(axis=1) >= MOVED
+        share[moving] = new
+        if not more.any():
             break
+        if not more.all():
+            part, moving, size = part[np.repeat(more, size)], moving[more], size[more]
     return share, np.add.reduceat(np.log((likelihood * share[owner]).sum(axis=1) + TINY), starts)
 
 
@@ -151,7 +160,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """doc_id, lang_pred, score and mixture (language and share of each in the chosen set) per row.
 
     A null text, one without a letter of any script, or any text if the model knows no language, is `und` with score 0. Equal
-    proportions: the language that comes first by name. Repeated rows stay rows, other columns are ignored.
+    proportions: the language that comes first by name. Very long texts are read whole. Repeated rows stay rows, other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
     rows = docs.select(F.col(doc_id).alias("id"), lettered.alias("t"))

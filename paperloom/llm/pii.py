@@ -2,9 +2,10 @@
 
 Base spans are found by pattern and kept if they pass their check (digits, ranges, Luhn). They are the seeds: mentions of
 digits or addresses that overlap one are its occurrences, and the words around an occurrence, with the shape of the mention,
-are lexical patterns. Over the graph of patterns and mentioned values Spark scores in rounds: a pattern by the share of its
-values that are known for a kind, a value by the patterns it stands in. Values that confident patterns agree on are unseen
-identifiers, and their mentions are added as spans; base spans always stay.
+are lexical patterns: the word before, the two words before, and the word after, as far away as they may stand. Over the graph
+of patterns and mentioned values Spark scores in rounds: a pattern by the share of its values that are known for a kind, a value
+by the patterns it stands in. Values that confident patterns agree on are unseen identifiers; they count as known in the next
+round, until a round finds no more. Their mentions are added as spans; base spans always stay.
 """
 
 from __future__ import annotations
@@ -30,27 +31,41 @@ _MAY = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?
 _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: A mention: digits with up to two separators between, or something with an at sign.
 MENTION = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[().\x20-]{0,2}[0-9])++(?![A-Za-z])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++"
-MIN_DIGITS, CONTEXT = 7, 64
-ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_VALUE = 3, 3, 0.6, 0.9
+#: Fewest digits of a mention that is neither an address nor four numbers with dots between.
+MIN_DIGITS = 7
+MIN_SEEDS, MIN_PATTERN, MIN_VALUE = 3, 0.6, 0.9
 #: The most documents with added spans that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 50_000
 _SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """All matches with their code-point places: array of (start, end, value, before, after); before and after are the text
-    between matches."""
+def _words_around(before: Column, after: Column) -> dict[str, Column]:
+    """The last and the last but one word before a place and the first behind it, in lower case; empty if there is none. The text
+    before is read backwards, so that the pattern is anchored and a long one costs no search."""
+    back = F.reverse(before)
+    last = r"^[^\p{L}]*+(\p{L}++)"
+    word = lambda text, pattern: F.lower(F.regexp_extract(text, pattern, 1))
+    return {"left": F.reverse(word(back, last)), "left2": F.reverse(word(back, r"^[^\p{L}]*+\p{L}++[^\p{L}]++(\p{L}++)")), "right": word(after, last)}
+
+
+def _placed(text: Column, pattern: str, around: bool = False) -> Column:
+    """All matches with their code-point places: array of (start, end, value), and the words around (left, left2, right) if asked for."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.transform(found, lambda value, i: F.struct(value.alias("value"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
-    empty = F.array().cast("array<struct<start: int, end: int, value: string, before: string, after: string>>")
+
+    def cut(value: Column, i: Column) -> Column:
+        words = _words_around(F.get(between, i), F.get(between, i + 1)) if around else {}
+        return F.struct(value.alias("value"), F.length(F.get(between, i)).alias("gap"), *(c.alias(n) for n, c in words.items()))
+
+    names = ["value", "left", "left2", "right"] if around else ["value"]
+    empty = F.array().cast(f"array<struct<start: int, end: int, {', '.join(f'{n}: string' for n in names)}>>")
 
     def add(state: Column, x: Column) -> Column:
-        start = state["upto"] + F.length(x["before"])
+        start = state["upto"] + x["gap"]
         end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(CONTEXT)).alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after"))
+        one = F.struct(start.alias("start"), end.alias("end"), *(x[n].alias(n) for n in names))
         return F.struct(end.alias("upto"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("upto"), empty.alias("out")), add, lambda state: state["out"])
+    return F.aggregate(F.transform(found, cut), F.struct(F.lit(0).alias("upto"), empty.alias("out")), add, lambda state: state["out"])
 
 
 def _digits(value: Column) -> Column:
@@ -91,9 +106,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column) -> Column:
-    kept = F.filter(_placed(text, MENTION), lambda m: m["value"].contains("@") | (F.length(_digits(m["value"])) >= MIN_DIGITS))
-    empty = F.array().cast("array<struct<start: int, end: int, value: string, before: string, after: string>>")
-    return F.when(text.rlike("[0-9@]"), kept).otherwise(empty)
+    told = lambda v: v.contains("@") | (F.length(_digits(v)) >= MIN_DIGITS) | v.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
+    kept = F.filter(_placed(text, MENTION, around=True), lambda m: told(m["value"]))
+    empty = F.array().cast("array<struct<start: int, end: int, value: string, left: string, left2: string, right: string>>")
+    return F.when(text.rlike(r"@|[0-9]\.[0-9]++\.[0-9]|[0-9](?:[().\x20-]{0,2}[0-9]){6}"), kept).otherwise(empty)
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -106,39 +122,46 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
     one = scanned.filter(F.size("mentions") > 0).select("key_id", "key_text", "base", F.explode("mentions").alias("m"))
     seed = F.get(F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))), F.lit(0))["rank"]
     shape = F.regexp_replace(F.regexp_replace("m.value", "[0-9]+", "9"), r"\p{L}+", "a")
-    left, left2 = F.lower(F.regexp_extract("m.before", r"(\p{L}+)[^\p{L}]*$", 1)), F.lower(F.regexp_extract("m.before", r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}]*$", 1))
-    right = F.lower(F.regexp_extract("m.after", r"^[^\p{L}]*(\p{L}+)", 1))
-    patterns = F.array(F.concat_ws(" ", F.lit("<"), left, shape), F.concat_ws(" ", F.lit("<<"), left2, left, shape), F.concat_ws(" ", F.lit(">"), right, shape))
+    left, left2, right = (F.col(f"m.{n}") for n in ("left", "left2", "right"))
+    patterns = F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left, shape)), F.when(left2 != "", F.concat_ws(" ", F.lit("<<"), left2, left, shape)),
+                       F.when(right != "", F.concat_ws(" ", F.lit(">"), right, shape)))
+    patterns = F.filter(patterns, lambda p: p.isNotNull())
     return one.select("key_id", "key_text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), seed.alias("rank"), patterns.alias("patterns"))
 
 
 def discovered(occurrences: DataFrame) -> DataFrame:
-    """(value, rank): values that are no seeds, and the kind that their patterns give them."""
-    seeds = stored(occurrences.filter("rank IS NOT NULL").select("value", "rank").distinct(), "seeds")
+    """(value, rank): values that are no seeds, and the kind that their patterns give them.
+
+    A round scores patterns by what is known and adds the values that they are sure of; what has been added stays, so the rounds
+    end, at the latest when every value of the graph is known."""
+    seeds = stored(occurrences.filter("rank IS NOT NULL").select("value", "rank").distinct().withColumn("score", F.lit(1.0)), "seeds")
     edges = stored(occurrences.select("value", F.explode("patterns").alias("pattern")).distinct(), "graph")
-    known = seeds.withColumn("score", F.lit(1.0))
-    values = None
-    for _ in range(ROUNDS):
-        totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
+    added, known = None, seeds
+    while True:
         scored = edges.join(known, "value").groupBy("pattern", "rank").agg(F.sum("score").alias("known"), F.count("*").alias("members"))
-        patterns = scored.join(totals, "pattern").filter(F.col("members") >= MIN_SEEDS).select("pattern", "rank", (F.col("known") / (F.col("values") + 1)).alias("trust")).filter(F.col("trust") >= MIN_PATTERN)
-        found = edges.join(patterns, "pattern").join(seeds.select("value"), "value", "left_anti")
+        patterns = scored.filter(F.col("members") >= MIN_SEEDS).join(totals, "pattern").select("pattern", "rank", (F.col("known") / (F.col("values") + 1)).alias("trust")).filter(F.col("trust") >= MIN_PATTERN)
+        found = edges.join(patterns, "pattern").join(known.select("value"), "value", "left_anti")
         # A value's score is that one of its trusted patterns is right; the product of the doubts, by logarithms.
         values = found.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("score"))
         values = values.groupBy("value").agg(F.max_by(F.struct("rank", "score"), F.struct("score", -F.col("rank"))).alias("best")).select("value", "best.rank", "best.score")
         values = stored(values.filter(F.col("score") >= MIN_VALUE), "values")
-        known = seeds.withColumn("score", F.lit(1.0)).unionByName(values)
-    return values.select("value", "rank")
-
-
-def added_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The scanned rows (key, id, base) and the added spans by key (more: array of (start, rank, end))."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    scanned = stored(rows.select("id", *_key(F.col("id"), F.col("t")), base_spans(F.col("t")).alias("base"), _mentions(F.col("t")).alias("mentions")), "scanned")
+        new = not values.isEmpty()
+        added = values if added is None else added.unionByName(values) if new else added
+        if not new:
+            return added.select("value", "rank")
+        known = seeds.unionByName(added)
+
+
+def added_spans(rows: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows (key, id, base, and the carried columns) of rows (id, t, ...), and the added spans by key (more: array of
+    (start, rank, end))."""
+    scanned = rows.select("id", *carried, *_key(F.col("id"), F.col("t")), base_spans(F.col("t")).alias("base"), _mentions(F.col("t")).alias("mentions"))
+    scanned = stored(scanned, "scanned")
     occurrences = stored(_occurrences(scanned), "occurrences")
     fresh = occurrences.filter("rank IS NULL").drop("rank", "patterns").join(discovered(occurrences), "value")
     more = fresh.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end"))).alias("more"))
-    return scanned.select("id", "key_id", "key_text", "base"), stored(more, "added")
+    return scanned.drop("mentions"), stored(more, "added")
 
 
 def _with_added(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -153,10 +176,11 @@ def _with_added(rows: DataFrame, more: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, base and spans, both arrays of (start, rank of the kind in KINDS, end) in code points, end exclusive.
 
-    A null or empty text has no spans. Rows that repeat id and text have the same spans. Overlapping spans of different kinds
-    are all listed. Other columns are ignored; an empty table gives no rows.
+    A null or empty text has no spans; very long ones are read whole. Rows that repeat id and text have the same spans.
+    Overlapping spans of different kinds are all listed. Other columns are ignored, whatever their names; an empty table gives no
+    rows.
     """
-    scanned, more = added_spans(docs, doc_id, text)
+    scanned, more = added_spans(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     return _with_added(scanned, more).select(F.col("id").alias(doc_id), "base", "spans")
 
 
@@ -173,12 +197,12 @@ def counted(spans: str, rank: int) -> Column:
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans are replaced as one, by the
-    kind that starts first. Null texts stay null, all columns stay."""
-    _, more = added_spans(docs, doc_id, text)
+    kind that starts first. Null texts stay null, very long ones are read whole, all columns stay, whatever their names. Rows that
+    repeat stay rows; an empty table gives no rows."""
     columns = docs.columns
-    content = F.coalesce(F.col(f"original.{text}"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("original"))
-    rows = rows.select("original", *_key(F.col(f"original.{doc_id}"), content), base_spans(content).alias("base"))
+    content = F.coalesce(F.col(f"original.`{text}`"), F.lit(""))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("original"))
+    rows, more = added_spans(whole.select("original", F.col(f"original.`{doc_id}`").alias("id"), content.alias("t")), ("original",))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
     def step(state: Column, s: Column) -> Column:
@@ -188,5 +212,5 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     cleaned = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), step,
                           lambda state: F.concat(state["out"], F.substring(content, state["upto"] + 1, F.lit((1 << 31) - 1))))
-    new = F.when(F.size("spans") > 0, cleaned).otherwise(F.col(f"original.{text}"))
+    new = F.when(F.size("spans") > 0, cleaned).otherwise(F.col(f"original.`{text}`"))
     return _with_added(rows, more).select(*((new.alias(c) if c == text else F.col(f"original.`{c}`").alias(c)) for c in columns))

@@ -29,13 +29,14 @@ def _unit(hexed: Column) -> Column:
 
 
 def interleave(docs: DataFrame, n_shards: int = 24, seed: str = "0", text: str = "text", key: str = "doc_id",
-               source: str = "source") -> DataFrame:
+               source: str = "source", own_stratum_rows: int | None = None) -> DataFrame:
     """Return key, size, text_crc32, source, position, shard and slot of every row.
 
     size is the UTF-8 bytes of the text plus 8. Shards' row counts differ by at most one. Nulls: a null text has no bytes
     and checksum 0 (that of no bytes), a null source is a stratum of its own, a null key is ordered like the empty key.
     Rows that agree in key, text and source are interchangeable; each still gets its own slot. An empty table gives no
-    rows. With fewer rows than shards, some shards are empty. Other columns are ignored.
+    rows. With fewer rows than shards, some shards are empty. Very long texts count whole. Other columns are ignored, whatever their
+    names. own_stratum_rows: sources of fewer rows share a stratum; by default those that could not reach every shard.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -44,7 +45,8 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: str = "0", text: str =
         (F.octet_length(content) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.encode(content, "UTF-8")).cast("long").alias("text_crc32"),
     ).withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("text_crc32")).cast("binary")))
-    small = stored(rows.filter("stratum <> ''").groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") < n_shards).select("stratum", F.lit(POOL).alias("pool")), "small")
+    rows = stored(rows, "narrow")  # texts are read once; what follows works on these few columns
+    small = stored(rows.filter("stratum <> ''").groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") < (n_shards if own_stratum_rows is None else own_stratum_rows)).select("stratum", F.lit(POOL).alias("pool")), "small")
     n_small = small.count()
     rows = rows.withColumn("own", F.col("stratum"))
     if n_small:
