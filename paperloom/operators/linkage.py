@@ -14,6 +14,8 @@ from paperloom.sources.scratch import stored
 
 #: Columns of a bibliographic record beside its id.
 FIELDS = ("title", "authors", "journal", "year", "doi", "keywords")
+#: The most records that one task folds in order.
+MAX_GROUP = 100_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -66,32 +68,73 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
                 dois.setdefault(r.doi_key, r.id)
             if r.title_key is not None:
                 titles.setdefault(r.title_key, []).append(r)
-        out.append((r.id, hit is None, hit if hit is not None else r.id))
-    return pd.DataFrame(out, columns=["id", "accepted", "target"])
-
-
-def fold_import(incoming: DataFrame) -> DataFrame:
-    """Batch import where each accepted record joins the index before the next one is judged (column ordinal gives the order).
+        out.append((r.ordinal, r.id, hit is None, hit if hit is not None else r.id))
+    return pd.DataFrame(out, columns=["ordinal", "id", "accepted", "target"])
+
+
+_KEYS = ("doi_key", "title_key", "year_key", "author_key")
+_LINKS = (("doi_key",), ("title_key", "year_key"), ("title_key", "author_key"))
+
+
+def _first_matches(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with by_doi and by_title: struct(ordinal, id) of the first of others that the duplicate rule matches by DOI, and by title.
+
+    Minima by key, combined before the shuffle, so a key that very many records share is no product of pairs."""
+    one = F.min(F.struct("ordinal", "id"))
+    out = rows
+    for n, link in enumerate(_LINKS):
+        bare = F.when(F.col("doi_key").isNull(), F.struct("ordinal", "id"))
+        found = others.dropna(subset=list(link)).groupBy(*link).agg(one.alias(f"_any{n}"), F.min(bare).alias(f"_bare{n}"))
+        out = out.join(found, list(link), "left")
+    # Two DOIs decide alone, so a record with one matches by title only those without.
+    titles = [F.when(F.col("doi_key").isNull(), F.col(f"_any{n}")).otherwise(F.col(f"_bare{n}")) for n in (1, 2)]
+    return out.select("ordinal", "id", *_KEYS, F.col("_any0").alias("by_doi"), F.least(*titles).alias("by_title"))
+
+
+def _folded(rows: DataFrame, most: int) -> DataFrame:
+    """The ordinals of the records that are accepted. Components of more than `most` records are first thinned out in rounds: those
+    that no undecided earlier record matches are accepted, those that an accepted one matches are out."""
+    left, accepted = rows, []
+    while True:
+        edges = []
+        for link in _LINKS:
+            least = left.dropna(subset=list(link)).groupBy(*link).agg(F.min("ordinal").alias("least"))
+            edges.append(left.join(least, list(link)).select(F.col("ordinal").alias("u"), F.col("least").alias("v")))
+        root = components(reduce(DataFrame.union, edges))
+        left = stored(left.join(root, F.col("ordinal") == F.col("node"), "left").select("ordinal", "id", *_KEYS, F.coalesce("root", "ordinal").alias("label")), "labelled")
+        large = left.groupBy("label").count().filter(F.col("count") > most).select("label")
+        if large.isEmpty():
+            folded = left.groupBy("label").applyInPandas(_fold, "ordinal long, id string, accepted boolean, target string")
+            return reduce(DataFrame.union, accepted, folded.filter("accepted").select("ordinal"))
+        early = lambda c: F.coalesce(F.col(f"{c}.ordinal") < F.col("ordinal"), F.lit(False))
+        free = stored(_first_matches(left, left).filter(~early("by_doi") & ~early("by_title")).select("ordinal", "id", *_KEYS), "accepted")
+        rest = _first_matches(left.join(free.select("ordinal"), "ordinal", "left_anti"), free).filter("by_doi IS NULL AND by_title IS NULL")
+        accepted.append(free.select("ordinal"))
+        left = stored(rest.select("ordinal", "id", *_KEYS), "undecided")
+
+
+def fold_import(incoming: DataFrame, most: int = MAX_GROUP) -> DataFrame:
+    """Batch import where each accepted record joins the index before the next one is judged (column ordinal gives the order; no two
+    records have the same). Returns id, accepted, target (the record an id ends up as) per row.
 
     Records whose keys are all equal duplicate each other, so only the first of them takes part. Those left that share a DOI,
-    or a title with a year or first author, form components, and only a component is folded in order: a group is as large as
-    a set of different records chained by these. Returns id, accepted, target (the record an id ends up as).
+    or a title with a year or first author, form components, which are folded in order each by itself, by at most `most` records a
+    task. Rows may repeat an id; a null in a key matches nothing; an empty table gives no rows.
     """
-    keys = ["doi_key", "title_key", "year_key", "author_key"]
-    k = keyed(incoming).select("id", F.col("ordinal").cast("long").alias("ordinal"), *keys)
+    k = keyed(incoming).select("id", F.col("ordinal").cast("long").alias("ordinal"), *_KEYS)
     alike = F.col("doi_key").isNotNull() | (F.col("title_key").isNotNull() & F.coalesce("year_key", "author_key").isNotNull())
-    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in keys), F.when(~alike, F.col("ordinal")).alias("alone"))), 256)
+    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in _KEYS), F.when(~alike, F.col("ordinal")).alias("alone"))), 256)
     k = stored(k.withColumn("record", own), "incoming")
-    first = stored(k.groupBy("record").agg(F.min(F.struct("ordinal", "id", *keys)).alias("f")).select("record", "f.*"), "first")
-    edges = []
-    for link in (["doi_key"], ["title_key", "year_key"], ["title_key", "author_key"]):
-        least = first.dropna(subset=link).groupBy(*link).agg(F.min("ordinal").alias("least"))
-        edges.append(first.join(least, link).select(F.col("ordinal").alias("u"), F.col("least").alias("v")))
-    root = components(reduce(DataFrame.union, edges))
-    label = first.join(root, F.col("ordinal") == F.col("node"), "left").select("ordinal", F.coalesce("root", "ordinal").alias("label"))
-    folded = first.join(label, "ordinal").groupBy("label").applyInPandas(_fold, "id string, accepted boolean, target string")
-    folded = folded.join(first.select("id", "record"), "id").select("record", F.col("id").alias("first_id"), "accepted", "target")
-    return k.join(folded, "record").select("id", ((F.col("id") == F.col("first_id")) & F.col("accepted")).alias("accepted"), "target")
+    first = stored(k.groupBy("record").agg(F.min(F.struct("ordinal", "id", *_KEYS)).alias("f")).select("record", "f.*"), "first")
+    accepted = stored(first.join(_folded(first.drop("record"), most), "ordinal", "left_semi").drop("record"), "accepted")
+    # Others than accepted records match the first accepted one before them, by DOI before by title. (One of their DOI that comes later
+    # may have been accepted, of their title the first is always earlier.)
+    by_doi = F.when(F.col("by_doi.ordinal") < F.col("ordinal"), F.col("by_doi.id"))
+    matched = _first_matches(first.drop("record"), accepted).select("ordinal", F.coalesce(by_doi, F.col("by_title.id")).alias("match"))
+    is_in = accepted.select("ordinal", F.lit(True).alias("in"))
+    verdict = first.select("record", "ordinal", F.col("id").alias("first_id")).join(is_in, "ordinal", "left").join(matched, "ordinal")
+    verdict = verdict.select("record", F.col("ordinal").alias("first_ordinal"), F.coalesce("in", F.lit(False)).alias("in"), F.when(F.col("in"), F.col("first_id")).otherwise(F.col("match")).alias("target"))
+    return k.join(verdict, "record").select("id", ((F.col("ordinal") == F.col("first_ordinal")) & F.col("in")).alias("accepted"), "target")
 
 
 def backup_id_map(live: DataFrame, backup: DataFrame) -> DataFrame:
