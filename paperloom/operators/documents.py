@@ -252,6 +252,21 @@ def table_markdown(rows: Column) -> Column:
     return F.array_join(F.concat(F.slice(out, 1, 1), F.array(rule), F.slice(out, F.lit(2), F.size(out))), "\n")
 
 
+def table_html(rows: Column) -> Column:
+    """A table as HTML, the first row as headers; marks of HTML in cells are escaped, line ends become <br>."""
+    def safe(c: Column) -> Column:
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(mark), F.lit(name))
+        return F.regexp_replace(c, r"\r?\n", "<br>")
+
+    def line(r: Column, i: Column) -> Column:
+        head = F.array_join(F.transform(r, lambda c: F.concat(F.lit("<th>"), safe(c), F.lit("</th>"))), "")
+        body = F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), safe(c), F.lit("</td>"))), "")
+        return F.concat(F.lit("<tr>"), F.when(i == 0, head).otherwise(body), F.lit("</tr>"))
+
+    return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, line), ""), F.lit("</table>"))
+
+
 class _Tables(HTMLParser):
     """Rows of outermost tables as lists of (text, rowspan, colspan, header)."""
 

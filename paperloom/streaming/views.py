@@ -33,6 +33,24 @@ def refreshed(changes: DataFrame, view: Callable[[SparkSession], DataFrame], tar
     return changes.writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def refreshed_from(sources: list[DataFrame], view: Callable[[SparkSession], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+    """A view over several tables: a change of any of them (streams of any columns) makes the whole view anew, once a batch."""
+    marks = [s.select(F.lit(n).alias("source")) for n, s in enumerate(sources)]
+    every = marks[0]
+    for m in marks[1:]:
+        every = every.unionByName(m)
+    return refreshed(every, view, target, checkpoint)
+
+
+def tool_calls(fragments: DataFrame, stream: str, index: str, order: str) -> DataFrame:
+    """Calls put together from their fragments (id, name, arguments): of each stream and index the first id and name, and the
+    arguments in order; a call without a name is none."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(order)))
+    parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce("arguments", F.lit("")).alias("a"))))
+    calls = fragments.groupBy(stream, index).agg(first("id").alias("id"), first("name").alias("name"), parts.alias("p"))
+    return calls.filter(F.coalesce("name", F.lit("")) != "").select(stream, index, "id", "name", F.array_join(F.transform("p", lambda x: x["a"]), "").alias("arguments"))
+
+
 def debounced(rows: DataFrame, key: str, at: str, value: str, gap: str) -> DataFrame:
     """The last value of each burst; a burst ends when nothing comes for gap. Batch or stream."""
     burst = rows.groupBy(F.col(key), F.session_window(at, gap).alias("w")).agg(F.max(F.struct(at, value)).alias("last"), F.count("*").alias("n_events"))
