@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators.components import components
+from paperloom.operators.grouped import fold_groups
 from paperloom.sources.scratch import stored
 
 #: Columns of a bibliographic record beside its id.
@@ -49,27 +49,26 @@ def duplicates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("id").agg(F.min(F.struct("by", "duplicate_of")).alias("m")).select("id", "m.duplicate_of")
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Accept rows in order unless one accepted before is a duplicate."""
+def _fold(rows: list[dict]) -> list[tuple]:
+    """Accept rows, which are in order, unless one accepted before is a duplicate: (ordinal, id, accepted, target)."""
     dois: dict = {}
     titles: dict = {}
     out = []
-    for r in rows.sort_values("ordinal").itertuples(index=False):
-        hit = dois.get(r.doi_key) if r.doi_key is not None else None
-        if hit is None and r.title_key is not None:
-            for o in titles.get(r.title_key, ()):
-                if r.doi_key is not None and o.doi_key is not None:
-                    continue
-                if (r.year_key is not None and r.year_key == o.year_key) or (r.author_key is not None and r.author_key == o.author_key):
-                    hit = o.id
-                    break
+    for r in rows:
+        doi, title = r["doi_key"], r["title_key"]
+        hit = dois.get(doi) if doi is not None else None
+        for o in titles.get(title, ()) if hit is None and title is not None else ():
+            both = doi is not None and o["doi_key"] is not None
+            if not both and any(r[k] is not None and r[k] == o[k] for k in ("year_key", "author_key")):
+                hit = o["id"]
+                break
         if hit is None:
-            if r.doi_key is not None:
-                dois.setdefault(r.doi_key, r.id)
-            if r.title_key is not None:
-                titles.setdefault(r.title_key, []).append(r)
-        out.append((r.ordinal, r.id, hit is None, hit if hit is not None else r.id))
-    return pd.DataFrame(out, columns=["ordinal", "id", "accepted", "target"])
+            if doi is not None:
+                dois.setdefault(doi, r["id"])
+            if title is not None:
+                titles.setdefault(title, []).append(r)
+        out.append((r["ordinal"], r["id"], hit is None, hit if hit is not None else r["id"]))
+    return out
 
 
 _KEYS = ("doi_key", "title_key", "year_key", "author_key")
@@ -104,7 +103,7 @@ def _folded(rows: DataFrame, most: int) -> DataFrame:
         left = stored(left.join(root, F.col("ordinal") == F.col("node"), "left").select("ordinal", "id", *_KEYS, F.coalesce("root", "ordinal").alias("label")), "labelled")
         large = left.groupBy("label").count().filter(F.col("count") > most).select("label")
         if large.isEmpty():
-            folded = left.groupBy("label").applyInPandas(_fold, "ordinal long, id string, accepted boolean, target string")
+            folded = fold_groups(left, ["label"], ["ordinal"], _fold, "ordinal long, id string, accepted boolean, target string")
             return reduce(DataFrame.union, accepted, folded.filter("accepted").select("ordinal"))
         early = lambda c: F.coalesce(F.col(f"{c}.ordinal") < F.col("ordinal"), F.lit(False))
         free = stored(_first_matches(left, left).filter(~early("by_doi") & ~early("by_title")).select("ordinal", "id", *_KEYS), "accepted")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators.documents import placed
+from paperloom.operators.grouped import fold_groups
 
 # Labels of running text, and the most that a continued region may jut out of its box.
 BODY_LABELS = ("text", "paragraph", "abstract", "list")
@@ -33,10 +34,9 @@ def assembled_pages(pages: DataFrame) -> DataFrame:
     return joined.select("doc", "page", text.alias("markdown"), images.alias("images"))
 
 
-def _grouped(rows: pd.DataFrame) -> pd.DataFrame:
+def _grouped(rows: list[dict]) -> list[tuple]:
     """Regions of the text blocks of one document that one filled block and empty ones share."""
-    rows = rows.sort_values(["page", "ordinal", "block"], kind="stable").reset_index(drop=True)
-    filled = [bool((c or "").strip()) for c in rows["content"]]
+    filled = [bool((r["content"] or "").strip()) for r in rows]
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -45,30 +45,36 @@ def _grouped(rows: pd.DataFrame) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    def joined(members) -> None:
+    def joined(members: list[int]) -> None:
         for m in members[1:]:
             parent[root(m)] = root(members[0])
 
-    for _, part in rows[rows["global_group"] >= 0].groupby(["global_group", "label"], sort=False):
-        joined(list(part.index))
-    for _, part in rows[rows["local_group"] >= 0].groupby(["page", "local_group", "label"], sort=False):
-        members = list(part.index)
+    def groups(keys) -> dict:
+        out: dict = {}
+        for i, key in enumerate(keys):
+            if key is not None:
+                out.setdefault(key, []).append(i)
+        return out
+
+    for members in groups((r["global_group"], r["label"]) if r["global_group"] >= 0 else None for r in rows).values():
+        joined(members)
+    for members in groups((r["page"], r["local_group"], r["label"]) if r["local_group"] >= 0 else None for r in rows).values():
         together = {root(m) for m in members}
         # A page's own group may only add to a partition that still has one filled block.
-        if len(members) > 1 and sum(filled[m] for m in members) == 1 and sum(filled[i] for i in range(len(rows)) if root(i) in together) == 1:
+        if len(members) > 1 and sum(filled[m] for m in members) == 1 and sum(f for i, f in enumerate(filled) if root(i) in together) == 1:
             joined(members)
     out = []
-    for _, part in rows.groupby([root(i) for i in range(len(rows))], sort=False):
-        owners = [i for i in part.index if filled[i]]
-        boxes = part[["left", "top", "right", "bottom"]]
-        if len(part) < 2 or len(owners) != 1 or boxes.isna().any(axis=None):
+    for members in groups(map(root, range(len(rows)))).values():
+        owners = [i for i in members if filled[i]]
+        boxes = [tuple(rows[i][c] for c in ("left", "top", "right", "bottom")) for i in members]
+        if len(members) < 2 or len(owners) != 1 or any(v is None for b in boxes for v in b):
             continue
-        area = (boxes["right"] - boxes["left"]) * (boxes["bottom"] - boxes["top"])
-        owner = rows.loc[owners[0]]
-        for n, i in enumerate(part.index):
-            share = len(owner["content"]) * area[i] / area.sum() if area.sum() else 0
-            out.append((owner["doc"], owner["page"], owner["block"], n, rows.loc[i, "page"], *map(float, boxes.loc[i]), max(1, int(share + 0.5))))
-    return pd.DataFrame(out, columns=["doc", "page", "block", "part", "region_page", "left", "top", "right", "bottom", "length"])
+        areas = [(b[2] - b[0]) * (b[3] - b[1]) for b in boxes]
+        owner = rows[owners[0]]
+        for n, (i, box, area) in enumerate(zip(members, boxes, areas, strict=True)):
+            share = len(owner["content"]) * area / sum(areas) if sum(areas) else 0
+            out.append((owner["doc"], owner["page"], owner["block"], n, rows[i]["page"], *box, max(1, int(share + 0.5))))
+    return out
 
 
 def text_regions(blocks: DataFrame) -> DataFrame:
@@ -81,7 +87,8 @@ def text_regions(blocks: DataFrame) -> DataFrame:
         "doc", F.col("page").cast("long"), F.col("ordinal").cast("long"), F.col("block").cast("string"), "label", "content",
         *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("global_group", "local_group")), *(F.col(c).cast("double") for c in ("left", "top", "right", "bottom")))
     kind = dict(rows.dtypes)["doc"]
-    return rows.groupBy("doc").applyInPandas(_grouped, f"doc {kind}, page long, block string, part long, region_page long, left double, top double, right double, bottom double, length long")
+    schema = f"doc {kind}, page long, block string, part long, region_page long, left double, top double, right double, bottom double, length long"
+    return fold_groups(rows, ["doc"], ["page", "ordinal", "block"], _grouped, schema)
 
 
 def repaired_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
@@ -106,9 +113,9 @@ def repaired_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return regions.join(one, ["doc", "block", "part"], "left").withColumn("region_page", F.coalesce("_to", "region_page")).drop("_to").select(*regions.columns)
 
 
-def _line_runs(rows: pd.DataFrame) -> pd.DataFrame:
+def _line_runs(rows: list[dict]) -> list[tuple]:
     """Boxes of one page merged: those that overlap vertically by half are a band; neighbours in a band with a small gap are one line."""
-    boxes = sorted({tuple(map(float, b)) for b in rows[["left", "top", "right", "bottom"]].itertuples(index=False, name=None)}, key=lambda b: b[1])
+    boxes = sorted({(r["left"], r["top"], r["right"], r["bottom"]) for r in rows}, key=lambda b: (b[1], b[0], b[2], b[3]))
     bands: list[tuple[list[float], list[tuple]]] = []
 
     def grown(a, b):
@@ -138,15 +145,14 @@ def _line_runs(rows: pd.DataFrame) -> pd.DataFrame:
                 lines.append(line)
                 line = list(b)
         lines.append(line)
-    key = rows.iloc[0]
-    return pd.DataFrame([(key["doc"], key["page"], n, *line) for n, line in enumerate(lines)], columns=["doc", "page", "line", "left", "top", "right", "bottom"])
+    return [(rows[0]["doc"], rows[0]["page"], n, *line) for n, line in enumerate(lines)]
 
 
 def line_runs(boxes: DataFrame) -> DataFrame:
     """(doc, page, line, box): character boxes (doc, page, left, top, right, bottom) as runs of lines, none across columns or paragraphs."""
     rows = boxes.dropna(subset=["left", "top", "right", "bottom"]).select("doc", F.col("page").cast("long"), *(F.col(c).cast("double") for c in ("left", "top", "right", "bottom")))
     kind = dict(rows.dtypes)["doc"]
-    return rows.groupBy("doc", "page").applyInPandas(_line_runs, f"doc {kind}, page long, line long, left double, top double, right double, bottom double")
+    return fold_groups(rows, ["doc", "page"], ["top", "left"], _line_runs, f"doc {kind}, page long, line long, left double, top double, right double, bottom double")
 
 
 def proportional_ranges(text: Column, weights: Column) -> Column:
