@@ -206,11 +206,26 @@ def bigrams(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def best_matches(queries: DataFrame, candidates: DataFrame, threshold: float = 0.55) -> DataFrame:
     """For each query (key, title) the candidate of the largest Dice coefficient of bigram multisets, at least threshold; of
-    equals that of the smallest key. Only texts that share a bigram meet; rare bigrams are no different from common ones."""
-    q = queries.select("key", T.search_form(F.col("title")).alias("t"))
-    c = candidates.select("key", T.search_form(F.col("title")).alias("t"))
-    a = bigrams(q, "key", "t").alias("a")
-    b = bigrams(c, "key", "t").alias("b")
-    shared = a.join(b, F.col("a.gram") == F.col("b.gram")).groupBy(F.col("a.key").alias("query"), F.col("b.key").alias("match"), (F.col("a.total") + F.col("b.total")).alias("both")).agg(F.sum(F.least("a.n", "b.n")).alias("common"))
-    scored = shared.select("query", "match", (2 * F.col("common") / F.col("both")).alias("score")).filter(F.col("score") >= threshold)
+    equals that of the smallest key.
+
+    A text's tokens are its bigrams, a repeated one numbered, sorted by how rare they are. Two texts whose coefficient reaches t
+    have t / (2 - t) of the longer one's tokens in common, so they share one of the rarest n - ceil(n t / (2 - t)) + 1 tokens of
+    either: only texts that meet in such a prefix, and whose lengths allow it, are compared. Common bigrams are in few prefixes.
+    """
+    q = queries.select(F.lit(0).alias("side"), "key", T.search_form(F.col("title")).alias("t"))
+    c = candidates.select(F.lit(1).alias("side"), "key", T.search_form(F.col("title")).alias("t"))
+    grams = stored(bigrams(q.unionByName(c).select(F.struct("side", "key").alias("k"), "t"), "k", "t"), "bigrams")
+    rarity = grams.groupBy("gram").agg(F.sum("n").alias("often"))
+    token = F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct("often", "gram", i.alias("nth"))))
+    texts = grams.join(rarity, "gram").select("key", "total", token.alias("token")).groupBy("key", "total").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    texts = stored(texts.select("key.side", "key.key", "total", "tokens"), "tokens")
+    prefix = F.slice("tokens", F.lit(1), F.col("total") - F.ceil(F.col("total") * threshold / (2 - threshold) - 1e-9).cast("int") + 1)
+    met = texts.select("side", "key", "total", F.explode(prefix).alias("token")).select("side", "key", "total", "token.gram", "token.nth")
+    a, b = met.filter("side = 0").alias("a"), met.filter("side = 1").alias("b")
+    same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.nth") == F.col("b.nth"))
+    near = 2 * F.least("a.total", "b.total") >= threshold * (F.col("a.total") + F.col("b.total")) - 1e-9
+    pairs = a.join(b, same).filter(near).select(F.col("a.key").alias("query"), F.col("b.key").alias("match")).distinct()
+    left, right = (texts.filter(F.col("side") == n).select(F.col("key").alias(name), F.col("total").alias(f"n{n}"), F.col("tokens").alias(f"t{n}")) for n, name in ((0, "query"), (1, "match")))
+    common = F.size(F.array_intersect("t0", "t1"))
+    scored = pairs.join(left, "query").join(right, "match").select("query", "match", (2 * common / (F.col("n0") + F.col("n1"))).alias("score")).filter(F.col("score") >= threshold)
     return scored.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("m")).select("query", F.col("m.match").alias("match"), (-F.col("m.s")).alias("score"))

@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources.scratch import stored
+
 #: Characters of a piece of sorted lines.
 PIECE = 1 << 13
 
@@ -86,7 +88,17 @@ def quota(rows: DataFrame, later: str, order: list[Column], most: int) -> DataFr
 
 
 def occurrences(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The number of each row among those of equal key, and how many there are."""
-    w = Window.partitionBy(*key)
-    return rows.withColumn("occurrence", F.row_number().over(w.orderBy(*order))).withColumn("n_equal", F.count("*").over(w))
-
+    """The number of each row among those of equal key, and how many there are; nulls equal each other.
+
+    Rows are cut into ranges of key and order, so a key that very many rows have lies in many of them: a row's number is its place
+    in its range and the rows of its key in the ranges before."""
+    parts = stored(rows.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_part").alias("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*key)).alias("n_equal"))
+    same = F.col("_part") == F.col("_range")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))
+    numbered = parts.withColumn("_inside", inside).join(counts, same)
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("int").alias("occurrence"), "n_equal")

@@ -202,13 +202,12 @@ def superseded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.newest_write(e, "key", "event_id").select("user_id", "event_id", "superseded")
 
 
-@query("""SELECT l_orderkey AS stream, l_linenumber AS index, min(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) AS name, string_agg(l_partkey::VARCHAR || ',', '' ORDER BY l_partkey, l_suppkey) AS arguments
-FROM lineitem GROUP BY 1, 2 HAVING min(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) IS NOT NULL AND count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) = 1""")
+@query("""SELECT l_orderkey AS stream, l_linenumber AS index, arg_min(l_returnflag, (l_partkey, l_suppkey, l_returnflag)) FILTER (l_returnflag <> 'N') AS name, string_agg(l_partkey::VARCHAR || ',', '' ORDER BY l_partkey, l_suppkey) AS arguments
+FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_returnflag <> 'N') > 0""")
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("name", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
-    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct("name").alias("k")).filter("k = 1").drop("k")  # SQL has no first name in order
-    rows = lines.join(one, ["l_orderkey", "l_linenumber"]).select(
-        F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("index"), F.struct("l_partkey", "l_suppkey").alias("n"), F.lit("i").alias("id"), "name", joined(F.col("l_partkey"), ",").alias("arguments"))
+    name = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("index"), F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("n"),
+                                                   F.lit("i").alias("id"), name.alias("name"), joined(F.col("l_partkey"), ",").alias("arguments"))
     return views.tool_calls(rows, "stream", "index", "n").select("stream", "index", "name", "arguments")
 
 
