@@ -149,7 +149,8 @@ def references(docs: DataFrame, key: str, text: str) -> DataFrame:
 def masked(text: Column) -> Column:
     """struct(masked, spans): inline code and formulas replaced by [[m0]], [[m1]], ..."""
     spans, between = F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0)), F.split(text, PROTECTED, -1)
-    parts = F.transform(between, lambda p, i: F.concat(p, F.when(i < F.size(spans), F.concat(F.lit("[[m"), i.cast("string"), F.lit("]]"))).otherwise("")))
+    # A mark stands before every part but the first; no other expression is in the function, which runs once a part.
+    parts = F.transform(between, lambda p, i: F.when(i > 0, F.concat(F.lit("[[m"), (i - 1).cast("string"), F.lit("]]"), p)).otherwise(p))
     return F.struct(F.array_join(parts, "").alias("masked"), spans.alias("spans"))
 
 
@@ -158,11 +159,10 @@ def unmasked(text: Column, spans: Column) -> Column:
     mark = r"\[\[\s*m(\d+)\s*\]\]"
     marks, between = F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.split(text, mark, -1)
 
-    def back(part: Column, i: Column) -> Column:
-        m = F.get(marks, i)
+    def back(part: Column, m: Column) -> Column:
         return F.concat(part, F.coalesce(F.get(spans, F.regexp_extract(m, r"\d+", 0).try_cast("int")), m, F.lit("")))
 
-    return F.array_join(F.transform(between, back), "")
+    return F.array_join(F.zip_with(between, marks, back), "")
 
 
 def before_title_dropped(md: Column, title: Column) -> Column:
