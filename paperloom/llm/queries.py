@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, hostrules, language, pii, quality, shards, simhash, token_counts, warc
+from paperloom.llm import bpe, decontaminate, filter_audit, hostrules, language, mixing, pii, quality, shards, simhash, spelling, token_counts, warc
 from paperloom.llm.tables import read, stored
 
 #: The vocabulary file of the token operators.
@@ -103,3 +105,31 @@ def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_bootstrapped_pii"] = op5_bootstrapped_pii
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op13_filter_audit"] = op13_filter_audit
+ORACLES["op13_filter_audit"] = filter_audit.ORACLE
+
+
+def op12_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), F.array("source"), weights=(3, 1, 2))
+    by_name = {s["source"]: s for s in mixed.sources}
+    own = [(p["pattern"], by_name[json.loads(p["pattern"])[0]]) for p in mixed.patterns]
+    sources = [(pattern, s["source_size"], s["target"]) for pattern, s in own]
+    told = F.broadcast(spark.createDataFrame(sources, "pattern string, source_size bigint, target double"))  # as many as mixing.MAX_PATTERNS
+    return mixed.documents.join(told, "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op12_flow_mixture"] = op12_flow_mixture
+ORACLES["op12_flow_mixture"] = mixing.ORACLE
+
+
+def op11_errata_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES["op11_errata_tries"] = op11_errata_tries
