@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom.functions import text as T
+from paperloom.functions.places import let, overlaps, pieces, placed, running
 
 #: Default heading patterns: (section, level, pattern). Level 1 counts anywhere, 2 from half of the text, 3 from 60 %.
 #: Larger multilingual tables are passed as a parameter of the same form.
@@ -29,78 +30,87 @@ BACK_MATTER = (
 )
 LEVEL_START = {1: 0.0, 2: 0.5, 3: 0.6}
 BLANK_LINE = r"\n[ \t]*\n"
-#: Brackets that stand around placeholders in running text; no protected span holds one.
-_PLACEHOLDER = "⟪⟫"
+# The spans that translation must not touch. A formula in brackets ends at its first closing mark that no backslash
+# escapes; one between dollar signs touches neither with a blank, and a digit behind the second makes it a price.
+INLINE_CODE = r"`[^`\n]++`"
+ROUND_FORMULA = r"\\\((?:\\[^)]|[^\\])++\\\)"
+SQUARE_FORMULA = r"\\\[(?:\\[^\]]|[^\\])++\\\]"
+DOLLAR_FORMULA = r"\$(?=\S)[^$\n]*+(?<!\s)\$(?![0-9])"
+PROTECTED = f"{INLINE_CODE}|{ROUND_FORMULA}|{SQUARE_FORMULA}|{DOLLAR_FORMULA}"
+# Fenced code, display formulas, and the blank characters that Markdown trims.
+FENCED_CODE = r"(?m)^[ \t]*(?:```[^\n]*\n[\s\S]*?\n[ \t]*```|~~~[^\n]*\n[\s\S]*?\n[ \t]*~~~)[ \t]*$"
+DISPLAY_FORMULA = r"\$\$[\s\S]*?\$\$"
+LEADING_BLANKS, TRAILING_BLANKS = r"^[ \t\r\n]+", r"[ \t\r\n]+$"
 
 
-def _protected() -> str:
-    """Inline code, bracketed formulas up to their first closing mark (escaped characters in between count as pairs), and formulas
-    between dollar signs whose inside touches neither with a blank; a digit behind the second makes it a price."""
-    code = rf"`[^`\n{_PLACEHOLDER}]++`"
-    bracketed = [rf"\\\{a}(?:(?:[^\\{_PLACEHOLDER}]|\\[^\{b}{_PLACEHOLDER}])++)\\\{b}" for a, b in ("()", "[]")]
-    dollars = rf"\$(?=\S)[^$\n{_PLACEHOLDER}]*+(?<!\s)\$(?![0-9])"
-    return "|".join([code, *bracketed, dollars])
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n, start, end, line): every line with its place."""
+    return docs.select(F.col(key), F.posexplode(pieces(F.col(text), "\n")).alias("n", "p")).select(key, "n", "p.start", "p.end", F.col("p.value").alias("line"))
 
 
-PROTECTED = _protected()
-_PLACES = "array<struct<start: int, end: int, value: string>>"
+def _shifted(states: Column, first: Column) -> Column:
+    """The states before each element, from those after each."""
+    return F.slice(F.concat(F.array(first), states), F.lit(1), F.size(states))
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """All matches in order: array of (start, end, value)."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.transform(found, lambda v, i: F.struct(v.alias("v"), F.length(F.get(between, i)).alias("gap")))
+def outline(text: Column) -> Column:
+    """Every heading in order: array of (n, start, end, line, level, title, next, content_start, content_end). next: where the next heading
+    of level 3 or less starts, null if there is none; content_start and content_end: the first and behind the last character up to
+    there that is not blank (content_end is null where next is: the text's own last one then)."""
+    row = "struct<n: int, start: int, end: int, line: string, filled_from: int, filled_to: int, heading: boolean, major: boolean>"
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["upto"] + x["gap"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("upto"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+    def line(p: Column, n: Column) -> Column:
+        v = p["value"]
+        filled = v.rlike(r"[^ \t\r]")
+        return F.struct(n.alias("n"), p["start"].alias("start"), p["end"].alias("end"), v.alias("line"), F.when(filled, p["end"] - F.length(F.regexp_replace(v, LEADING_BLANKS, ""))).alias("filled_from"),
+                        F.when(filled, p["start"] + F.length(F.regexp_replace(v, TRAILING_BLANKS, ""))).alias("filled_to"), v.rlike(r"^\s*#{1,6}\s*\S").alias("heading"), v.rlike(r"^#{1,3}\s+\S").alias("major")).cast(row)
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("upto"), F.array().cast(_PLACES).alias("out")), add, lambda s: s["out"])
+    ahead = "struct<filled: int, major: struct<start: int, filled: int>>"
 
+    def seen(rows: Column) -> Column:
+        filled = running(F.transform(rows, lambda r: r["filled_to"]), lambda a, b: F.coalesce(b, a))
+        pairs = F.zip_with(rows, _shifted(filled, F.lit(None).cast("int")), lambda r, before: F.struct(r.alias("r"), before.alias("before")))
+        return let(F.reverse(pairs), backwards)
 
-def pieces(text: Column, separator: str) -> Column:
-    """What stands between separators: array of (start, end, value), empty ones too."""
-    parts, between = F.split(text, separator, -1), F.regexp_extract_all(text, F.lit(separator), F.lit(0))
-    zipped = F.transform(parts, lambda v, i: F.struct(v.alias("v"), F.coalesce(F.length(F.get(between, i)), F.lit(0)).alias("gap")))
+    def backwards(pairs: Column) -> Column:
+        own = F.transform(pairs, lambda p: F.struct(p["r"]["filled_from"].alias("filled"), F.when(p["r"]["major"], F.struct(p["r"]["start"].alias("start"), p["before"].alias("filled"))).alias("major")).cast(ahead))
+        states = running(own, lambda a, b: F.struct(F.coalesce(b["filled"], a["filled"]).alias("filled"), F.coalesce(b["major"], a["major"]).alias("major")))
+        return F.reverse(F.zip_with(pairs, _shifted(states, F.lit(None).cast(ahead)), lambda p, s: F.struct(p["r"].alias("r"), s.alias("s"))))
 
-    def add(state: Column, x: Column) -> Column:
-        end = state["upto"] + F.length(x["v"])
-        return F.struct((end + x["gap"]).alias("upto"), F.concat(state["out"], F.array(F.struct(state["upto"].alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+    def heading(x: Column) -> Column:
+        r = x["r"]
+        title = T.strip(F.regexp_replace(r["line"], r"^\s*#{1,6}\s*(?:\d+(?:\.\d+)*[.)]?\s+)?", ""))
+        return F.struct(r["n"].alias("n"), r["start"].alias("start"), r["end"].alias("end"), r["line"].alias("line"), F.length(F.regexp_extract(r["line"], r"^\s*(#{1,6})", 1)).alias("level"), title.alias("title"),
+                        x["s"]["major"]["start"].alias("next"), x["s"]["filled"].alias("content_start"), x["s"]["major"]["filled"].alias("content_end"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("upto"), F.array().cast(_PLACES).alias("out")), add, lambda s: s["out"])
+    found = F.transform(F.filter(let(F.transform(pieces(text, "\n"), line), seen), lambda x: x["r"]["heading"]), heading)
+    return F.when(F.contains(text, F.lit("#")), found)  # most texts have none
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, start, end, line): every line with its place."""
-    return docs.select(F.col(key), F.posexplode(pieces(F.col(text), "\n")).alias("n", "p")).select(key, "n", "p.start", "p.end", F.col("p.value").alias("line"))
+def _headings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`headings`, with where each section's content starts and ends."""
+    # Lengths go into the rows that are exploded: beside them they would be counted for every row, and the text carried along.
+    whole = F.struct(F.length(text).alias("size"), F.length(F.regexp_replace(F.col(text), TRAILING_BLANKS, "")).alias("filled"))
+    found = let(whole, lambda w: F.transform(outline(F.col(text)), lambda h: F.struct(h.alias("h"), w.alias("w"))))
+    rows = docs.select(F.col(key), F.explode(found).alias("x"))
+    return rows.select(key, "x.h.*", "x.w.size", F.coalesce("x.h.next", "x.w.size").alias("section_end"), "x.w.filled").withColumn(
+        "content_start", F.coalesce("content_start", "size")).withColumn("content_end", F.when(F.col("next").isNull(), F.col("filled")).otherwise(F.col("content_end")))
 
 
 def headings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Headings with level, title, and where their section ends: at the next heading of level 3 or less, or the end."""
-    h = lines(docs.select(key, text), key, text).filter(F.col("line").rlike(r"^\s*#{1,6}\s*\S"))
-    h = h.withColumn("level", F.length(F.regexp_extract("line", r"^\s*(#{1,6})", 1))).withColumn("title", T.strip(F.regexp_replace("line", r"^\s*#{1,6}\s*(?:\d+(?:\.\d+)*[.)]?\s+)?", "")))
-    major = F.when((F.col("level") <= 3) & F.col("line").rlike(r"^#{1,3}\s+\S"), F.col("start"))
-    after = Window.partitionBy(key).orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    whole = docs.select(F.col(key).alias("_k"), F.length(text).alias("size"))
-    return h.withColumn("next", F.min(major).over(after)).join(whole, F.col(key) == F.col("_k")).withColumn("section_end", F.coalesce("next", "size")).drop("_k", "next")
+    return _headings(docs, key, text).select(key, "n", "start", "end", "line", "level", "title", "size", "section_end")
 
 
 def back_matter(docs: DataFrame, key: str, text: str, patterns: tuple[tuple[str, int, str], ...] = BACK_MATTER) -> DataFrame:
     """(key, section, level, heading_start, content_start, content_end) of detected sections; those without content are left out."""
-    h = headings(docs, key, text)
+    h = _headings(docs, key, text)
     cases = []
     for section, level, pattern in patterns:
         fits = F.lower("title").rlike(rf"(?U)^(?:{pattern})\s*(?:[:：\-–—].*)?$") & (F.col("start") >= F.floor(F.col("size") * LEVEL_START[level]))
         cases.append(F.when(fits, F.struct(F.lit(section).alias("section"), F.lit(level).alias("level"))))
-    hit = h.withColumn("hit", F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())))
-    body = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    content = F.substr(F.col("_t"), F.col("end") + 1, F.col("section_end") - F.col("end"))
-    lead = F.length(content) - F.length(F.regexp_replace(content, r"^[ \t\r\n]+", ""))
-    tail = F.length(content) - F.length(F.regexp_replace(content, r"[ \t\r\n]+$", ""))
-    out = hit.join(body, F.col(key) == F.col("_k")).select(
-        key, "hit.section", F.col("hit.level").alias("level"), F.col("start").alias("heading_start"), (F.col("end") + lead).alias("content_start"), (F.col("section_end") - tail).alias("content_end"))
-    return out.filter("content_start < content_end")
+    hit = h.withColumn("hit", F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull()))).filter("content_start < content_end")
+    return hit.select(key, "hit.section", F.col("hit.level").alias("level"), F.col("start").alias("heading_start"), "content_start", "content_end")
 
 
 def compact(docs: DataFrame, key: str, text: str, most: int = 24_000, tail_from: int = 8_000) -> DataFrame:
@@ -114,14 +124,19 @@ def compact(docs: DataFrame, key: str, text: str, most: int = 24_000, tail_from:
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, end, text, kind, hash) of paragraphs between blank lines; code, $$ blocks, lone images and tables are not."""
-    # What is code, a table or an image, and how the kinds begin.
-    code = r"(?m)^[ \t]*(?:```[^\n]*\n[\s\S]*?\n[ \t]*```|~~~[^\n]*\n[\s\S]*?\n[ \t]*~~~)[ \t]*$"
-    skip = F.concat(placed(F.col(text), code), placed(F.col(text), r"\$\$[\s\S]*?\$\$"))
-    rows = docs.select(F.col(key), skip.alias("skip"), F.explode(pieces(F.col(text), BLANK_LINE)).alias("p"))
-    rows = rows.filter(~F.exists("skip", lambda r: (F.col("p.start") < r["end"]) & (F.col("p.end") > r["start"])))
-    trimmed = F.regexp_replace("p.value", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    start = F.col("p.start") + F.length("p.value") - F.length(F.regexp_replace("p.value", r"^[ \t\r\n]+", ""))
+    filled = F.filter(pieces(F.col(text), BLANK_LINE), lambda p: p["end"] > p["start"])
+    skipped = [placed(F.col(text), FENCED_CODE), placed(F.col(text), DISPLAY_FORMULA)]
+
+    def free(parts: Column) -> Column:
+        hit = F.zip_with(parts, overlaps(parts, skipped), lambda p, o: F.when(o.isNull(), p))
+        return F.filter(hit, lambda p: p.isNotNull())
+
+    kept = F.when(F.col(text).rlike(r"```|~~~|\$\$"), let(filled, free)).otherwise(filled)
+    rows = docs.select(F.col(key), F.explode(kept).alias("p"))
+    trimmed = F.regexp_replace("p.value", rf"{LEADING_BLANKS}|{TRAILING_BLANKS}", "")
+    start = F.col("p.start") + F.length("p.value") - F.length(F.regexp_replace("p.value", LEADING_BLANKS, ""))
     rows = rows.select(key, start.alias("start"), (start + F.length(trimmed)).alias("end"), trimmed.alias("text"))
+    # What is an image or a table, and how the kinds begin.
     rows = rows.filter((F.col("text") != "") & ~F.col("text").rlike(r"^!\[[^\]]*\]\([^)]*\)[ \t]*$") & ~F.col("text").rlike(r"(?m)^\s*\|[- :|]+\|\s*$"))
     kind = F.when(F.col("text").rlike(r"^#{1,6}\s"), "heading").when(F.col("text").rlike(r"^>\s"), "blockquote").when(F.col("text").rlike(r"^\s*(?:[-*+]|\d+[.)])\s"), "list").otherwise("text")
     return rows.withColumn("kind", kind).withColumn("hash", T.paragraph_hash(F.col("text")))
@@ -139,10 +154,12 @@ def references(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = h.groupBy(key).agg(F.min(F.struct("start", "end", "section_end")).alias("h"))
     body = docs.select(key, text).join(first, key).select(key, F.substr(F.col(text), F.col("h.end") + 1, F.col("h.section_end") - F.col("h.end")).alias("s"))
     mark = r"(?m)^\s*(?:\[(\d+)\]|(\d+)[.)])\s+"
-    body = body.withColumn("marks", F.regexp_extract_all("s", F.lit(mark), F.lit(0))).withColumn("parts", F.split("s", mark, -1))
-    numbered = body.filter(F.size("marks") > 0).select(key, F.posexplode("marks").alias("n", "m"), "parts").select(
-        key, F.regexp_extract("m", r"\d+", 0).cast("int").alias("number"), T.collapse(F.get("parts", F.col("n") + 1)).alias("text"), F.lit(True).alias("numbered"))
-    plain = body.filter(F.size("marks") == 0).select(key, F.posexplode(F.filter(F.transform(F.split("s", BLANK_LINE), T.collapse), lambda p: (F.length(p) >= 20) & T.looks_like_reference(p))).alias("n", "text"))
+    marks, parts = F.regexp_extract_all("s", F.lit(mark), F.lit(0)), F.split("s", mark, -1)
+    items = F.zip_with(marks, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    body = body.withColumn("marked", F.col("s").rlike(mark))
+    numbered = body.filter("marked").select(key, F.explode(items).alias("i")).select(
+        key, F.regexp_extract("i.m", r"\d+", 0).cast("int").alias("number"), T.collapse(F.col("i.p")).alias("text"), F.lit(True).alias("numbered"))
+    plain = body.filter("NOT marked").select(key, F.posexplode(F.filter(F.transform(F.split("s", BLANK_LINE), T.collapse), lambda p: (F.length(p) >= 20) & T.looks_like_reference(p))).alias("n", "text"))
     return numbered.filter("text <> ''").unionByName(plain.select(key, (F.col("n") + 1).cast("int").alias("number"), "text", F.lit(False).alias("numbered")))
 
 
@@ -207,7 +224,7 @@ def centred_divs_unwrapped(md: Column) -> Column:
         bare = F.contains(c, F.lit("<img")) | F.lower(c).rlike(T.SUB_LABEL)
         return F.when(bare, c).otherwise(F.concat(F.lit("*"), c, F.lit("*")))
 
-    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(unwrapped(F.get(found, i)), F.lit("")))), "")
+    return F.array_join(F.zip_with(between, found, lambda b, c: F.concat(b, F.coalesce(unwrapped(c), F.lit("")))), "")
 
 
 def html_title(html: Column) -> Column:

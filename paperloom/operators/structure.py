@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators.documents import placed
+from paperloom.functions.places import cutting, let, placed, replaced
 from paperloom.operators.grouped import fold_groups
 
 # Labels of running text, and the most that a continued region may jut out of its box.
@@ -34,47 +34,40 @@ def assembled_pages(pages: DataFrame) -> DataFrame:
     return joined.select("doc", "page", text.alias("markdown"), images.alias("images"))
 
 
-def _grouped(rows: list[dict]) -> list[tuple]:
-    """Regions of the text blocks of one document that one filled block and empty ones share."""
-    filled = [bool((r["content"] or "").strip()) for r in rows]
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def joined(members: list[int]) -> None:
-        for m in members[1:]:
-            parent[root(m)] = root(members[0])
-
-    def groups(keys) -> dict:
-        out: dict = {}
-        for i, key in enumerate(keys):
-            if key is not None:
-                out.setdefault(key, []).append(i)
-        return out
-
-    for members in groups((r["global_group"], r["label"]) if r["global_group"] >= 0 else None for r in rows).values():
-        joined(members)
-    for members in groups((r["page"], r["local_group"], r["label"]) if r["local_group"] >= 0 else None for r in rows).values():
-        together = {root(m) for m in members}
-        # A page's own group may only add to a partition that still has one filled block.
-        if len(members) > 1 and sum(filled[m] for m in members) == 1 and sum(f for i, f in enumerate(filled) if root(i) in together) == 1:
-            joined(members)
-    out = []
-    for members in groups(map(root, range(len(rows)))).values():
-        owners = [i for i in members if filled[i]]
-        boxes = [tuple(rows[i][c] for c in ("left", "top", "right", "bottom")) for i in members]
-        if len(members) < 2 or len(owners) != 1 or any(v is None for b in boxes for v in b):
-            continue
-        areas = [(b[2] - b[0]) * (b[3] - b[1]) for b in boxes]
-        owner = rows[owners[0]]
-        for n, (i, box, area) in enumerate(zip(members, boxes, areas, strict=True)):
-            share = len(owner["content"]) * area / sum(areas) if sum(areas) else 0
-            out.append((owner["doc"], owner["page"], owner["block"], n, rows[i]["page"], *box, max(1, int(share + 0.5))))
-    return out
+def _shares(rows: list[dict]) -> list[tuple]:
+    """Regions of one document's text blocks. Blocks of a group across pages are one lot, any other block is a lot by itself; a lot
+    belongs to the block in it that is filled, if there is one. A page's own group, in order, hands the lots in it that nobody owns to
+    the owner of its filled block; a group that would bring two owners together hands nothing."""
+    lot = [(r["label"], r["global_group"]) if r["global_group"] >= 0 else n for n, r in enumerate(rows)]
+    full = [n for n, r in enumerate(rows) if (r["content"] or "").strip()]
+    owners: dict = {}
+    for n in full:
+        owners.setdefault(lot[n], set()).add(n)
+    own_groups: dict = {}
+    for n, r in enumerate(rows):
+        if r["local_group"] >= 0:
+            own_groups.setdefault((r["page"], r["label"], r["local_group"]), []).append(n)
+    filled = set(full)
+    for group in own_groups.values():
+        claims = set().union(*(owners.get(lot[n], ()) for n in group))
+        if len(claims) == 1 and len(filled.intersection(group)) == 1:
+            owners.update((lot[n], claims) for n in group)
+    members: dict = {}
+    for n, name in enumerate(lot):
+        if len(who := owners.get(name, ())) == 1:
+            members.setdefault(next(iter(who)), []).append(n)
+    return [region for owner, own in members.items() if len(own) > 1 for region in _parts(rows, owner, own)]
+
+
+def _parts(rows: list[dict], owner: int, members: list[int]) -> list[tuple]:
+    """The members' boxes, each with its share of the owner's text by area; none if a box is incomplete."""
+    boxes = [tuple(rows[n][side] for side in ("left", "top", "right", "bottom")) for n in members]
+    if any(None in box for box in boxes):
+        return []
+    areas = [(right - left) * (bottom - top) for left, top, right, bottom in boxes]
+    total, size = sum(areas), len(rows[owner]["content"])
+    name = rows[owner]["doc"], rows[owner]["page"], rows[owner]["block"]
+    return [(*name, part, rows[n]["page"], *box, max(1, int(size * area / total + 0.5) if total else 0)) for part, (n, box, area) in enumerate(zip(members, boxes, areas, strict=True))]
 
 
 def text_regions(blocks: DataFrame) -> DataFrame:
@@ -88,7 +81,7 @@ def text_regions(blocks: DataFrame) -> DataFrame:
         *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("global_group", "local_group")), *(F.col(c).cast("double") for c in ("left", "top", "right", "bottom")))
     kind = dict(rows.dtypes)["doc"]
     schema = f"doc {kind}, page long, block string, part long, region_page long, left double, top double, right double, bottom double, length long"
-    return fold_groups(rows, ["doc"], ["page", "ordinal", "block"], _grouped, schema)
+    return fold_groups(rows, ["doc"], ["page", "ordinal", "block"], _shares, schema)
 
 
 def repaired_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
@@ -161,18 +154,22 @@ def proportional_ranges(text: Column, weights: Column) -> Column:
     w = F.transform(weights, lambda x: F.greatest(x.cast("long"), F.lit(1)))
     total = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + x)
     formula = r"\$[^$\n]+\$|\\\([\s\S]*?\\\)"
-    formulas = placed(text, formula)
     kind = "array<struct<start: int, end: int>>"
 
-    def step(s: Column, x: Column) -> Column:
-        n, weight = s["n"] + 1, s["weight"] + x
-        even = F.greatest(F.least(F.floor(F.length(text) * weight / total + 0.5).cast("int"), F.length(text)), s["upto"])
-        cut = F.when(n == F.size(w), F.length(text)).otherwise(even)
-        end = F.aggregate(formulas, cut, lambda e, f: F.when((e > f["start"]) & (e < f["end"]), f["end"]).otherwise(e))
-        return F.struct(n.alias("n"), weight.alias("weight"), end.alias("upto"), F.concat(s["out"], F.array(F.struct(s["upto"].alias("start"), end.alias("end")))).alias("out"))
+    def split(whole: Column) -> Column:
+        size, formulas = whole["size"], whole["formulas"]
+
+        def step(s: Column, x: Column) -> Column:
+            n, weight = s["n"] + 1, s["weight"] + x
+            even = F.greatest(F.least(F.floor(size * weight / whole["total"] + 0.5).cast("int"), size), s["upto"])
+            cut = F.when(n == whole["parts"], size).otherwise(even)
+            end = F.aggregate(formulas, cut, lambda e, f: F.when((e > f["start"]) & (e < f["end"]), f["end"]).otherwise(e))
+            return F.struct(n.alias("n"), weight.alias("weight"), end.alias("upto"), F.concat(s["out"], F.array(F.struct(s["upto"].alias("start"), end.alias("end")))).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("weight"), F.lit(0).alias("upto"), F.array().cast(kind).alias("out"))
+        return F.aggregate(w, zero, step, lambda s: s["out"])
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("weight"), F.lit(0).alias("upto"), F.array().cast(kind).alias("out"))
-    return F.aggregate(w, zero, step, lambda s: s["out"])
+    return let(F.struct(F.length(text).alias("size"), placed(text, formula).alias("formulas"), total.alias("total"), F.size(w).alias("parts")), split)
 
 
 def figure_tables(figures: DataFrame, blocks: DataFrame, version: Column) -> DataFrame:
@@ -208,15 +205,19 @@ def heading_levels(md: Column, titles: Column) -> Column:
 def marked_paragraphs(md: Column, paragraphs: Column) -> Column:
     """Markdown with comments around the paragraphs that have an id: an array of (start, end, text, id) in order. Those without an
     id, that overlap one before, or whose text has changed, are passed over. Ids are base64 with the URL's letters."""
-    def step(s: Column, p: Column) -> Column:
-        good = p["id"].isNotNull() & (p["start"] >= s["upto"]) & (p["end"] > p["start"]) & (F.substr(md, p["start"] + 1, p["end"] - p["start"]) == p["text"])
+    def apart(fitting: Column) -> Column:
+        def step(s: Column, p: Column) -> Column:
+            return F.struct(F.when(p["start"] >= s["upto"], p["end"]).otherwise(s["upto"]).alias("upto"), F.concat(s["keep"], F.array(p["start"] >= s["upto"])).alias("keep"))
+
+        keep = F.aggregate(fitting, F.struct(F.lit(0).alias("upto"), F.array().cast("array<boolean>").alias("keep")), step, lambda s: s["keep"])
+        return F.transform(F.filter(F.zip_with(fitting, keep, lambda p, k: F.struct(p.alias("p"), k.alias("k"))), lambda x: x["k"]), lambda x: x["p"])
+
+    def marked(p: Column) -> Column:
         key = F.translate(F.base64(F.encode(p["id"], "UTF-8")), "+/", "-_")
-        piece = F.concat(F.substr(md, s["upto"] + 1, p["start"] - s["upto"]), F.lit("\n\n<!-- reader-pair:"), key, F.lit(" -->\n\n"), p["text"], F.lit("\n\n<!-- reader-end -->\n\n"))
-        good = F.coalesce(good, F.lit(False))
-        return F.struct(F.when(good, p["end"]).otherwise(s["upto"]).alias("upto"), F.when(good, F.concat(s["out"], piece)).otherwise(s["out"]).alias("out"))
+        return F.concat(F.lit("\n\n<!-- reader-pair:"), key, F.lit(" -->\n\n"), p["text"], F.lit("\n\n<!-- reader-end -->\n\n"))
 
-    zero = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
-    return F.aggregate(paragraphs, zero, step, lambda s: F.concat(s["out"], F.substr(md, s["upto"] + 1, F.length(md))))
+    fitting = cutting(md, lambda cut: F.filter(paragraphs, lambda p: F.coalesce(p["id"].isNotNull() & (p["end"] > p["start"]) & (cut(p["start"], p["end"]) == p["text"]), F.lit(False))))
+    return let(let(fitting, apart), lambda kept: replaced(md, kept, marked))
 
 
 def aligned(value: str, printed: str, least: float = 0.7, most_cells: int = 9_000_000) -> list[int] | None:

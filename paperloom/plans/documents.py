@@ -89,7 +89,7 @@ def chat_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _redaction_sql() -> str:
     """The redaction steps in SQL, but for values in the query of a URL, which need a look behind."""
     plain = lambda p: p.replace("++", "+").replace("*+", "*").replace("'", "''")
-    secret = plain(T._secret_assignment()).replace(r"\v", r"\r\n")
+    secret = plain(T.SECRET_ASSIGNMENT)
     steps = [(r"(?i)\b(https?://)[^\s\"'<>/@]+@".replace("'", "''"), r"\1"), (r"(?i)\b(Bearer|Basic)[ \t]+[-\w.~+/=]+", r"\1 [REDACTED]"), (secret, r"\1[REDACTED]"),
              (rf"\b(?:{'|'.join(T.TOKEN_STARTS)})[-\w]{{20,}}", "[REDACTED]"), (r"(?:\b[A-Za-z]:[\\/]Users[\\/]|/home/|/Users/)[^\\/\s]+", "<USER_HOME>")]
     text = "text || ' api_key = abc' || doc_id || '; Bearer x' || doc_id || ' in /home/u' || doc_id || '/f'"
