@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.places import let, overlaps, placed, replaced
 from paperloom.llm.tables import stored
 
 #: Kinds in the order in which spans at one place are listed.
@@ -48,26 +49,6 @@ def _words_around(before: Column, after: Column) -> dict[str, Column]:
     return {"left": F.reverse(word(back, last)), "left2": F.reverse(word(back, r"^[^\p{L}]*+\p{L}++[^\p{L}]++(\p{L}++)")), "right": word(after, last)}
 
 
-def _placed(text: Column, pattern: str, around: bool = False) -> Column:
-    """All matches with their code-point places: array of (start, end, value), and the words around (left, left2, right) if asked for."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-
-    def cut(value: Column, i: Column) -> Column:
-        words = _words_around(F.get(between, i), F.get(between, i + 1)) if around else {}
-        return F.struct(value.alias("value"), F.length(F.get(between, i)).alias("gap"), *(c.alias(n) for n, c in words.items()))
-
-    names = ["value", "left", "left2", "right"] if around else ["value"]
-    empty = F.array().cast(f"array<struct<start: int, end: int, {', '.join(f'{n}: string' for n in names)}>>")
-
-    def add(state: Column, x: Column) -> Column:
-        start = state["upto"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), *(x[n].alias(n) for n in names))
-        return F.struct(end.alias("upto"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(F.transform(found, cut), F.struct(F.lit(0).alias("upto"), empty.alias("out")), add, lambda state: state["out"])
-
-
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -95,7 +76,7 @@ def _valid(kind: str, value: Column) -> Column:
 def _kind_spans(text: Column, rank: int, kind: str) -> Column:
     """The validated spans of one kind, in order."""
     may = text.contains("@") if kind == "email" else text.rlike(_MAY[kind])
-    valid = F.filter(_placed(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+    valid = F.filter(placed(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
     spans = F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
     return F.when(may, spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
@@ -106,12 +87,27 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column) -> Column:
+    """Mentions in order: array of (start, end, value, left, left2, right)."""
     told = lambda v: v.contains("@") | (F.length(_digits(v)) >= MIN_DIGITS) | v.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
-    kept = F.filter(_placed(text, MENTION, around=True), lambda m: told(m["value"]))
+
+    def with_words(m: Column) -> Column:
+        words = _words_around(m["before"], m["after"])
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), *(c.alias(n) for n, c in words.items()))
+
+    kept = F.transform(F.filter(placed(text, MENTION, around=True), lambda m: told(m["value"])), with_words)
     empty = F.array().cast("array<struct<start: int, end: int, value: string, left: string, left2: string, right: string>>")
     return F.when(text.rlike(r"@|[0-9]\.[0-9]++\.[0-9]|[0-9](?:[().\x20-]{0,2}[0-9]){6}"), kept).otherwise(empty)
 
 
+def _seeded(mentions: Column, base: Column) -> Column:
+    """Each mention with the kind of the first base span that it overlaps (rank; null: none): array of (m, rank)."""
+    def of_rank(k: int) -> Column:
+        return F.filter(base, lambda b: b["rank"] == k)
+
+    layers = [of_rank(k) for k in range(len(KINDS))]
+    return F.zip_with(mentions, overlaps(mentions, layers), lambda m, o: F.struct(m.alias("m"), o["layer"].alias("rank")))
+
+
 def _key(doc_id: Column, text: Column) -> list[Column]:
     """What identifies a row's text: rows that repeat id and text have equal spans."""
     return [doc_id.cast("string").alias("key_id"), F.md5(text.cast("binary")).alias("key_text")]
@@ -119,14 +115,15 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
     """One row a mention: its row's key, place, value, the seed kind it overlaps (null: none), and its patterns."""
-    one = scanned.filter(F.size("mentions") > 0).select("key_id", "key_text", "base", F.explode("mentions").alias("m"))
-    seed = F.get(F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))), F.lit(0))["rank"]
+    some = scanned.filter(F.size("mentions") > 0)
+    seeded = F.when(F.size("base") > 0, _seeded(F.col("mentions"), F.col("base"))).otherwise(F.transform("mentions", lambda m: F.struct(m.alias("m"), F.lit(None).cast("int").alias("rank"))))
+    one = some.select("key_id", "key_text", F.explode(seeded).alias("s")).select("key_id", "key_text", "s.m", "s.rank")
     shape = F.regexp_replace(F.regexp_replace("m.value", "[0-9]+", "9"), r"\p{L}+", "a")
     left, left2, right = (F.col(f"m.{n}") for n in ("left", "left2", "right"))
     patterns = F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left, shape)), F.when(left2 != "", F.concat_ws(" ", F.lit("<<"), left2, left, shape)),
                        F.when(right != "", F.concat_ws(" ", F.lit(">"), right, shape)))
     patterns = F.filter(patterns, lambda p: p.isNotNull())
-    return one.select("key_id", "key_text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), seed.alias("rank"), patterns.alias("patterns"))
+    return one.select("key_id", "key_text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), "rank", patterns.alias("patterns"))
 
 
 def discovered(occurrences: DataFrame) -> DataFrame:
@@ -205,12 +202,6 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows, more = added_spans(whole.select("original", F.col(f"original.`{doc_id}`").alias("id"), content.alias("t")), ("original",))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(content, state["upto"] + 1, F.greatest(s["start"] - state["upto"], F.lit(0)))
-        out = F.when(s["start"] >= state["upto"], F.concat(state["out"], gap, F.get(names, s["rank"]))).otherwise(state["out"])
-        return F.struct(F.greatest(state["upto"], s["end"]).alias("upto"), out.alias("out"))
-
-    cleaned = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), step,
-                          lambda state: F.concat(state["out"], F.substring(content, state["upto"] + 1, F.lit((1 << 31) - 1))))
+    cleaned = let(F.col("spans"), lambda spans: replaced(content, spans, lambda s: F.get(names, s["rank"])))
     new = F.when(F.size("spans") > 0, cleaned).otherwise(F.col(f"original.`{text}`"))
     return _with_added(rows, more).select(*((new.alias(c) if c == text else F.col(f"original.`{c}`").alias(c)) for c in columns))

@@ -101,7 +101,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word and each node on its way: the node (hash of the prefix, depth), the next character c (0: the word ends),
-    the word's hash, and what edits make of it: dropped (without c; 0 and no lookup if the next is the same), zeroed (c counted as
+    the word's hash, and what edits make of it: dropped (without c; null if the next is the same, or none is), zeroed (c counted as
     nothing), opened (a character that counts as nothing before c). power times a character is what it adds."""
     names = [f.split()[0] for f in _NODES.split(", ")]
     for texts in _pieces(batches):
@@ -119,12 +119,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         following[:-1] = c[1:]
         whole = np.repeat(hashes[ends - 1], sizes)
         upto = np.concatenate([hashes[1:], np.zeros(1, np.uint64)])
-        dropped = np.where(last | (c == following), np.uint64(0), hashes + (whole - upto) * np.uint64(_R_INVERSE))
+        dropped = hashes + (whole - upto) * np.uint64(_R_INVERSE)
         zeroed = whole - c * power[depth]
         opened = hashes + (whole - hashes) * np.uint64(_R)
         node = _mixed(hashes ^ _mixed(depth.astype(np.uint64) + np.uint64(1)))
-        columns = [node.view(np.int64), depth.astype(np.int32), c.astype(np.int32), whole.view(np.int64), dropped.view(np.int64), zeroed.view(np.int64), opened.view(np.int64), power[depth].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+        longs = {"node": node, "id": whole, "zeroed": zeroed, "opened": opened, "power": power[depth]}
+        columns = {n: pa.array(x.view(np.int64)) for n, x in longs.items()} | {"depth": pa.array(depth.astype(np.int32)), "c": pa.array(c.astype(np.int32))}
+        columns["dropped"] = pa.array(dropped.view(np.int64), mask=last | (c == following))
+        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +183,11 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, target, met): hashes to look up; met is set where light words of a node meet instead."""
     for batch in batches:
-        get = {n: batch.column(n).to_numpy() for n in ("id", "depth", "c", "heavy", "dropped", "zeroed", "opened", "power")}
+        dropped = batch.column("dropped").is_valid().to_numpy(zero_copy_only=False)
+        get = {n: batch.column(n).fill_null(0).to_numpy() for n in ("id", "depth", "c", "heavy", "dropped", "zeroed", "opened", "power")}
         u = {n: get[n].astype(np.int64).view(np.uint64) for n in get}
         replaced = (get["c"] > 0) & (get["heavy"] > 0)
         inserted = get["heavy"] > 0
-        dropped = get["dropped"] != 0
         light = get["c"] > 0
         add = u["heavy"] * u["power"]
         ids = np.concatenate([get["id"][replaced], get["id"][inserted], get["id"][dropped], get["id"][light]])

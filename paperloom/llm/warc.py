@@ -206,13 +206,20 @@ def data_offset(read_at, member: dict) -> int:
     return member["header"] + 30 + n + x
 
 
+def _present(piece: bytes) -> bytes:
+    """A piece of a member; none at all means that the directory tells of bytes beyond the file's end."""
+    if not piece:
+        raise ValueError("the file ends within a member")
+    return piece
+
+
 def _inflated(read_at, start: int, length: int):
     """A deflated member's bytes, in pieces."""
     inflate, at = zlib.decompressobj(-15), start
     while not inflate.eof:
         if at >= start + length:
             raise ValueError("deflated data end early")
-        piece = read_at(at, min(1 << 20, start + length - at))
+        piece = _present(read_at(at, min(1 << 20, start + length - at)))
         at += len(piece)
         out = inflate.decompress(piece, 1 << 22)
         while out or inflate.unconsumed_tail:
@@ -221,8 +228,11 @@ def _inflated(read_at, start: int, length: int):
 
 
 def _stored_bytes(read_at, start: int, length: int):
-    for at in range(start, start + length, 1 << 20):
-        yield read_at(at, min(1 << 20, start + length - at))
+    at = start
+    while at < start + length:
+        piece = _present(read_at(at, min(1 << 20, start + length - at)))
+        at += len(piece)
+        yield piece
 
 
 def _bytes_of(read_at, member: dict):
@@ -250,8 +260,13 @@ def _records(parts):
         else:
             while (at := data.find(b"\r\n\r\n")) >= 0:
                 size = at + 4 + int(_fields(data[:at])["content-length"])
-                while len(data) < size + 4 and (more := next(parts, None)) is not None:
-                    data += more
+                held, n = [data], len(data)
+                while n < size + 4 and (more := next(parts, None)) is not None:
+                    held.append(more)
+                    n += len(more)
+                data = b"".join(held)  # once a record, however many parts it has
+                if n < size:
+                    raise ValueError("a record ends early")
                 yield data[:size]
                 data = data[size + 4 :]
     if data.strip(b"\r\n"):
