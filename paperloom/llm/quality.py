@@ -5,8 +5,8 @@ documents), give each document its importance weight: the sum over all its n-gra
 Gumbel top-k then draws k documents without replacement in proportion to their weights: the k largest of log weight plus
 standard Gumbel noise.
 
-N-grams: every word or run of punctuation, the first four, five and six bytes of longer words, and a mark for a token that
-repeats the one before. Both models add SMOOTHING counts to each bucket, at the size of the target sample, so a bucket that
+N-grams: every word or run of punctuation, every two of them in a row, the first four, five and six bytes of longer words, and
+a mark for a token that repeats the one before. Both models add SMOOTHING counts to each bucket, at the size of the target sample, so a bucket that
 the sample can tell little about has a ratio near one. The weight is a sum, not a mean: a long document has more evidence on
 either side and is weighed by all of it; nothing is divided by its length.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.tables import stored
 
-#: log2 of the buckets that n-grams are hashed to: both models are 2 MB, however large the corpus is.
-BUCKET_BITS = 18
+#: log2 of the buckets that n-grams are hashed to: both models are 8 MB, however large the corpus is.
+BUCKET_BITS = 20
 #: Labelled documents that the target model and the threshold are learned from, at most; every fourth is held out.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 5, 6)
@@ -48,7 +48,10 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = found.end - found.start >= n
         hashes.append(W.mixed(W.span_hashes(data, found.start[long], found.start[long] + n) + np.uint64(n)))
         texts.append(owner[long])
-    again = np.flatnonzero((token[1:] == token[:-1]) & (owner[1:] == owner[:-1])) + 1
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    hashes.append(W.gram_hashes(token, 2)[inside])
+    texts.append(owner[inside])
+    again = inside[token[inside + 1] == token[inside]] + 1
     hashes.append(np.full(len(again), _REPEAT))
     texts.append(owner[again])
     return (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(texts)

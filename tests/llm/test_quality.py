@@ -25,6 +25,9 @@ def grams(text):
     tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+", raw)
     out = [bucket(t) for t in tokens]
     out += [bucket(t[:n], n) for t in tokens for n in quality.PREFIXES if len(t) >= n]
+    for a, b in zip(tokens, tokens[1:], strict=False):
+        two = [W.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] for t in (a, b)]
+        out.append(int(W.gram_hashes(np.array(two), 2)[0] >> np.uint64(64 - quality.BUCKET_BITS)))
     again = int(quality._REPEAT >> np.uint64(64 - quality.BUCKET_BITS))
     return out + [again for a, b in zip(tokens, tokens[1:], strict=False) if a == b]
 
