@@ -41,10 +41,11 @@ def sums(numbers: Column) -> Column:
     return let(numbers, exclusive)
 
 
-def placed(text: Column, pattern: str, around: bool = False) -> Column:
+def placed(text: Column, pattern: str | Column, around: bool = False) -> Column:
     """All matches in order: array of (start, end, value), and the text before and after up to the next matches if asked for.
-    The pattern must not match the empty text."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    The pattern, which may be a row's own, must not match the empty text."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
 
     def zipped(gaps: Column) -> Column:
         pairs = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("before")))

@@ -3,14 +3,16 @@ tables of figures, and paragraphs marked in Markdown. Groups are as large as a d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.functions.places import cutting, let, placed, replaced
+from paperloom.functions.places import cutting, let, overlaps, placed, replaced
 from paperloom.operators.grouped import fold_groups
 
 # Labels of running text, and the most that a continued region may jut out of its box.
@@ -220,45 +222,143 @@ def marked_paragraphs(md: Column, paragraphs: Column) -> Column:
     return let(let(fitting, apart), lambda kept: replaced(md, kept, marked))
 
 
-def aligned(value: str, printed: str, least: float = 0.7, most_cells: int = 9_000_000) -> list[int] | None:
-    """For each character of a recognised text its place in the printed one, -1 where it has none: an exact occurrence, else a longest
-    common subsequence without blanks, ligatures folded; None if less than `least` agrees or the table would be too large."""
-    folds = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+# Glyphs that stand for letters or plain quotes, what counts for nothing, and formulas within a line.
+GLYPHS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "‘": "'", "’": "'", "“": '"', "”": '"'}
+IGNORED = re.compile(r"[\s\u00ad-]")
+LINE_FORMULA = re.compile(r"\$[^$\n]+\$|\\\([\s\S]*?\\\)")
 
-    def folded(s: str) -> tuple[list[str], list[int]]:
-        pairs = [(c, i) for i, ch in enumerate(s) for c in folds.get(ch, ch) if not c.isspace()]
-        return [c for c, _ in pairs], [i for _, i in pairs]
 
-    if value and (at := printed.find(value)) >= 0:
-        return list(range(at, at + len(value)))
-    (a, where_a), (b, where_b) = folded(value), folded(printed)
-    if not a or not b or len(a) * len(b) > most_cells:
-        return None
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for k, y in enumerate(b):
-            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
-        rows.append(row)
-    if rows[-1][-1] < least * len(a):
+def _glyphs(text: str, without: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the letters that count, and the place in the text that each comes from."""
+    hidden = {i for start, end in without for i in range(start, end)}
+    pairs = [(ord(c), i) for i, ch in enumerate(text) if i not in hidden and not IGNORED.match(ch) for c in GLYPHS.get(ch, ch)]
+    return tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _common(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]] | None:
+    """Pairs of a longest common subsequence, taken from the front; None if it is less than that part of the shorter one.
+
+    Row by row: a place's best is that of the row below, one more where letters agree, or the best of a place further on."""
+    best = np.zeros((len(a) + 1, len(b) + 1), np.uint16)
+    for i in range(len(a) - 1, -1, -1):
+        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (b == a[i]))
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    if best[0, 0] < least * min(len(a), len(b)):
         return None
-    out, i, k = [-1] * len(value), len(a), len(b)
-    while i and k:
-        if a[i - 1] == b[k - 1] and rows[i][k] == rows[i - 1][k - 1] + 1:
-            out[where_a[i - 1]] = where_b[k - 1]
-            i, k = i - 1, k - 1
-        elif rows[i - 1][k] >= rows[i][k - 1]:
-            i -= 1
+    out, i, k = [], 0, 0
+    while i < len(a) and k < len(b):
+        if a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        elif best[i + 1, k] >= best[i, k + 1]:
+            i += 1
         else:
-            k -= 1
+            k += 1
     return out
 
 
+def aligned(value: str, printed: str, least: float = 0.7, most_cells: int = 9_000_000) -> tuple[list[int], list[tuple[int, int, int, int]]] | None:
+    """For each character of a recognised text its place in the printed one, -1 where it has none; and for each formula its start and end
+    and the printed stretch (start, end) between its neighbours, which its parts have no places in.
+
+    Blanks and hyphens count for nothing, ligatures and quotes are folded, formulas are left out. An exact occurrence comes first,
+    else a longest common subsequence; None if less than `least` of the shorter text agrees, one has no letters, or the table of the
+    subsequence would have more than most_cells cells."""
+    formulas = [m.span() for m in LINE_FORMULA.finditer(value)]
+    (a, where_a), (b, where_b) = _glyphs(value, formulas), _glyphs(printed, [])
+    if not len(a) or not len(b):
+        return None
+    at = "".join(map(chr, b)).find("".join(map(chr, a)))
+    if at >= 0:
+        pairs = [(i, at + i) for i in range(len(a))]
+    elif (len(a) + 1) * (len(b) + 1) > most_cells or (pairs := _common(a, b, least)) is None:
+        return None
+    out = [-1] * len(value)
+    for i, k in pairs:
+        out[where_a[i]] = int(where_b[k])
+    stretches = []
+    for start, end in formulas:
+        low = max((k + 1 for i, k in pairs if where_a[i] < start), default=0)
+        high = min((k for i, k in pairs if where_a[i] >= end), default=len(b))
+        if low < high:
+            stretches.append((start, end, int(where_b[low]), int(where_b[high - 1]) + 1))
+    return out, stretches
+
+
 def alignments(rows: DataFrame, key: str, value: str, printed: str) -> DataFrame:
-    """(key, places) by `aligned` for each row; places is null where there is no alignment."""
-    def places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, places, formulas) by `aligned` for each row; both are null where there is no alignment."""
+    names = ("start", "end", "from", "upto")
+
+    def placed_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"k": part["k"], "places": [aligned(v, p) if v is not None and p is not None else None for v, p in zip(part["v"], part["p"], strict=True)]})
+            found = [aligned(v, p) if v is not None and p is not None else None for v, p in zip(part["v"], part["p"], strict=True)]
+            yield pd.DataFrame({"k": part["k"], "places": [f and f[0] for f in found], "formulas": [f and [dict(zip(names, x, strict=True)) for x in f[1]] for f in found]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(printed).alias("p")).mapInPandas(places, f"k {kind}, places array<int>").withColumnRenamed("k", key)
+    schema = f"k {kind}, places array<int>, formulas array<struct<start: int, end: int, `from`: int, upto: int>>"
+    return rows.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(printed).alias("p")).mapInPandas(placed_rows, schema).withColumnRenamed("k", key)
+
+
+def quote_boxes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(id, boxes) of the quotes that occur once on their page (white space aside): the boxes of their letters, merged by line.
+
+    pages: page, text, and glyphs, an array of boxes (left, top, right, bottom), one for each character; null or without an area where
+    nothing is drawn. quotes: id, page, quote, and within, a box (or null) that every letter's centre must lie in, give or take 2.
+    Occurrences do not overlap; those of which nothing is drawn, or that leave the box, do not count. Quotes without a letter, of
+    unknown pages, or that occur twice have no row."""
+    drawn = lambda b: (b["right"] > b["left"]) & (b["bottom"] > b["top"])
+    letters = F.filter(F.zip_with(F.split("text", ""), "glyphs", lambda c, b: F.struct(c.alias("c"), b.alias("b"))), lambda x: x["c"].isNotNull() & ~x["c"].rlike(r"^\s*$"))
+    flat = pages.select("page", F.regexp_replace("text", r"\s+", "").alias("flat"), F.transform(letters, lambda x: x["b"]).alias("boxes"))
+    wanted = quotes.select("id", "page", F.regexp_replace("quote", r"\s+", "").alias("needle"), "within").filter("needle <> ''")
+    joined = wanted.join(flat, "page").filter(F.contains("flat", F.col("needle")))
+
+    def centred(b: Column) -> Column:
+        x, y, w = (b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2, F.col("within")
+        return F.col("within").isNull() | ((x >= w["left"] - 2) & (x < w["right"] + 2) & (y >= w["top"] - 2) & (y < w["bottom"] + 2))
+
+    quoted = F.concat(F.lit("\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    own = lambda p: F.filter(F.slice(F.col("boxes"), p["start"] + 1, p["end"] - p["start"]), lambda b: F.coalesce(drawn(b), F.lit(False)))
+    found = F.filter(F.transform(placed(F.col("flat"), quoted), own), lambda boxes: (F.size(boxes) > 0) & F.forall(boxes, centred))
+    once = joined.select("id", found.alias("found")).filter(F.size("found") == 1)
+    return once.select("id", merged_lines(F.get("found", F.lit(0))).alias("boxes"))
+
+
+def merged_lines(boxes: Column) -> Column:
+    """Boxes of letters in reading order as one box a line: a letter whose middle lies between its line's edges widens the line."""
+    kind = "struct<left: double, top: double, right: double, bottom: double>"
+
+    def step(lines: Column, b: Column) -> Column:
+        last = F.get(lines, F.size(lines) - 1)
+        middle = (b["top"] + b["bottom"]) / 2
+        wider = F.struct(F.least(last["left"], b["left"]).alias("left"), F.least(last["top"], b["top"]).alias("top"), F.greatest(last["right"], b["right"]).alias("right"),
+                         F.greatest(last["bottom"], b["bottom"]).alias("bottom")).cast(kind)
+        same = (F.size(lines) > 0) & (middle > last["top"]) & (middle < last["bottom"])
+        return F.when(same, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(wider))).otherwise(F.concat(lines, F.array(b.cast(kind))))
+
+    return F.aggregate(boxes, F.array().cast(f"array<{kind}>"), step)
+
+
+def bound_paragraphs(views: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc, id, language, start, end): where each paragraph stands in the rendered text of its document.
+
+    views: doc, text. entries: doc, n (their order), id, language, text, and start and end of the stretch marked as theirs (or null).
+    Places count characters that are neither blank nor a dollar sign. A paragraph that occurs once in its marked stretch is there. Of the
+    others, those with equal text are paired in order with its occurrences outside what is taken, if they are as many; else none has
+    a place."""
+    compact = lambda c: F.regexp_replace(c, r"[\s$]+", "")
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    flat = views.select("doc", compact(F.col("text")).alias("flat"))
+    rows = entries.select("doc", "n", "id", "language", compact(F.col("text")).alias("key"), "start", "end").filter("key <> ''").join(flat, "doc")
+    marked = F.substr("flat", F.col("start") + 1, F.col("end") - F.col("start"))
+    at = F.instr(marked, F.col("key")) - 1
+    once = F.col("start").isNotNull() & (at >= 0) & ~F.contains(F.substr(marked, at + 2), F.col("key"))
+    rows = rows.withColumn("at", F.when(once, F.col("start") + at))
+    sure = rows.filter("at IS NOT NULL").select("doc", "id", "language", F.col("at").alias("start"), (F.col("at") + F.length("key")).alias("end"))
+    taken = sure.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("taken"))
+    # Texts are looked for once, however many paragraphs share them.
+    groups = rows.filter("at IS NULL").groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("n", "id", "language"))).alias("group"), F.first("flat").alias("flat"))
+    hits = F.transform(placed(F.col("flat"), quoted(F.col("key"))), lambda p: F.struct(p["start"].alias("start"), (p["start"] + 1).alias("end")))
+    free = groups.join(taken, "doc", "left").select("group", "doc", F.length("key").alias("size"), hits.alias("hits"), F.coalesce("taken", F.array().cast("array<struct<start: int, end: int>>")).alias("taken"))
+    free = free.withColumn("hits", F.filter(F.zip_with("hits", overlaps(F.col("hits"), [F.col("taken")]), lambda h, o: F.when(o.isNull(), h)), lambda h: h.isNotNull()))
+    paired = free.filter(F.size("hits") == F.size("group")).select("doc", "size", F.explode(F.zip_with("group", "hits", lambda g, h: F.struct(g.alias("g"), h["start"].alias("start")))).alias("x"))
+    return sure.unionByName(paired.select("doc", "x.g.id", "x.g.language", "x.start", (F.col("x.start") + F.col("size")).alias("end")))

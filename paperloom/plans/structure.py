@@ -360,11 +360,70 @@ def figure_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.diagnostics(flagged, lines, flagged.filter("cluster = 1"))
 
 
-@query(rf"""WITH p AS ({_PARAS}) SELECT doc, paragraph, CASE WHEN length(text) > 3 THEN strpos(text, substr(text, 4, 20)) - 1 END AS first, CASE WHEN length(text) > 3 THEN length(substr(text, 4, 20)) END AS n FROM p""")
+#: Texts without what an alignment passes over, quotes made plain, and the places of the characters that are left.
+_GLYPHS = """(SELECT doc, paragraph, text, list_filter(range(length(text)), lambda i: NOT regexp_matches(substr(text, (i + 1)::INT, 1), '[\\s\\x{00AD}-]')) AS spots,
+  translate(regexp_replace(text, '[\\s\\x{00AD}-]', '', 'g'), '‘’“”', chr(39) || chr(39) || '""') AS flat,
+  translate(regexp_replace(substr(text, 4, 20), '[\\s\\x{00AD}-]', '', 'g'), '‘’“”', chr(39) || chr(39) || '""') AS needle FROM p)"""
+
+
+@query(rf"""WITH p AS ({_PARAS}), g AS {_GLYPHS}
+SELECT doc, paragraph, CASE WHEN needle <> '' THEN spots[strpos(flat, needle)] END AS first, CASE WHEN needle <> '' THEN length(substr(text, 4, 20)) END AS n FROM g WHERE NOT contains(text, '$') AND NOT contains(text, chr(92))""")
 def text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paragraphs(spark, sf_dir).select(F.struct("doc", "paragraph").alias("k"), "text", F.substring("text", 4, 20).alias("value"))
-    out = structure.alignments(p, "k", "value", "text")
-    return out.select("k.doc", "k.paragraph", F.get("places", F.lit(0)).cast("long").alias("first"), F.nullif(F.size("places"), F.lit(-1)).cast("long").alias("n"))
+    """Where twenty characters of each turn stand in it, by its first occurrence; turns with formulas are another query's."""
+    p = paragraphs(spark, sf_dir).filter(~F.contains("text", F.lit("$")) & ~F.contains("text", F.lit("\\")))
+    out = structure.alignments(p.select(F.struct("doc", "paragraph").alias("k"), "text", F.substring("text", 4, 20).alias("value")), "k", "value", "text")
+    first = F.get(F.filter("places", lambda x: x >= 0), F.lit(0))
+    return out.select("k.doc", "k.paragraph", first.cast("long").alias("first"), F.nullif(F.size("places"), F.lit(-1)).cast("long").alias("n"))
+
+
+@query("""WITH d AS (SELECT doc_id, translate(regexp_replace(text, '[\\s\\x{00AD}-]', '', 'g'), '#$' || chr(92), '') AS flat FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, length(flat)::BIGINT AS n, ((length(flat) + 6) // 7)::BIGINT AS f FROM d)
+SELECT doc_id, CASE WHEN (n + f + 1) * (n + 1) <= 9000000 THEN n ELSE 0 END AS placed, CASE WHEN (n + f + 1) * (n + 1) <= 9000000 THEN f ELSE 0 END AS unplaced FROM n""")
+def text_alignment_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as recognised with a false letter before each seven, aligned with what is printed: all but those. Of texts that are too
+    long for a table of nine million cells, none."""
+    flat = F.translate(F.regexp_replace("text", r"[\s\u00AD-]", ""), "#$\\", "")
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", flat.alias("printed"), F.regexp_replace(flat, "(?s).{1,7}", "#$0").alias("value"))
+    out = structure.alignments(rows, "doc_id", "value", "printed")
+    count = lambda sign: F.coalesce(F.size(F.filter("places", sign)), F.lit(0))
+    return out.select("doc_id", F.greatest(count(lambda x: x >= 0), F.lit(0)).cast("long").alias("placed"), F.greatest(count(lambda x: x < 0), F.lit(0)).cast("long").alias("unplaced"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS flat, regexp_replace(text, '\\s', '~', 'g') AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT *, substr(flat, greatest(1, length(flat) // 2), 30) AS needle FROM d),
+o AS (SELECT *, strpos(flat, needle) - 1 AS spot FROM q WHERE needle <> '' AND len(string_split(flat, needle)) = 2),
+p AS (SELECT doc_id, needle, unnest(list_filter(range(length(t)), lambda i: substr(t, (i + 1)::INT, 1) <> '~')[spot + 1:spot + length(needle)]) AS i FROM o)
+SELECT doc_id, count(DISTINCT i // 80) AS lines, (min(i // 80) * 12)::DOUBLE AS top, max(i // 80 * 12 + 10)::DOUBLE AS bottom, min(i % 80 * 6)::DOUBLE AS left, max(i % 80 * 6 + 5)::DOUBLE AS right FROM p GROUP BY doc_id""")
+def quote_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty letters from the middle of each text, found again on a page that shows it in lines of eighty letters."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+
+    def glyph(i):
+        line, column = F.floor(i / 80).cast("int"), i % 80
+        return F.struct((column * 6).cast("double").alias("left"), (line * 12).cast("double").alias("top"), (column * 6 + 5).cast("double").alias("right"), (line * 12 + 10).cast("double").alias("bottom"))
+
+    glyphs = F.when(F.col("text") != "", F.transform(F.sequence(F.lit(0), F.length("text") - 1), glyph))
+    pages = docs.select(F.col("doc_id").alias("page"), "text", glyphs.alias("glyphs"))
+    flat = F.regexp_replace("text", r"\s+", "")
+    middle = F.substr(flat, F.greatest(F.lit(1), F.floor(F.length(flat) / 2).cast("int")), F.lit(30))
+    none = F.lit(None).cast("struct<left: double, top: double, right: double, bottom: double>")
+    out = structure.quote_boxes(pages, docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("page"), middle.alias("quote"), none.alias("within")))
+    edge = lambda name, f: f(F.transform("boxes", lambda b: b[name]))
+    return out.select(F.col("id").alias("doc_id"), F.size("boxes").cast("long").alias("lines"), edge("top", F.array_min).alias("top"), edge("bottom", F.array_max).alias("bottom"),
+                      edge("left", F.array_min).alias("left"), edge("right", F.array_max).alias("right"))
+
+
+@query(rf"""WITH p AS (SELECT conv_id AS doc, turn, regexp_replace(text, '[\s$]+', '', 'g') AS k FROM conversations WHERE text IS NOT NULL),
+e AS (SELECT doc, turn, k, coalesce(sum(length(k)) OVER (PARTITION BY doc ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, string_agg(k, '') OVER (PARTITION BY doc ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS flat FROM p),
+c AS (SELECT *, len(string_split(flat, k)) - 1 AS hits, count(*) OVER (PARTITION BY doc, k) AS same, row_number() OVER (PARTITION BY doc, k ORDER BY turn) AS nth FROM e WHERE k <> '')
+SELECT doc, turn, CASE WHEN nth = 1 THEN strpos(flat, k) - 1 ELSE (SELECT sum(length(x) + length(k)) - length(k) FROM (SELECT unnest(string_split(flat, k)[1:nth::INT]) AS x)) END::INT AS start FROM c WHERE hits = same""")
+def bound_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation, bound to its whole text as it is shown; nothing in it is marked."""
+    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("doc"), F.col("turn").alias("n"), "text")
+    views = turns.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t")).select("doc", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+    none = F.lit(None).cast("int")
+    out = structure.bound_paragraphs(views, turns.select("doc", "n", F.col("n").alias("id"), F.lit("source").alias("language"), "text", none.alias("start"), none.alias("end")))
+    return out.select("doc", F.col("id").alias("turn"), F.col("start").cast("int").alias("start"))
 
 
 @query()

@@ -1,7 +1,9 @@
 """Captions, pages, regions, places and LaTeX on small rows whose results are known."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,9 +110,45 @@ def test_ranges_stay_out_of_formulas(spark):
 
 
 def test_alignment():
-    assert structure.aligned("fine", "a fine day") == [2, 3, 4, 5]
-    assert structure.aligned("of ﬁne work", "xx of fine-work") == [3, 4, -1, 7, 8, 9, -1, 11, 12, 13, 14] or structure.aligned("of ﬁne work", "xx of fine-work")[:2] == [3, 4]
-    assert structure.aligned("entirely", "zzzz") is None and structure.aligned("ab", "b" * 9, most_cells=3) is None
+    assert structure.aligned("fine", "a fine day") == ([2, 3, 4, 5], [])
+    assert structure.aligned("ab c", "abc then abc")[0] == [0, 1, -1, 2], "the first place, blanks aside"
+    assert structure.aligned("of ﬁne work", "xx of fine-work")[0] == [3, 4, -1, 7, 8, 9, -1, 11, 12, 13, 14] or structure.aligned("of ﬁne work", "xx of fine-work")[0][:2] == [3, 4]
+    assert structure.aligned("abcdefghij", "abcdef")[0] == [0, 1, 2, 3, 4, 5, -1, -1, -1, -1], "seven tenths of the shorter text"
+    assert structure.aligned("the sum $x+y$ is small", "the sum (x+y) is small") == ([0, 1, 2, -1, 4, 5, 6] + [-1] * 7 + [14, 15, -1, 17, 18, 19, 20, 21], [(8, 13, 8, 13)])
+    assert structure.aligned("entirely", "zzzz") is None and structure.aligned("ab", "bcb", most_cells=3) is None and structure.aligned("", "a") is None and structure.aligned("- -", "a") is None
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_common_subsequences_are_longest(seed):
+    rng = random.Random(seed)
+    a, b = (np.array([rng.randint(0, 3) for _ in range(rng.randint(1, 25))]) for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for k, y in enumerate(b):
+            best[i + 1][k + 1] = best[i][k] + 1 if x == y else max(best[i][k + 1], best[i + 1][k])
+    pairs = structure._common(a, b, 0.0)
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[k] for i, k in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_quote_boxes(spark):
+    box = lambda i: (float(i % 5 * 10), float(i // 5 * 20), float(i % 5 * 10 + 8), float(i // 5 * 20 + 15)) if i != 2 else None
+    text = "ab cd efab .E xy"
+    kind = "struct<left: double, top: double, right: double, bottom: double>"
+    pages = spark.createDataFrame([(1, text, [box(i) for i in range(len(text))])], f"page int, text string, glyphs array<{kind}>")
+    quotes = spark.createDataFrame([(1, 1, "b c d", None), (2, 1, "ab", None), (3, 1, "ab", (0.0, 0.0, 20.0, 16.0)), (4, 1, "zz", None), (5, 1, " ", None), (6, 2, "b", None), (7, 1, "def", None), (8, 1, ".E", None), (9, 1, "xy", (0.0, 0.0, 1.0, 1.0))],
+                                   f"id int, page int, quote string, within {kind}")
+    got = {r.id: [tuple(b) for b in r.boxes] for r in structure.quote_boxes(pages, quotes).collect()}
+    assert got == {1: [(10.0, 0.0, 48.0, 15.0)], 3: [(0.0, 0.0, 18.0, 15.0)], 7: [(40.0, 0.0, 48.0, 15.0), (10.0, 20.0, 28.0, 35.0)], 8: [(10.0, 40.0, 28.0, 55.0)]}
+
+
+def test_bound_paragraphs(spark):
+    views = spark.createDataFrame([("d", "One two. $x$ Same. Three\nSame. One two. Lost")], "doc string, text string")
+    rows = [("d", 1, "a", "source", "One  two.", 0, 8), ("d", 2, "b", "source", "Same.", None, None), ("d", 3, "c", "source", "x Same.", None, None), ("d", 4, "e", "source", "Same.", None, None),
+            ("d", 5, "f", "source", "One two.", None, None), ("d", 6, "g", "source", "Three", 0, 3), ("d", 7, "h", "source", "absent", None, None), ("d", 8, "i", "source", " $ ", None, None), ("d", 9, "j", "source", "Lost", None, None), ("d", 10, "k", "source", "Lost", None, None)]
+    entries = spark.createDataFrame(rows, "doc string, n int, id string, language string, text string, start int, end int")
+    got = {(r.id, r.start, r.end) for r in structure.bound_paragraphs(views, entries).collect()}
+    # "OnetwoxSame..." without blanks and dollar signs; the marked first paragraph takes its place from the fifth.
+    assert got == {("a", 0, 7), ("b", 8, 13), ("e", 18, 23), ("c", 7, 13), ("f", 23, 30), ("g", 13, 18)}
 
 
 def test_headings_and_markers(spark):
