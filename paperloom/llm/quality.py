@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.tables import stored
 
-#: log2 of the buckets that n-grams are hashed to: both models are 8 MB, however large the corpus is.
-BUCKET_BITS = 20
+#: log2 of the buckets that n-grams are hashed to, one half for pairs of tokens and one for the others: both models are 4 MB, however
+#: large the corpus is.
+BUCKET_BITS = 19
 #: Labelled documents that the target model and the threshold are learned from, at most; every fourth is held out.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 5, 6)
@@ -49,12 +50,12 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(W.mixed(W.span_hashes(data, found.start[long], found.start[long] + n) + np.uint64(n)))
         texts.append(owner[long])
     inside = np.flatnonzero(owner[1:] == owner[:-1])
-    hashes.append(W.gram_hashes(token, 2)[inside])
-    texts.append(owner[inside])
     again = inside[token[inside + 1] == token[inside]] + 1
     hashes.append(np.full(len(again), _REPEAT))
     texts.append(owner[again])
-    return (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(texts)
+    half, shift = 1 << (BUCKET_BITS - 1), np.uint64(65 - BUCKET_BITS)
+    pairs = (W.gram_hashes(token, 2)[inside] >> shift).astype(np.int64) + half
+    return np.concatenate([(np.concatenate(hashes) >> shift).astype(np.int64), pairs]), np.concatenate([*texts, owner[inside]])
 
 
 def _counted(batches):

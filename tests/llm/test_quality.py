@@ -16,7 +16,7 @@ def bucket(raw: bytes, salt: int | None = None) -> int:
     h = W.span_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
     if salt is not None:
         h = W.mixed(h + np.uint64(salt))
-    return int(h[0] >> np.uint64(64 - quality.BUCKET_BITS))
+    return int(h[0] >> np.uint64(65 - quality.BUCKET_BITS))
 
 
 def grams(text):
@@ -27,8 +27,8 @@ def grams(text):
     out += [bucket(t[:n], n) for t in tokens for n in quality.PREFIXES if len(t) >= n]
     for a, b in zip(tokens, tokens[1:], strict=False):
         two = [W.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] for t in (a, b)]
-        out.append(int(W.gram_hashes(np.array(two), 2)[0] >> np.uint64(64 - quality.BUCKET_BITS)))
-    again = int(quality._REPEAT >> np.uint64(64 - quality.BUCKET_BITS))
+        out.append(int(W.gram_hashes(np.array(two), 2)[0] >> np.uint64(65 - quality.BUCKET_BITS)) + (1 << quality.BUCKET_BITS - 1))
+    again = int(quality._REPEAT >> np.uint64(65 - quality.BUCKET_BITS))
     return out + [again for a, b in zip(tokens, tokens[1:], strict=False) if a == b]
 
 
