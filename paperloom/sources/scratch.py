@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,8 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="paperloom-"))
+        folder = _local[0]
     return folder.rstrip("/")
 
 
