@@ -61,6 +61,8 @@ def _refused(spec: dict) -> str | None:
         return "its model is not plain BPE"
     if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
         return "its added tokens are not matched literally"
+    if any(re.search(r"\s", t.get("content", "")) for t in spec.get("added_tokens", [])):
+        return "an added token holds a blank, where texts are cut"
     merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
     if None in merged or any(b <= a for a, b in zip(merged, merged[1:], strict=False)):
         return "its merges do not follow the order of their tokens' ids"

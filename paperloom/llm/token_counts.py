@@ -1,8 +1,9 @@
 """Edit-aware token counts.
 
 The state of a document is its text and a segment tree over leaves of about LEAF_BYTES, cut at places where tokens before and
-after are certain not to depend on each other (see bpe.certain_boundaries). Each node holds the bytes and tokens below it. An
-edit finds its leaves by descending the tree, takes in a neighbouring leaf where it has touched the characters that made the
+after are certain not to depend on each other (see bpe.certain_boundaries). Each node holds the bytes, code points and tokens
+below it, and while edits are applied the leaves hold the text, so an edit neither counts nor copies the rest of it. An edit finds
+its leaves by descending the tree, takes in a neighbouring leaf where it has touched the characters that made the
 boundary certain, re-encodes that region alone, and updates the sums on the paths to the root. A region that has grown beyond
 two leaves is cut into leaves again and the sums are balanced anew, which adds integers but encodes nothing else; so however
 many edits meet at one place, each re-encodes a few leaves. Counts stay exact. A stretch without a certain boundary, such as
@@ -20,98 +21,120 @@ from paperloom.llm import bpe
 from paperloom.llm import words as W
 
 LEAF_BYTES = 256
-_BLANK = (0x20, 0x0A)
+_BLANK = " \n"
 
 
-def _visible(byte: int) -> bool:
-    return 0x20 < byte < 0x7F
+def _visible(character: str) -> bool:
+    return "\x20" < character < "\x7f"
 
 
 class CountTree:
-    """Heap-ordered sums: node k has children 2k and 2k+1, the leaves are the last half."""
+    """Heap-ordered sums: node k has children 2k and 2k+1, the leaves are the last half. parts: the leaves' bytes."""
 
-    def __init__(self, text: bytes, sizes, tokens):
-        self.text, self.reencoded = text, 0
-        self._take(list(sizes), list(tokens))
+    def __init__(self, parts: list[bytes], tokens: list[int]):
+        self.reencoded = 0
+        self._take(parts, tokens)
 
-    def _take(self, size: list[int], count: list[int]) -> None:
-        self.size, self.count, self.leaves = size, count, len(size) // 2
+    @classmethod
+    def stored(cls, text: bytes, size: list[int], count: list[int]) -> CountTree:
+        """From a text and the arrays of a state."""
+        width, at, parts = len(size) // 2, 0, []
+        for n in size[width:]:
+            parts.append(text[at : at + n])
+            at += n
+        return cls(parts, count[width:])
 
     @classmethod
-    def built(cls, text: bytes, leaves: list[tuple[int, int]]) -> CountTree:
-        return cls(text, *cls._sums(leaves))
-
-    @staticmethod
-    def _sums(leaves: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-        width = 1
-        while width < len(leaves):
-            width *= 2
-        size, count = [0] * (2 * width), [0] * (2 * width)
-        for k, (n, tokens) in enumerate(leaves):
-            size[width + k], count[width + k] = n, tokens
-        for k in range(width - 1, 0, -1):
-            size[k], count[k] = size[2 * k] + size[2 * k + 1], count[2 * k] + count[2 * k + 1]
-        return size, count
+    def built(cls, text: bytes, sure: np.ndarray, encode) -> CountTree:
+        """From a text and its certain boundaries."""
+        pieces = _leaves(text, sure, encode)
+        return cls([p for p, _ in pieces], [n for _, n in pieces])
+
+    def _take(self, parts: list[bytes], tokens: list[int]) -> None:
+        self.leaves = 1
+        while self.leaves < len(parts):
+            self.leaves *= 2
+        pad = self.leaves - len(parts)
+        self.parts = [*parts, *[b""] * pad]
+        leaves = ([len(p) for p in self.parts], [_points(p) for p in self.parts], [*tokens, *[0] * pad])
+        self.size, self.points, self.count = ([0] * self.leaves + values for values in leaves)
+        for sums in (self.size, self.points, self.count):
+            for k in range(self.leaves - 1, 0, -1):
+                sums[k] = sums[2 * k] + sums[2 * k + 1]
 
     @property
     def tokens(self) -> int:
         return self.count[1]
 
-    def leaf_at(self, byte: int) -> tuple[int, int]:
-        """The leaf that holds a byte (of several at its place a filled one), and the leaf's first byte."""
+    @property
+    def text(self) -> bytes:
+        return b"".join(self.parts)
+
+    def leaf_at(self, place: int) -> tuple[int, int]:
+        """The leaf that holds a code point (of several at its place a filled one), and the leaf's first code point."""
         node, start = 1, 0
         while node < self.leaves:
             node *= 2
-            if byte >= start + self.size[node] and self.size[node + 1]:
-                start += self.size[node]
+            if place >= start + self.points[node] and self.points[node + 1]:
+                start += self.points[node]
                 node += 1
         return node - self.leaves, start
 
-    def _set(self, leaf: int, size: int, count: int) -> None:
+    def _set(self, leaf: int, part: bytes, tokens: int) -> None:
         node = leaf + self.leaves
-        more, tokens = size - self.size[node], count - self.count[node]
-        while node and (more or tokens):
-            self.size[node] += more
-            self.count[node] += tokens
-            node //= 2
-
-    def edit(self, start: int, end: int, new: bytes, encode) -> None:
-        """Replace bytes start to end by new."""
+        changes = [(sums, now - sums[node]) for sums, now in ((self.size, len(part)), (self.points, _points(part)), (self.count, tokens))]
+        self.parts[leaf] = part
+        for sums, change in changes:
+            at = node
+            while at and change:
+                sums[at] += change
+                at //= 2
+
+    def edit(self, start: int, length: int, new: str, encode) -> None:
+        """Replace length code points from start on by new; what lies beyond the text is cut off."""
+        start = min(max(start, 0), self.points[1])
+        end = min(start + max(length, 0), self.points[1])
         first, low = self.leaf_at(start)
         last, high = self.leaf_at(max(start, end - 1))
-        high += self.size[last + self.leaves]
+        high += self.points[last + self.leaves]
+        old = b"".join(self.parts[first : last + 1]).decode()
+        region = old[: start - low] + new + old[end - low :]
         while True:
-            region = self.text[low:start] + new + self.text[end:high]
             if low > 0 and (not region or region[0] not in _BLANK):
-                first, low = self.leaf_at(low - 1)
-            elif high < len(self.text) and (not region or not _visible(region[-1])):
+                before, at = self.leaf_at(low - 1)
+                region, first, low = self.parts[before].decode() + region, before, at
+            elif high < self.points[1] and (not region or not _visible(region[-1])):
                 last, at = self.leaf_at(high)
-                high = at + self.size[last + self.leaves]
+                region, high = region + self.parts[last].decode(), at + self.points[last + self.leaves]
             else:
                 break
-        self.text = self.text[:low] + region + self.text[high:]
-        self.reencoded += len(region)
-        if len(region) > 2 * LEAF_BYTES:
-            data = np.frombuffer(region, np.uint8)
-            pieces = _leaves(region, bpe.certain_boundaries(data), encode)
+        raw = region.encode()
+        self.reencoded += len(raw)
+        if len(raw) > 2 * LEAF_BYTES:
+            pieces = _leaves(raw, bpe.certain_boundaries(np.frombuffer(raw, np.uint8)), encode)
             if len(pieces) > 1:
                 return self._replace(first, last, pieces)
         for leaf in range(first + 1, last + 1):
-            self._set(leaf, 0, 0)
-        return self._set(first, len(region), len(encode(region.decode())))
+            self._set(leaf, b"", 0)
+        return self._set(first, raw, len(encode(region)))
 
-    def _replace(self, first: int, last: int, pieces: list[tuple[int, int]]) -> None:
+    def _replace(self, first: int, last: int, pieces: list[tuple[bytes, int]]) -> None:
         """New leaves in place of some, empty ones left out, and the sums over all of them."""
-        now = list(zip(self.size[self.leaves :], self.count[self.leaves :], strict=True))
-        self._take(*self._sums([leaf for leaf in now[:first] + pieces + now[last + 1 :] if leaf[0]]))
+        now = list(zip(self.parts, self.count[self.leaves :], strict=True))
+        kept = [leaf for leaf in now[:first] + pieces + now[last + 1 :] if leaf[0]]
+        self._take([p for p, _ in kept], [n for _, n in kept])
+
+
+def _points(raw: bytes) -> int:
+    return len(raw.decode())
 
 
-def _leaves(raw: bytes, sure: np.ndarray, encode) -> list[tuple[int, int]]:
+def _leaves(raw: bytes, sure: np.ndarray, encode) -> list[tuple[bytes, int]]:
     at, k, out = 0, 0, []
     while at < len(raw):
         k = int(np.searchsorted(sure, at + LEAF_BYTES))
         end = int(sure[k]) if k < len(sure) else len(raw)
-        out.append((end - at, len(encode(raw[at:end].decode()))))
+        out.append((raw[at:end], len(encode(raw[at:end].decode()))))
         at = end
     return out
 
@@ -128,7 +151,7 @@ def _built(batches, path: str):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 text = data[a:b]
                 sure = bpe.certain_boundaries(text) if len(text) else np.zeros(0, np.int64)
-                trees.append(CountTree.built(b"", _leaves(text.tobytes(), sure, encode)))
+                trees.append(CountTree.built(text.tobytes(), sure, encode))
             yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), _lists([t.size for t in trees]), _lists([t.count for t in trees])], ["id", "text", "size", "count"])
 
 
@@ -149,18 +172,11 @@ def _edited(batches, path: str):
             ids, texts, sizes, counts, edits = part.columns
             trees, before = [], []
             for text, size, count, changes in zip(texts.to_pylist(), sizes.to_pylist(), counts.to_pylist(), edits.to_pylist(), strict=True):
-                tree = CountTree(text.encode(), size, count)
+                tree = CountTree.stored(text.encode(), size, count)
                 before.append(tree.tokens)
                 for change in changes or ():
-                    if change is None:
-                        continue
-                    now = text
-                    start = min(max(change["start"] or 0, 0), len(now))
-                    end = min(start + max(change["length"] or 0, 0), len(now))
-                    new = change["replacement"] or ""
-                    first = len(now[:start].encode())
-                    tree.edit(first, first + len(now[start:end].encode()), new.encode(), encode)
-                    text = now[:start] + new + now[end:]
+                    if change is not None:
+                        tree.edit(change["start"] or 0, change["length"] or 0, change["replacement"] or "", encode)
                 trees.append(tree)
             out = [ids, pa.array([t.text.decode() for t in trees]), _lists([t.size for t in trees]), _lists([t.count for t in trees]),
                    pa.array(before, pa.int64()), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.reencoded for t in trees], pa.int64())]

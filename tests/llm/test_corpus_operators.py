@@ -14,8 +14,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+import test_quality
 from paperloom.llm import decontaminate, pii, quality, shards, simhash, warc
 from paperloom.operators.components import components
 
@@ -423,6 +425,16 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         elif name == "tokens":
             assert set(after) == set(before)
             assert all(hashlib.sha256(before[d].text.encode()).hexdigest() == r.decoded_sha256 for d, r in after.items())
+            plain = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+            assert all(list(r.ids) == plain.encode(before[d].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for d, r in after.items())
         else:
             assert docs.columns == list(spark.read.parquet(f"{sf}/documents.parquet").columns)
-    assert spark.createDataFrame([], docs.schema).count() == 0
+            labels = spark.read.parquet(f"{sf}/labels.parquet")
+            chosen = quality.select(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+            good = {r.doc for r in quality.labelled_sample(labels, "doc_id", "quality", "toxic").collect() if r.good and not r.held_out}
+            ids = sorted(before)
+            weights = test_quality.log_weights([(d, before[d].text) for d in ids], good)
+            noise = {r.doc_id: r.g for r in spark.createDataFrame([(d,) for d in ids], "doc_id long").select("doc_id", quality.gumbel(F.col("doc_id"), 0).alias("g")).collect()}
+            keys = {d: w + noise[d] for d, w in zip(ids, weights, strict=True) if w is not None}
+            k = sum(w is not None and w >= chosen.threshold for w in weights)
+            assert set(after) == set(sorted(keys, key=keys.get, reverse=True)[:k])

@@ -131,16 +131,29 @@ def test_an_edit_re_encodes_little(spark):
 def test_many_edits_at_one_place_re_encode_little(tokenizer):
     own = bpe.vocabulary(PATH)
     raw = " ".join(f"word{n}" for n in range(3000)).encode()
-    tree = token_counts.CountTree.built(raw, token_counts._leaves(raw, bpe.certain_boundaries(np.frombuffer(raw, np.uint8)), own.encode))
+    tree = token_counts.CountTree.built(raw, bpe.certain_boundaries(np.frombuffer(raw, np.uint8)), own.encode)
     most = 0
     for n in range(10_000):
         before = tree.reencoded
-        tree.edit(5000, 5000 + (n % 3 == 0), b"new words, " if n % 2 else b"x y", own.encode)
+        tree.edit(5000, int(n % 3 == 0), "new words, " if n % 2 else "x y", own.encode)
         most = max(most, tree.reencoded - before)
     assert most <= 5 * token_counts.LEAF_BYTES and max(tree.size[tree.leaves :]) <= 3 * token_counts.LEAF_BYTES
     assert tree.tokens == len(tokenizer.encode(tree.text.decode(), add_special_tokens=False).ids)
 
 
+def test_many_edits_of_a_long_text_cost_little_each(tokenizer):
+    """Ten thousand edits all over a text of 4 MB: it is neither counted nor copied for each."""
+    own, rng = bpe.vocabulary(PATH), random.Random(3)
+    text = " ".join(rng.choice(["river", "stone,", "é", "light\n", "12"]) for _ in range(800_000))
+    raw = text.encode()
+    tree = token_counts.CountTree.built(raw, bpe.certain_boundaries(np.frombuffer(raw, np.uint8)), own.encode)
+    began = time.perf_counter()
+    for n in range(10_000):
+        tree.edit(rng.randrange(len(text)), 3, "new" if n % 2 else " é ", own.encode)
+    assert time.perf_counter() - began < 30
+    assert tree.tokens == len(own.encode(tree.text.decode())) and tree.points[1] == len(text)
+
+
 def test_null_edits_and_empty_tables(spark, empty, tokenizer):
     docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
     edits = F.expr("array(cast(null AS struct<start:int,length:int,replacement:string>), named_struct('start', 0, 'length', 3, 'replacement', 'four'))")
@@ -157,13 +170,11 @@ def test_count_tree_follows_any_edits(text, edits):
     own = bpe.vocabulary(PATH)
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    tree = token_counts.CountTree.built(raw, token_counts._leaves(raw, bpe.certain_boundaries(data) if len(data) else data, own.encode))
+    tree = token_counts.CountTree.built(raw, bpe.certain_boundaries(data) if len(data) else data, own.encode)
     for start, length, new in edits:
+        tree.edit(start, length, new, own.encode)
         start = min(start, len(text))
-        end = min(start + length, len(text))
-        low = len(text[:start].encode())
-        tree.edit(low, low + len(text[start:end].encode()), new.encode(), own.encode)
-        text = text[:start] + new + text[end:]
+        text = text[:start] + new + text[start + length :]
     assert tree.text.decode() == text and tree.tokens == len(own.encode(text))
 
 
