@@ -37,7 +37,7 @@ PIECE_CHARS = 1 << 18
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NODES = "node bigint, depth int, c int, id bigint, dropped bigint, zeroed bigint, opened bigint, power bigint"
+_NODES = "node bigint, depth int, c int, id bigint, again boolean"
 
 
 def _lowered(text: Column) -> Column:
@@ -65,12 +65,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, r, np.uint64))]) for r in (_R, _R_INVERSE))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and where each starts (and the last ends)."""
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -100,33 +94,23 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word and each node on its way: the node (hash of the prefix, depth), the next character c (0: the word ends),
-    the word's hash, and what edits make of it: dropped (without c; null if the next is the same, or none is), zeroed (c counted as
-    nothing), opened (a character that counts as nothing before c). power times a character is what it adds."""
+    """A row for each word and each node on its way: the node (hash of the prefix, and its depth), the next character c (0: the word
+    ends), the word's hash, and whether the character after the next is the same. What edits make of a word's hash follows from these."""
     names = [f.split()[0] for f in _NODES.split(", ")]
     for texts in _pieces(batches):
         data, at = _chars(texts)
-        longest = int(np.diff(at).max()) + 1
-        power, inverse = _powers(max(len(data), longest) + 1)
+        power, inverse = _powers(len(data) + 1)
         hashes = _hashes(data, at, power, inverse)
         sizes = np.diff(at) + 1
         ends = np.cumsum(sizes)
         depth = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
         last = np.zeros(ends[-1], bool)
         last[ends - 1] = True
-        c, following = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], np.uint64)
-        c[~last] = data + np.uint64(1)
-        following[:-1] = c[1:]
-        whole = np.repeat(hashes[ends - 1], sizes)
-        upto = np.concatenate([hashes[1:], np.zeros(1, np.uint64)])
-        dropped = hashes + (whole - upto) * np.uint64(_R_INVERSE)
-        zeroed = whole - c * power[depth]
-        opened = hashes + (whole - hashes) * np.uint64(_R)
-        node = _mixed(hashes ^ _mixed(depth.astype(np.uint64) + np.uint64(1)))
-        longs = {"node": node, "id": whole, "zeroed": zeroed, "opened": opened, "power": power[depth]}
-        columns = {n: pa.array(x.view(np.int64)) for n, x in longs.items()} | {"depth": pa.array(depth.astype(np.int32)), "c": pa.array(c.astype(np.int32))}
-        columns["dropped"] = pa.array(dropped.view(np.int64), mask=last | (c == following))
-        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        c = np.zeros(ends[-1], np.int32)
+        c[~last] = data.astype(np.int32) + 1
+        again = np.append(c[1:] == c[:-1], False) & ~last
+        columns = [hashes.view(np.int64), depth.astype(np.int32), c, np.repeat(hashes[ends - 1], sizes).view(np.int64), again]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,20 +165,23 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 
 
 def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, target, met): hashes to look up; met is set where light words of a node meet instead."""
+    """(id, target, met): hashes to look up; met is set where light words of a node meet instead.
+
+    Of a word, its prefix and the character c behind it, at place p: without c it is prefix + (word - prefix - c R^p) / R, with c counted
+    as nothing word - c R^p, and with a place opened before c prefix + (word - prefix) R; the heavy character adds itself times R^p."""
     for batch in batches:
-        dropped = batch.column("dropped").is_valid().to_numpy(zero_copy_only=False)
-        get = {n: batch.column(n).fill_null(0).to_numpy() for n in ("id", "depth", "c", "heavy", "dropped", "zeroed", "opened", "power")}
-        u = {n: get[n].astype(np.int64).view(np.uint64) for n in get}
-        replaced = (get["c"] > 0) & (get["heavy"] > 0)
-        inserted = get["heavy"] > 0
-        light = get["c"] > 0
-        add = u["heavy"] * u["power"]
-        ids = np.concatenate([get["id"][replaced], get["id"][inserted], get["id"][dropped], get["id"][light]])
-        targets = np.concatenate([(u["zeroed"] + add)[replaced], (u["opened"] + add)[inserted], u["dropped"][dropped], u["zeroed"][light]]).view(np.int64)
-        n = len(ids) - int(light.sum())
-        met = pa.array([None] * n, pa.string()), pa.array(get["depth"][light]).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(targets), pa.concat_arrays(met)], ["id", "target", "met"])
+        get = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "depth", "c", "id", "again", "heavy")}
+        prefix, word = (get[n].view(np.uint64) for n in ("node", "id"))
+        power = _powers(int(get["depth"].max(initial=0)))[0][get["depth"]]
+        c, heavy = (get[n].astype(np.uint64) * power for n in ("c", "heavy"))
+        ends, lasts = get["c"] == 0, get["heavy"] == 0
+        zeroed = word - c
+        found = [(~ends & ~lasts, zeroed + heavy), (~lasts, prefix + (word - prefix) * np.uint64(_R) + heavy),
+                 (~ends & ~get["again"], prefix + (word - prefix - c) * np.uint64(_R_INVERSE)), (~ends, zeroed)]
+        ids, targets = (np.concatenate(x).view(np.int64) for x in zip(*((word[take], to[take]) for take, to in found), strict=True))
+        n = len(ids) - int((~ends).sum())
+        met = pa.concat_arrays([pa.array([None] * n, pa.string()), pa.array(get["depth"][~ends]).cast(pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(targets), met], ["id", "target", "met"])
 
 
 # Forms ----------------------------------------------------------------------------------------------------------------
