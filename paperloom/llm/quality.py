@@ -156,9 +156,10 @@ class Selection:
         sample = stored(labelled_sample(labels, doc_id, quality, toxic), "labelled")
         rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
         marked = rows.join(F.broadcast(sample), "doc", "left").select("t", (F.coalesce("good", F.lit(False)) & ~F.coalesce("held_out", F.lit(True))).alias("m"))
-        counts = marked.mapInArrow(_counted, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+        counts = marked.mapInArrow(_counted, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # columns; rows would be objects on the driver
         raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-        raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+        bucket = counts["bucket"].to_numpy()
+        raw[bucket], target[bucket] = counts["raw"].to_numpy(), counts["target"].to_numpy()
         self.model = spark.sparkContext.broadcast(_log_ratios(raw, target))
         scored = stored(weighted(rows, "t", self.model).select("id.doc", "weight").withColumn("key", self._key("doc")), "weights")
         if k is None:
