@@ -30,6 +30,8 @@ BUCKET_BITS = 19
 #: Labelled documents that the target model and the threshold are learned from, at most; every fourth is held out.
 MAX_LABELLED = 50_000
 PREFIXES = (4, 5, 6)
+#: Text bytes whose n-grams are worked out at once.
+PIECE_BYTES = 1 << 19
 #: Counts that both models add to each bucket, in units of the target sample.
 SMOOTHING = 5.0
 #: How many lost good documents weigh as much as one kept bad one, when the threshold is chosen.
@@ -63,7 +65,7 @@ def _counted(batches):
     raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         marked = batch.column(1).to_numpy(zero_copy_only=False)
-        for row, end, data, at in W.pieces(batch.column(0)):
+        for row, end, data, at in W.pieces(batch.column(0), PIECE_BYTES):
             bucket, text = grams(data, at)
             raw += np.bincount(bucket, minlength=len(raw))
             target += np.bincount(bucket[marked[row:end][text]], minlength=len(raw))
@@ -79,9 +81,10 @@ def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
-def _weighted(batches, model):
+def _weighted(batches, model, place: int | None):
     for batch in batches:
-        for row, end, data, at in W.pieces(batch.column(1)):
+        texts = batch.column(1) if place is None else batch.column(0).field(place)
+        for row, end, data, at in W.pieces(texts, PIECE_BYTES):
             bucket, text = grams(data, at)
             n = np.bincount(text, minlength=end - row)
             total = np.bincount(text, model.value[bucket], minlength=end - row)
@@ -89,10 +92,13 @@ def _weighted(batches, model):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), weight], ["id", "weight"])
 
 
-def weighted(rows: DataFrame, text: str, model) -> DataFrame:
-    """Every row as struct id, with its log importance weight (null for a text without n-grams)."""
-    base = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("id"), F.col(text).alias("t"))
-    return base.mapInArrow(lambda it: _weighted(it, model), f"id {base.schema[0].dataType.simpleString()}, weight double")
+def weighted(rows: DataFrame, text: str, model, keep: list[str] | None = None) -> DataFrame:
+    """Every row's columns keep (default: all) as struct id, with its log importance weight (null for a text without n-grams). A kept text
+    is sent to the task's Python once, inside the struct."""
+    keep = rows.columns if keep is None else keep
+    place = keep.index(text) if text in keep else None
+    base = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("id"), *([F.col(text).alias("t")] if place is None else []))
+    return base.mapInArrow(lambda it: _weighted(it, model, place), f"id {base.schema[0].dataType.simpleString()}, weight double")
 
 
 def labelled_sample(labels: DataFrame, doc_id: str, quality: str, toxic: str) -> DataFrame:
@@ -161,7 +167,7 @@ class Selection:
         bucket = counts["bucket"].to_numpy()
         raw[bucket], target[bucket] = counts["raw"].to_numpy(), counts["target"].to_numpy()
         self.model = spark.sparkContext.broadcast(_log_ratios(raw, target))
-        scored = stored(weighted(rows, "t", self.model).select("id.doc", "weight").withColumn("key", self._key("doc")), "weights")
+        scored = stored(weighted(rows, "t", self.model, ["doc"]).select("id.doc", "weight").withColumn("key", self._key("doc")), "weights")
         if k is None:
             held_out = scored.filter("weight IS NOT NULL").join(F.broadcast(sample.filter("held_out")), "doc")
             self.threshold = _threshold(held_out.groupBy("doc").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")))
