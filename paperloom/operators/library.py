@@ -139,9 +139,11 @@ def extraction_source(docs: DataFrame, named: DataFrame, wanted: Column) -> Data
 
 def unreferenced(generations: DataFrame, references: DataFrame) -> DataFrame:
     """Generated folders (doc, folder) that no referenced path (doc, path) is or lies in."""
-    r = references.select(F.col("doc").alias("_d"), "path")
-    inside = (F.col("doc") == F.col("_d")) & ((F.col("path") == F.col("folder")) | F.startswith("path", F.concat("folder", F.lit("/"))))
-    return generations.join(r, inside, "left_anti")
+    # The path itself and what stands before each of its slashes, so the join is on equal keys, not on all pairs of a doc.
+    parts = F.split("path", "/", -1)
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    inside = references.filter("path IS NOT NULL").select("doc", above.alias("folder")).distinct()
+    return generations.join(inside, ["doc", "folder"], "left_anti")
 
 
 def repaired_by_background(snapshot: DataFrame, current: DataFrame, repaired: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
