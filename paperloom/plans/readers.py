@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import documents, layout, linkage, merge, reader, search, store
 from paperloom.plans.documents import _LINES, _boxes
-from paperloom.plans.registry import query, table
+from paperloom.plans.registry import dealt, query, table
 from paperloom.sources import records
 from paperloom.streaming import views
 
@@ -42,7 +42,7 @@ def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, p_name AS title, p_brand || ' ' || p_type AS author, (1950 + p_size)::VARCHAR AS year, '10.1234/' || p_partkey AS doi FROM part""")
 def crossref_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = joined('{"title":["', F.col("p_name"), '"],"author":[{"given":" ', F.col("p_brand"), '","family":"', F.col("p_type"), '"}],"DOI":"https://doi.org/10.1234/', F.col("p_partkey"), '","published-print":{"date-parts":[[', F.col("p_size") + 1950, "]]}}")
-    rows = table(spark, sf_dir, "part").select("p_partkey", records.crossref(body).alias("r"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", records.crossref(body).alias("r"))
     return rows.select("p_partkey", "r.title", F.get("r.authors", F.lit(0)).alias("author"), "r.year", "r.doi")
 
 
@@ -66,7 +66,7 @@ def atom_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.col("p_size") % 30 + 1990
     packet = joined("..<x:xmpmeta xmlns:x='x' xmlns:d='d' xmlns:r='r'><d:title><r:li>", F.col("p_name"), "</r:li></d:title><d:date>", year, "-05</d:date></x:xmpmeta>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", records.xmp(F.when(F.col("p_size") % 2 == 0, packet).otherwise(joined("raw ", year))).alias("r"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", records.xmp(F.when(F.col("p_size") % 2 == 0, packet).otherwise(joined("raw ", year))).alias("r"))
     return rows.select("p_partkey", "r.title", "r.year")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.places import let
 
 CROSSREF = ("struct<title:array<string>,`container-title`:array<string>,author:array<struct<given:string,family:string,name:string>>,DOI:string,"
             "`published-print`:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,published:struct<`date-parts`:array<array<int>>>>")
@@ -41,11 +42,14 @@ def pubmed(body: Column) -> Column:
     def all_of(path: str) -> Column:
         return F.xpath(body, F.lit(path + "/text()"))
 
-    family, given = all_of("//Author/LastName"), all_of("//Author/ForeName")
-    authors = F.transform(family, lambda f, i: T.person_name(F.get(given, i), f))
-    year = F.coalesce(*(F.nullif(F.xpath_string(body, F.lit(p)), F.lit("")) for p in ("//PubDate/Year", "//ArticleDate/Year")), T.first_year(F.xpath_string(body, F.lit("//PubDate/MedlineDate"))))
+    def text(path: str) -> Column:
+        return let(F.xpath_string(body, F.lit(path)), lambda v: F.when(v != "", v))
+
+    family = all_of("//Author/LastName")
+    authors = let(all_of("//Author/ForeName"), lambda given: F.transform(family, lambda f, i: T.person_name(F.get(given, i), f)))
+    year = F.coalesce(text("//PubDate/Year"), text("//ArticleDate/Year"), T.first_year(F.xpath_string(body, F.lit("//PubDate/MedlineDate"))))
     words = F.concat(all_of("//MeshHeading/DescriptorName"), all_of("//Keyword"))
-    return F.struct(F.nullif(F.xpath_string(body, F.lit("//ArticleTitle")), F.lit("")).alias("title"), authors.alias("authors"), F.nullif(F.xpath_string(body, F.lit("//Journal/Title")), F.lit("")).alias("journal"),
+    return F.struct(text("//ArticleTitle").alias("title"), authors.alias("authors"), text("//Journal/Title").alias("journal"),
                     year.alias("year"), T.normalize_doi(F.xpath_string(body, F.lit("//ArticleId[@IdType='doi']"))).alias("doi"), distinct_folded(words).alias("keywords"))
 
 
@@ -59,20 +63,21 @@ def atom(body: Column) -> Column:
 
 def xmp(body: Column) -> Column:
     """struct(title, authors, journal, year, doi) of an XMP packet; of a packet that is no XML the first year and DOI."""
-    packet = F.regexp_extract(body, r"(?s)<x:xmpmeta.*?</x:xmpmeta>", 0)
-
-    def values(name: str) -> Column:
+    def values(packet: Column, name: str) -> Column:
         return F.filter(F.xpath(packet, F.lit(f"//*[local-name()='{name}']//*[local-name()='li']/text()")), lambda v: ~T.is_blank(v))
 
-    def text(*names: str) -> Column:
-        return F.coalesce(*(T.trim_to_null(F.xpath_string(packet, F.lit(f"//*[local-name()='{n}'][1]"))) for n in names))
+    def text(packet: Column, *names: str) -> Column:
+        return F.coalesce(*(let(T.strip(F.xpath_string(packet, F.lit(f"//*[local-name()='{n}'][1]"))), lambda v: F.when(v != "", v)) for n in names))
+
+    def good(packet: Column) -> Column:
+        title = let(F.get(values(packet, "title"), F.lit(0)), lambda t: F.when(T.is_plausible_title(t), T.collapse(t)))
+        return F.struct(title.alias("title"), values(packet, "creator").alias("authors"), text(packet, "publicationName", "source").alias("journal"),
+                        T.first_year(text(packet, "publicationDate", "coverDate", "date")).alias("year"), T.first_doi(text(packet, "doi", "identifier")).alias("doi"))
 
-    title = F.get(values("title"), F.lit(0))
-    good = F.struct(F.when(T.is_plausible_title(title), T.collapse(title)).alias("title"), values("creator").alias("authors"), text("publicationName", "source").alias("journal"),
-                    T.first_year(text("publicationDate", "coverDate", "date")).alias("year"), T.first_doi(text("doi", "identifier")).alias("doi"))
     none = F.lit(None).cast("string")
     poor = F.struct(none.alias("title"), F.array().cast("array<string>").alias("authors"), none.alias("journal"), T.first_year(body).alias("year"), T.first_doi(body).alias("doi"))
-    return F.when(packet != "", good).otherwise(poor)
+    found = F.regexp_extract(body, r"(?s)<x:xmpmeta.*?</x:xmpmeta>", 0)
+    return let(found, lambda packet: F.when(packet != "", good(packet)).otherwise(poor))
 
 
 def citation_pdf_url(html: Column, page: Column) -> Column:
@@ -119,8 +124,10 @@ def library_items(rows: DataFrame, body: str) -> DataFrame:
 
 def distinct_folded(values: Column) -> Column:
     """Values once each whatever their case, the first spelling kept."""
-    lower = F.transform(values, lambda v: F.lower(v))
-    return F.filter(values, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
+    def first_of(all_values: Column) -> Column:
+        return let(F.transform(all_values, lambda v: F.lower(v)), lambda lower: F.filter(all_values, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1))
+
+    return let(values, first_of)
 
 
 def settings(rows: DataFrame, key: str = "settingKey", value: str = "value") -> DataFrame:
