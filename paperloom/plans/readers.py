@@ -51,7 +51,7 @@ def pubmed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(F.col("p_size") > 25, F.lit("<Year>2001</Year>")).otherwise(F.lit("<MedlineDate>1999 Jan-Feb</MedlineDate>"))
     word = F.when(F.col("p_size") % 2 == 0, F.lit("CELL")).otherwise(F.lit("Other"))
     body = joined("<A><ArticleTitle>", F.col("p_name"), "</ArticleTitle><Author><LastName>", F.col("p_brand"), "</LastName><ForeName>", F.col("p_type"), "</ForeName></Author><PubDate>", date, "</PubDate><Keyword>Cell</Keyword><Keyword>", word, "</Keyword></A>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", records.pubmed(body).alias("r"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", records.pubmed(body).alias("r"))
     return rows.select("p_partkey", "r.title", F.get("r.authors", F.lit(0)).alias("author"), "r.year", F.size("r.keywords").alias("keywords"))
 
 
