@@ -58,7 +58,7 @@ def pubmed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS title, p_brand AS author, (2000 + p_size)::VARCHAR AS year FROM part")
 def atom_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = joined("<feed><entry><title> ", F.col("p_name"), "\n</title><author><name>", F.col("p_brand"), "</name></author><published>", F.col("p_size") + 2000, "-01-02</published></entry><entry><title>no</title></entry></feed>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", records.atom(body).alias("r"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", records.atom(body).alias("r"))
     return rows.select("p_partkey", "r.title", F.get("r.authors", F.lit(0)).alias("author"), "r.year")
 
 
