@@ -110,7 +110,7 @@ def years_and_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, '10.1234/x' || p_partkey AS doi FROM part")
 def first_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.first_doi(joined("at http://dx.doi.org/10.1234/x", F.col("p_partkey"), ". and 10.9999/no")).alias("doi"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.first_doi(joined("at http://dx.doi.org/10.1234/x", F.col("p_partkey"), ". and 10.9999/no")).alias("doi"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN c_name ELSE trim(c_mktsegment) END AS value FROM customer")
