@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import documents, layout, linkage, merge, reader, search, store
+from paperloom.operators.grouped import dealt
 from paperloom.plans.documents import _LINES, _boxes
-from paperloom.plans.registry import dealt, query, table
+from paperloom.plans.registry import query, table
 from paperloom.sources import records
 from paperloom.streaming import views
 
