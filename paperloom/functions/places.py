@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a piece that texts are cut from.
 CUT = 1024
+#: Characters from which a pattern is long: longer than any here but that of captions.
+LONG = 2000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -44,8 +46,11 @@ def sums(numbers: Column) -> Column:
 def placed(text: Column, pattern: str | Column, around: bool = False) -> Column:
     """All matches in order: array of (start, end, value), and the text before and after up to the next matches if asked for.
     The pattern, which may be a row's own, must not match the empty text."""
+    long = isinstance(pattern, str) and len(pattern) > LONG
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    if long:  # A split compiles its pattern anew for every row, so a long one is extended by what stands before a match or the end.
+        between = F.regexp_extract_all(text, F.concat(F.lit("(?s:(.*?))(?:"), pattern, F.lit(r"|\z)")), F.lit(1))
 
     def zipped(gaps: Column) -> Column:
         pairs = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("before")))
