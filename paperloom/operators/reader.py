@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,13 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from paperloom.functions import text as T
+from paperloom.functions.places import cutting, let, placed
 
 
 def places(text: Column, quote: Column) -> Column:
     """Starts (from 0) of all occurrences of quote, overlapping ones too; none of an empty quote."""
-    size = F.length(text) - F.length(quote)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(size, F.lit(0))), lambda i: F.substr(text, i + 1, F.length(quote)) == quote)
-    return F.when((F.length(quote) > 0) & (size >= 0) & F.contains(text, quote), at).otherwise(F.array().cast("array<int>"))
+    def quoted(c: Column) -> Column:
+        return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+    # A match is the first letter alone, with the others ahead of it, so matches may overlap.
+    pattern = F.concat(quoted(F.substring(quote, 1, 1)), F.lit("(?="), quoted(F.substr(quote, F.lit(2))), F.lit(")"))
+    at = F.transform(placed(text, pattern), lambda p: p["start"])
+    return F.when((F.length(quote) > 0) & F.contains(text, quote), at).otherwise(F.array().cast("array<int>"))
 
 
 def resolved(text: Column, revision: Column, anchor: Column) -> Column:
@@ -26,11 +32,14 @@ def resolved(text: Column, revision: Column, anchor: Column) -> Column:
     kept = (anchor["revision"] == revision) & (anchor["start"] >= 0) & (anchor["end"] > anchor["start"]) & (F.substr(text, anchor["start"] + 1, anchor["end"] - anchor["start"]) == q)
     prefix, suffix = F.coalesce(anchor["prefix"], F.lit("")), F.coalesce(anchor["suffix"], F.lit(""))
 
-    def between(i: Column) -> Column:
-        return F.endswith(F.substr(text, F.lit(1), i), prefix) & F.startswith(F.substr(text, i + n + 1, F.length(text)), suffix)
+    def one(found: Column) -> Column:
+        return F.when(F.size(found) == 1, F.struct(F.get(found, F.lit(0)).alias("start"), (F.get(found, F.lit(0)) + n).alias("end")))
+
+    def fitting(cut: Callable[[Column, Column], Column]) -> Column:
+        before, behind = F.length(prefix), F.length(suffix)
+        return F.filter(places(text, q), lambda i: F.when(i >= before, (cut(i - before, i) == prefix) & (cut(i + n, i + n + behind) == suffix)).otherwise(False))
 
-    found = F.filter(places(text, q), between)
-    moved = F.when(F.size(found) == 1, F.struct(F.get(found, F.lit(0)).alias("start"), (F.get(found, F.lit(0)) + n).alias("end")))
+    moved = let(cutting(text, fitting), one)
     return F.when(kept, F.struct(anchor["start"].alias("start"), anchor["end"].alias("end"))).otherwise(moved)
 
 
