@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.sources.scratch import forget, stored
+from paperloom.sources.scratch import stored
 
 # Where a node keeps its text, in this order; visual types; and what types are called.
 CHILDREN = ("content", "item_content", "list_content", "list_items", "children")
 VISUALS = ("chart", "image", "table")
 RUNNING = ("list", "paragraph")
+#: Levels of trees that one pass opens.
+LEVELS = 6
 #: Boxes are in thousandths of the page, and pages are shown at twice their points.
 SCALE = 500.0
 
@@ -28,29 +31,34 @@ def joined_text(trees: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text) of trees (keys, node: variant): all strings in order, blanks between, empty ones left out.
 
     A list's parts follow each other; an object's text is that of the first of CHILDREN that it has and that is not null; numbers and
-    the like have none. A round opens one level of every tree at once, so there are as many rounds as the deepest has levels; what is
-    left to open is written between rounds. Trees without text have no row."""
-    now = stored(trees.filter("node IS NOT NULL").select(*keys, F.array().cast("array<int>").alias("path"), "node"), "trees")
-    leaves = []
-    while not now.isEmpty():
-        kind = _kind(F.col("node"))
-        found = now.filter(kind == "STRING").select(*keys, "path", F.variant_get("node", "$", "string").alias("text")).filter("text <> ''")
-        leaves.append(stored(found, "leaves"))
-        parts = now.filter(kind.startswith("ARRAY")).select(*keys, "path", F.posexplode(F.variant_get("node", "$", "array<variant>")).alias("at", "node"))
-        parts = parts.select(*keys, F.concat("path", F.array("at")).alias("path"), "node")
-        child = F.coalesce(*(_filled(F.try_variant_get("node", f"$.{name}", "variant")) for name in CHILDREN))
-        inner = now.filter(kind.startswith("OBJECT")).select(*keys, "path", child.alias("node")).filter("node IS NOT NULL")
-        last, now = now, stored(parts.unionByName(inner), "trees")
-        forget(last)
-    if not leaves:
-        return trees.select(*keys, F.lit("").alias("text")).limit(0)
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.unionByName(more)
+    the like have none. A round opens LEVELS levels of every tree in one pass; it is written once, and what is left to open goes into the
+    next round, so a string is written once however deep it lies. Trees without text have no row."""
+    now, leaves = trees.filter("node IS NOT NULL").select(*keys, F.array().cast("array<int>").alias("path"), "node"), []
+    while True:
+        for _ in range(LEVELS):
+            now = now.select(*keys, F.explode(_opened(F.col("path"), F.col("node"))).alias("x")).select(*keys, "x.path", "x.node")
+        now = stored(now.withColumn("is_text", _kind(F.col("node")) == "STRING"), "trees")
+        leaves.append(now.filter("is_text").select(*keys, "path", F.variant_get("node", "$", "string").alias("text")).filter("text <> ''"))
+        now = now.filter("NOT is_text").drop("is_text")
+        if now.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, leaves)
     out = every.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("found"))
     return out.select(*keys, F.array_join(F.transform("found", lambda x: x["text"]), " ").alias("text"))
 
 
+def _opened(path: Column, node: Column) -> Column:
+    """One level of a node: array of (path, node); a string stays, what has no text leaves nothing."""
+    def placed(p: Column, n: Column) -> Column:
+        return F.struct(p.alias("path"), n.alias("node"))
+
+    kind = _kind(node)
+    parts = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v, i: placed(F.concat(path, F.array(i)), v))
+    child = F.coalesce(*(_filled(F.try_variant_get(node, f"$.{name}", "variant")) for name in CHILDREN))
+    inner = F.filter(F.array(placed(path, child)), lambda x: x["node"].isNotNull())
+    return F.when(kind == "STRING", F.array(placed(path, node))).when(kind.startswith("ARRAY"), parts).when(kind.startswith("OBJECT"), inner)
+
+
 def _filled(node: Column) -> Column:
     return F.when(~F.is_variant_null(node), node)
 
@@ -62,14 +70,18 @@ def nested_blocks(rows: DataFrame, key: str, body: str, sizes: DataFrame | None
     block is a row (part 0); a visual's footnote and caption are rows of their own with its id as parent, and no box (parts 1 and 2), as
     are captions that other blocks carry under any name ending in _caption. sizes: key, page, width and height in points; pages
     without have no boxes. Null bodies give no rows, and repeated rows of a key repeat its blocks' text: keys must be distinct."""
-    tree = rows.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("v"))
-    pages = tree.select("k", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("page", "v"))
-    blocks = pages.select("k", "page", F.posexplode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("n", "v"), (~_kind(F.col("v")).startswith("ARRAY")).alias("no_page"))
-    kind, content = F.try_variant_get("v", "$.type", "variant"), F.try_variant_get("v", "$.content", "variant")
-    told = (F.coalesce(_kind(kind), F.lit("")) == "STRING") & F.coalesce(_kind(content), F.lit("")).startswith("OBJECT")
-    blocks = blocks.select("k", "page", "n", "v", (F.col("no_page") | (F.col("n").isNotNull() & ~told)).alias("broken"), F.try_variant_get("v", "$.type", "string").alias("type"))
-    broken = blocks.filter("broken").select("k").distinct()
-    blocks = stored(blocks.filter("n IS NOT NULL AND NOT broken").join(broken, "k", "left_anti").drop("broken"), "blocks")
+    def told(block: Column) -> Column:
+        kind, content = F.try_variant_get(block, "$.type", "variant"), F.try_variant_get(block, "$.content", "variant")
+        return (F.coalesce(_kind(kind), F.lit("")) == "STRING") & F.coalesce(_kind(content), F.lit("")).startswith("OBJECT")
+
+    def good_page(page: Column) -> Column:
+        return F.when(_kind(page).startswith("ARRAY"), F.forall(F.try_variant_get(page, "$", "array<variant>"), told)).otherwise(False)
+
+    # Bodies are judged as a whole while they are one row, so blocks need not meet the bad ones' keys again.
+    tree = rows.select(F.col(key).alias("k"), F.try_variant_get(F.try_parse_json(F.col(body)), "$", "array<variant>").alias("v"))
+    pages = tree.filter(F.forall("v", good_page)).select("k", F.posexplode("v").alias("page", "v"))
+    blocks = pages.select("k", "page", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("n", "v"))
+    blocks = stored(blocks.withColumn("type", F.try_variant_get("v", "$.type", "string")), "blocks")
     visual = F.col("type").isin(*VISUALS)
     members = F.map_entries(F.try_variant_get("v", "$.content", "map<string, variant>"))
     own = F.when(F.col("type") == "list", "list_items").otherwise(F.concat("type", F.lit("_content")))
@@ -85,9 +97,12 @@ def nested_blocks(rows: DataFrame, key: str, body: str, sizes: DataFrame | None
     html = F.try_variant_get("v", "$.content.html", "string")
     label = (F.when(visual, F.col("type")).when(F.col("type") == "title", F.when((F.col("page") == 0) & (F.try_variant_get("v", "$.content.level", "int") == 1), "doc_title").otherwise("paragraph_title"))
              .when(F.col("type").isin(*RUNNING), "text").otherwise(F.col("type")))
-    main = blocks.join(texts.filter("part = 0").drop("part", "field"), ["k", "page", "n"], "left").select(
-        "k", "page", "n", F.lit(0).alias("part"), path.alias("block"), label.alias("label"), F.when(F.col("type") == "table", F.coalesce(html, F.lit(""))).otherwise(F.coalesce("text", F.lit(""))).alias("content"),
-        F.try_variant_get("v", "$.bbox", "array<double>").alias("box"), F.when(visual, path).alias("parent"), F.try_variant_get("v", "$.content.image_source.path", "string").alias("source"), F.lit(None).cast("string").alias("caption_kind"))
+    # Only what a row needs of a block meets its text, not the block.
+    shown = blocks.select("k", "page", "n", "type", label.alias("label"), path.alias("block"), html.alias("html"), F.try_variant_get("v", "$.bbox", "array<double>").alias("box"), F.when(visual, path).alias("parent"),
+                          F.try_variant_get("v", "$.content.image_source.path", "string").alias("source"))
+    main = shown.join(texts.filter("part = 0").drop("part", "field"), ["k", "page", "n"], "left").select(
+        "k", "page", "n", F.lit(0).alias("part"), "block", "label", F.when(F.col("type") == "table", F.coalesce("html", F.lit(""))).otherwise(F.coalesce("text", F.lit(""))).alias("content"),
+        "box", "parent", "source", F.lit(None).cast("string").alias("caption_kind"))
     of = blocks.select("k", "page", "n", "type", visual.alias("visual"), path.alias("parent"))
     extra = texts.filter("part > 0").join(of, ["k", "page", "n"]).filter((F.col("part") == 1) | ~T.is_blank(F.col("text")))
     ending = F.when(F.col("part") == 1, "note").when(F.col("visual"), "cap").otherwise(F.col("field"))
