@@ -15,12 +15,14 @@ _BLOCKS = """SELECT l_orderkey % 1000 AS doc, l_orderkey // 1000 AS page, l_line
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    # Pages are dealt out once; all steps on a page stay there.
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("doc"), F.expr("l_orderkey div 1000").alias("page"), F.col("l_linenumber").alias("block"), "l_partkey", "l_suppkey")
+    lines = rows.repartition("doc", "page").groupBy("doc", "page", "block").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     titled = F.col("p") % 5 == 0
     label = F.when(F.col("s") % 3 == 0, "image").when(titled, "figure_title").when(F.col("p") % 5 == 1, "vision_footnote").otherwise("text")
-    content = F.when(titled, F.concat(F.lit("Figure "), "l_linenumber", F.lit(". Of it"))).otherwise(F.repeat(F.lit("word "), (F.col("p") % 40).cast("int")))
-    left, top = (F.col("p") % 2) * 400.0 + 50, F.col("l_linenumber") * 100.0 + (F.col("s") % 4) * 25
-    blocks = lines.select((F.col("l_orderkey") % 1000).alias("doc"), F.expr("l_orderkey div 1000").alias("page"), F.col("l_linenumber").alias("block"), label.alias("label"), content.alias("content"),
+    content = F.when(titled, F.concat(F.lit("Figure "), "block", F.lit(". Of it"))).otherwise(F.repeat(F.lit("word "), (F.col("p") % 40).cast("int")))
+    left, top = (F.col("p") % 2) * 400.0 + 50, F.col("block") * 100.0 + (F.col("s") % 4) * 25
+    blocks = lines.select("doc", "page", "block", label.alias("label"), content.alias("content"),
                           F.lit(None).cast("string").alias("parent"), left.alias("left"), top.alias("top"), (left + 300).alias("right"), (top + 90).alias("bottom"))
     return blocks, blocks.filter("label = 'figure_title'").select("doc", "page", F.col("block").alias("caption"), F.lit("figure").alias("kind"))
 
@@ -41,8 +43,7 @@ def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's visuals with the captions they get, those of neighbouring pages among them."""
     blocks, captions = _blocks(spark, sf_dir)
-    cross = figures.cross_page_owners(blocks, captions).join(figures.clusters(blocks), ["doc", "page", "cluster"]).withColumnRenamed("block", "visual").drop("cluster")
-    return figures.assigned(figures.options(blocks, captions, cross))
+    return figures.assignments(blocks, captions)
 
 
 @query("""WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey % 3 AS kind FROM orders),
