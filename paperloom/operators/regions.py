@@ -1,17 +1,19 @@
 """The region of a page that a figure takes: its members, grown into free space away from its caption, without any caption.
 
 Segments are rows (doc, page, figure, block), a row for each block of a figure, its captions among them; blocks are those of
-``figures``. A page's visuals and blockers meet its figures as arrays, by one equi-join on document and page.
+``figures``. Only pages of figures are looked at; each is gathered once, and meets its figures by one equi-join on document and page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators.figures import SIDES, is_blocker
-from paperloom.operators.layout import MARGIN, TEXT_LABELS, VISUAL_LABELS, columns
+from paperloom.operators.figures import is_blocker, is_part, union
+from paperloom.operators.layout import MARGIN, SIDES, TEXT_LABELS, VISUAL_LABELS, blocks_of, paged
 
 # The least free space that is taken, in pixels and in parts of the figure's size, what stays free at its end and at a
 # caption, and labels of annotations that belong to a figure.
@@ -21,14 +23,6 @@ ANNOTATIONS, NOTES = ("figure_annotation",), ("vision_footnote", "vision_footer"
 WAYS = ("above", "below", "left", "right")
 
 
-def _union(boxes: Column) -> Column:
-    def end(side: str) -> Column:
-        values = F.transform(boxes, lambda b: b[side])
-        return (F.array_min if side in ("left", "top") else F.array_max)(values).alias(side)
-
-    return F.when(F.size(boxes) > 0, F.struct(*(end(s) for s in SIDES)))
-
-
 def _beyond(box: Column, other: Column) -> dict[str, Column]:
     """By way: how far box lies from other in it; not negative if they are apart."""
     return {"above": other["top"] - box["bottom"], "below": box["top"] - other["bottom"], "left": other["left"] - box["right"], "right": box["left"] - other["right"]}
@@ -96,25 +90,27 @@ def figure_regions(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     lie on the figure's side of the caption; without a caption, of visuals, sub-labels and annotations; without any of these, of what
     is no caption and no note, or of all. It grows away from the caption up to the next blocker or the page's end if FREE pixels and
     FREE_SHARE of its size are free. Then captions are cut off. Members that repeat are one, those of no block are passed over."""
-    box = F.struct("block", *SIDES)
     label, content = F.col("label"), F.col("content")
-    part = F.lower(T.strip(F.coalesce(content, F.lit("")))).rlike(T.SUB_LABEL)
     titled = (label == "figure_title") & T.is_usable_caption(content)
-    b = blocks.dropDuplicates(["doc", "page", "block"]).withColumn("is_part", part).withColumn("titled", F.coalesce(titled, F.lit(False))).withColumn("stops", F.coalesce(is_blocker(label, content), F.lit(False)))
-    visual = label.isin(*VISUAL_LABELS)
-
-    def held(condition: Column, name: str) -> Column:
-        return F.array_sort(F.array_agg(F.when(condition, box))).alias(name)
-
-    page = b.groupBy("doc", "page").agg(held(visual, "p_visuals"), held(F.col("stops"), "p_blockers"), F.max("right").alias("p_right"), F.max("bottom").alias("p_bottom"))
-    k = columns(b)
-    texts = b.filter(label.isin(*TEXT_LABELS)).join(k.select("doc", "page", ((F.col("page_left") + F.col("page_right")) / 2).alias("middle")), ["doc", "page"])
-    edges = texts.groupBy("doc", "page").agg(F.min(F.when(F.col("right") <= F.col("middle") + MARGIN, F.col("left"))).alias("left_left"), F.max(F.when(F.col("left") >= F.col("middle") - MARGIN, F.col("right"))).alias("right_right"))
-    own = segments.select("doc", "page", "figure", "block").distinct().join(b, ["doc", "page", "block"])
-    plain = ~F.col("titled") & ~label.isin(*NOTES)
-    f = own.groupBy("doc", "page", "figure").agg(held(visual, "visuals"), held((F.col("is_part") | label.isin(*ANNOTATIONS)) & ~visual, "parts"), held(label.isin(*NOTES) & ~F.col("is_part"), "notes"),
-                                                held(F.col("titled"), "captions"), held(plain, "plain"), F.array_agg(box).alias("members"))
-    f = f.join(page, ["doc", "page"]).join(k, ["doc", "page"]).join(edges, ["doc", "page"], "left").withColumn("c", F.get("captions", F.lit(0)))
+    named = segments.groupBy("page", "doc", "figure").agg(F.collect_set("block").alias("ids"))
+    b = blocks.join(segments.select("page", "doc"), ["page", "doc"], "left_semi")
+    b = b.withColumn("is_part", is_part(content)).withColumn("titled", F.coalesce(titled, F.lit(False))).withColumn("stops", F.coalesce(is_blocker(label, content), F.lit(False)))
+    pages = paged(b, is_part=F.col("is_part"), titled=F.col("titled"), stops=F.col("stops"))
+
+    def held(array: str, condition: Callable[[Column], Column], side: str | None = None) -> Column:
+        found = F.filter(array, condition)
+        return F.transform(found, lambda x: x[side]) if side else found
+
+    visual, note = (lambda x: x["label"].isin(*VISUAL_LABELS)), (lambda x: x["label"].isin(*NOTES))
+    middle = (F.col("page_left") + F.col("page_right")) / 2
+    texts = lambda x: x["label"].isin(*TEXT_LABELS)
+    f = pages.join(named, ["page", "doc"]).withColumn("members", held("blocks", lambda x: F.array_contains("ids", x["block"]))).filter(F.size("members") > 0)
+    f = f.select("doc", "page", "figure", "members", "page_left", "page_right", "c.is_double", "c.left_right", "c.right_left", F.col("page_right").alias("p_right"), F.col("page_bottom").alias("p_bottom"),
+                 held("blocks", visual).alias("p_visuals"), held("blocks", lambda x: x["stops"]).alias("p_blockers"),
+                 F.array_min(held("blocks", lambda x: texts(x) & (x["right"] <= middle + MARGIN), "left")).alias("left_left"), F.array_max(held("blocks", lambda x: texts(x) & (x["left"] >= middle - MARGIN), "right")).alias("right_right"),
+                 held("members", visual).alias("visuals"), held("members", lambda x: (x["is_part"] | x["label"].isin(*ANNOTATIONS)) & ~visual(x)).alias("parts"), held("members", lambda x: note(x) & ~x["is_part"]).alias("notes"),
+                 held("members", lambda x: x["titled"]).alias("captions"), held("members", lambda x: ~x["titled"] & ~note(x)).alias("plain"))
+    f = f.withColumn("c", F.get("captions", F.lit(0)))
     bounds = lambda left, right: F.struct(F.col(left).alias("left"), F.col(right).alias("right"))
     at_left, at_right = F.col("c.right") <= F.col("left_right") + MARGIN, F.col("c.left") >= F.col("right_left") - MARGIN
     crosses = (F.col("c.left") < F.col("left_right") + MARGIN) & (F.col("c.right") > F.col("right_left") - MARGIN)
@@ -122,9 +118,9 @@ def figure_regions(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     known = F.col("c").isNotNull() & (F.size("visuals") + F.size("parts") > 0)
     f = f.withColumn("column", column).withColumn("way", F.when(known, _way(F.col("c"), F.col("column"), F.col("p_visuals"))))
     near = F.filter(F.concat("parts", "notes"), lambda m: _by_way(F.col("way"), _beyond(m, F.col("c"))) >= 0)
-    f = f.withColumn("base", F.when(F.col("way").isNotNull(), _union(F.concat("visuals", near))))
-    f = f.withColumn("base", F.coalesce("base", _union(F.concat("visuals", "parts")), _union(F.col("plain")), _union(F.col("members"))))
-    ids = F.transform("members", lambda m: m["block"])
+    f = f.withColumn("base", F.when(F.col("way").isNotNull(), union(F.concat("visuals", near))))
+    f = f.withColumn("base", F.coalesce("base", union(F.concat("visuals", "parts")), union(F.col("plain")), union(F.col("members"))))
+    ids = blocks_of(F.col("members"))
     f = f.withColumn("others", F.filter("p_blockers", lambda x: ~F.array_contains(ids, x["block"])))
     grown = F.when(F.col("way").isNotNull(), _grown(F.col("base"), F.col("way"), F.col("c"), F.col("others"), F.col("p_right"), F.col("p_bottom"))).otherwise(F.col("base"))
     f = f.withColumn("grown", grown).withColumn("region", _trimmed(F.col("grown"), F.col("captions")))
