@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators import regions
@@ -38,8 +38,9 @@ SELECT doc, page, block AS figure, way, CASE WHEN side = 'left' AND r + 8 < x1 T
 def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A figure is a caption with the images and notes on the lines next to it, one image at least."""
     blocks, captions = _blocks(spark, sf_dir)
-    near = F.explode(F.array(F.col("caption") - 1, F.col("caption") + 1))
-    members = captions.select("doc", "page", F.col("caption").alias("figure"), near.alias("block")).join(blocks.filter("label IN ('image', 'vision_footnote')").select("doc", "page", "block", "label"), ["doc", "page", "block"])
-    drawn = members.filter("label = 'image'").select("doc", "page", "figure").distinct()
-    segments = members.select("doc", "page", "figure", "block").join(drawn, ["doc", "page", "figure"]).unionByName(drawn.withColumn("block", F.col("figure")))
+    others = blocks.filter("label IN ('image', 'vision_footnote')").select("doc", "page", "block", "label")
+    near = captions.select("doc", "page", F.col("caption").alias("figure")).join(others, ["doc", "page"]).filter("abs(block - figure) = 1")
+    drawn = F.max(F.col("label") == "image").over(Window.partitionBy("doc", "page", "figure"))
+    members = near.withColumn("drawn", drawn).filter("drawn")
+    segments = members.select("doc", "page", "figure", F.explode(F.array("block", "figure")).alias("block"))
     return regions.figure_regions(segments, blocks)

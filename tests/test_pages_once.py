@@ -37,6 +37,10 @@ def test_caption_pairs_and_clusters_move_pages_once(unbroadcast):
     assert len(scratch._written) == before
 
 
+def test_regions_move_pages_once(unbroadcast):
+    assert further_shuffles(library.QUERIES["figure_regions"](unbroadcast, SF)) == 0
+
+
 def test_a_repeated_block_counts_once(spark):
     rows = [("d", 1, 1, "image", "", None, 50.0, 100.0, 450.0, 300.0)] * 2 + [("d", 1, 2, "figure_title", "Figure 1. It", None, 50.0, 310.0, 450.0, 330.0)]
     blocks = spark.createDataFrame(rows, BLOCK)
